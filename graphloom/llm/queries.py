@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import exact_dedup, sharding, simhash
+from graphloom.llm import bpe, exact_dedup, sharding, simhash
+
+
+#: The vocabulary file; a copy of it anywhere on the driver will do.
+TOKENIZER = os.environ.get("BPE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +42,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's BPE ids and of the text they decode to."""
+    found = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE_SQL = {

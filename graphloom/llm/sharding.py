@@ -77,7 +77,7 @@ def shard_uniformly(docs: DataFrame, shards: int, *, seed: int = 17) -> DataFram
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    shuffled = docs.select(*[quoted(c) for c in names]).select(packed(docs.select(*[quoted(c) for c in names])), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("_key")).sortWithinPartitions("_key")
+    shuffled = docs.select(packed(docs, names), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("_key")).sortWithinPartitions("_key")
     rows = Staged(shuffled.select("_doc", F.monotonically_increasing_id().alias("_place")), "permuted")
     block, rank = F.shiftright("_place", _RANK_BITS), F.col("_place").bitwiseAND((1 << _RANK_BITS) - 1)
     counts = sorted((r[0], r[1]) for r in rows.df.groupBy(block.alias("b")).count().collect())

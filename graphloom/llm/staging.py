@@ -52,9 +52,10 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def packed(docs: DataFrame) -> Column:
-    """All columns as one struct, so that no name of theirs meets one of an operator's."""
-    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_doc")
+def packed(docs: DataFrame, names: list[str] | None = None) -> Column:
+    """Columns (all by default) as one struct, so that no name of theirs meets one of an operator's."""
+    names = docs.columns if names is None else names
+    return (F.struct(*[F.col(quoted(c)) for c in names]) if names else F.struct(F.lit(0).alias("_none"))).alias("_doc")
 
 
 def unpacked(names: list[str]) -> list[Column]:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, exact_dedup, sharding, simhash
+from graphloom.llm import bpe, exact_dedup, sharding, simhash, url_filter
 
 
 #: The vocabulary file; a copy of it anywhere on the driver will do.
@@ -32,6 +32,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's verdict, by rule or through its redirects and canonical links."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules).drop("via")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's group of equal texts and the row of it that stays."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
@@ -55,12 +71,45 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op7_bpe": op7_bpe,
 }
 
+# Pages link here by canonical links and refresh redirects with full urls; the
+# recursion spreads the least verdict (allow before block) of a url's class.
+_OP2_SQL = r"""
+WITH RECURSIVE
+rules(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+p AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^?#]*(\?[^#]*)?', 1), '') AS query,
+         regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1) AS target
+  FROM pages),
+m AS (
+  SELECT DISTINCT host, path,
+         arg_max(rhost || rpath, length(rhost || rpath)) OVER (PARTITION BY host, path) AS rule,
+         arg_max(rverdict, length(rhost || rpath)) OVER (PARTITION BY host, path) AS rverdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)),
+links AS (
+  SELECT host || path || query AS a, regexp_replace(regexp_replace(target, '^[^:]*://', ''), '#.*', '') AS b
+  FROM p WHERE contains(target, '://')),
+reach(a, b) AS (
+  SELECT host || path || query, host || path || query FROM p
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
+spread AS (
+  SELECT r.a, min(m.rverdict) AS verdict
+  FROM reach r JOIN p ON r.b = p.host || p.path || p.query JOIN m ON m.host = p.host AND m.path = p.path
+  WHERE r.a IN (SELECT a FROM links UNION SELECT b FROM links) GROUP BY r.a)
+SELECT page_id, p.host, p.path, m.rule, coalesce(m.rverdict, s.verdict, 'allow') AS verdict
+FROM p LEFT JOIN m ON m.host = p.host AND m.path = p.path LEFT JOIN spread s ON s.a = p.host || p.path || p.query"""
+
 ORACLE_SQL = {
+    "op2_url_filter": _OP2_SQL,
     "op3_exact_dedup": """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

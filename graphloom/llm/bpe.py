@@ -18,15 +18,13 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
-from graphloom.functions.ship import ship
-from graphloom.llm.staging import packed, unpacked
+from graphloom.llm.rows import with_text_results
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The published split pattern of byte-level BPE, with white space spelled out.
@@ -161,8 +159,8 @@ def built(source: str) -> Encoder:
     return _BUILT[key]
 
 
-def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``decoded`` (their text).
+def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, all by default) with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``decoded`` (their text).
 
     ``path`` names a tokenizers JSON file on the driver; its text (some MB,
     fixed by the vocabulary) is broadcast. Null and empty texts have no ids
@@ -172,23 +170,12 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text") -> D
     handled one by one: repeated rows give equal results, an empty table an
     empty one.
     """
-    spark = ship(docs.sparkSession)
     with open(path, encoding="utf-8") as file:
-        source = spark.sparkContext.broadcast(file.read())
+        source = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: list[str | None]) -> list[list]:
         encoder = built(source.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):  # results of a few rows at a time: texts may be long
-                batch = whole.slice(at, 256)
-                ids = [encoder.encode(x.as_py() or "") for x in batch.column(1)]
-                decoded = [encoder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["_doc", "ids", "decoded"])
-
-    names = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    rest = [c for c in names if c != text_col]
-    doc = packed(docs, rest)
-    source_rows = docs.select(doc, F.col(text_col).cast("string").alias("_text"))
-    kind = source_rows.schema["_doc"].dataType.simpleString()
-    found = source_rows.mapInArrow(run, f"_doc {kind}, ids binary, decoded string")
-    return found.select(*unpacked(rest), "ids", "decoded")
+        ids = [encoder.encode(x or "") for x in texts]
+        return [ids, [encoder.decode(x) for x in ids]]
+
+    return with_text_results(docs, text_col, {"ids": ("binary", pa.binary()), "decoded": ("string", pa.string())}, run, keep)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, exact_dedup, sharding, simhash, url_filter
+from graphloom.llm import bpe, ecoc_langid, exact_dedup, sharding, simhash, url_filter
 
 
 #: The vocabulary file; a copy of it anywhere on the driver will do.
@@ -58,9 +58,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
 
 
+def _remainder(parts: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learnt from three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = ecoc_langid.fit(docs.filter(_remainder(4) != 2))
+    return ecoc_langid.identify(docs, model, keep=["doc_id"]).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's BPE ids and of the text they decode to."""
-    found = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    found = bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"])
     return found.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -74,6 +85,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
 }
 

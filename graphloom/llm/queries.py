@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, ecoc_langid, exact_dedup, sharding, simhash, url_filter
+from graphloom.llm import bpe, ecoc_langid, exact_dedup, gbt_toxicity, qda_quality, sharding, simhash, url_filter
 
 
 #: The vocabulary file; a copy of it anywhere on the driver will do.
@@ -62,6 +62,14 @@ def _remainder(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality score, learnt from the labels of two thirds of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(_remainder(3) != 1)
+    found = qda_quality.score_documents(docs, qda_quality.fit(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's language, learnt from three quarters of the documents."""
     docs = table(spark, sf_dir, "documents")
@@ -80,13 +88,23 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity score, learnt from the labels of three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(_remainder(4) != 2)
+    found = gbt_toxicity.score_documents(docs, gbt_toxicity.fit(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
 }
 
 # Pages link here by canonical links and refresh redirects with full urls; the

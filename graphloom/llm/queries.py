@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, ecoc_langid, exact_dedup, gbt_toxicity, qda_quality, sharding, simhash, url_filter
+from graphloom.llm import bpe, ecoc_langid, exact_dedup, gbt_toxicity, mih_search, qda_quality, sharding, simhash, url_filter
 
 
 #: The vocabulary file; a copy of it anywhere on the driver will do.
@@ -96,6 +96,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each vector whose vec_id is divisible by 50."""
+    return mih_search.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
@@ -105,6 +110,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_ann": op10_ann,
 }
 
 # Pages link here by canonical links and refresh redirects with full urls; the

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, ecoc_langid, exact_dedup, gbt_toxicity, mih_search, qda_quality, sharding, simhash, url_filter
+from graphloom.llm import bpe, ecoc_langid, exact_dedup, gbt_toxicity, mih_search, qda_quality, sharding, simhash, soft_mixing, url_filter
 
 
 #: The vocabulary file; a copy of it anywhere on the driver will do.
@@ -96,6 +96,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Domains of the labels table and their shares of the mixed tokens.
+MIX_WEIGHTS = {"clean": 0.9, "junk": 0.05, "toxic": 0.05}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").otherwise("clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's domain posterior, and the rate that brings the domains' tokens to MIX_WEIGHTS."""
+    labels = label_domains(table(spark, sf_dir, "labels"))
+    found = soft_mixing.document_rates(table(spark, sf_dir, "documents"), labels, MIX_WEIGHTS)
+    return found.select("doc_id", "tokens", "domain", *[F.coalesce(F.col("posterior")[d], F.lit(0.0)).alias(f"p_{d}") for d in MIX_WEIGHTS], "rate", "copies")
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of each vector whose vec_id is divisible by 50."""
     return mih_search.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
@@ -110,6 +126,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
 }
 

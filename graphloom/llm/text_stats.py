@@ -9,9 +9,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: i
     """(_id, _text, _label) of about ``bound`` documents at most that have a label, chosen by the hash of the identifier.
 
     A document labelled more than once counts with its largest label. Rows
-    without identifier or label take no part.
+    without identifier or label take no part. The chosen identifiers, some
+    bytes each and about ``bound`` of them, are broadcast, so texts stay where
+    they are read.
     """
     said = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_label"))
     share = min(1.0, bound / max(1, said.count()))
     chosen = said.filter(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")

@@ -1,0 +1 @@
+"""Reserved: the engine's operators work on bounded tables only."""

@@ -135,7 +135,11 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, max_distance: int
     repeat the smallest identifier are equal for this purpose and all but the
     first, by the hash of all columns, go.
     """
-    groups = near_duplicate_groups(docs, shingle=shingle, max_distance=max_distance, id_col=id_col, text_col=text_col, seed=seed)
+    return keep_one(docs, near_duplicate_groups(docs, shingle=shingle, max_distance=max_distance, id_col=id_col, text_col=text_col, seed=seed), id_col)
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose identifier is the ``component_id`` that ``groups`` gives it, each identifier once."""
     kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
     wide = docs.select(packed(docs), F.col(id_col).alias("_id"))
     found = wide.alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")), "left_semi")

@@ -109,7 +109,7 @@ def test_paths(spark):
     assert {r.s: r.e for r in df.select("s", is_external(F.col("s")).alias("e")).collect()} == cases
     df = spark.createDataFrame([("/p/a.test.ts",), ("/p/src/test/x.ts",), ("/p/axts",)], "p string")
     ignored = lambda *p: [r[0] for r in df.select(should_ignore(F.col("p"), list(p))).collect()]
-    assert ignored("*.test.ts") == [True, False, False] and ignored("test") == [True, True, False] and ignored("a?ts") == [False] * 3 and ignored("*x.ts") == [False, True, True] and ignored() == [False] * 3
+    assert ignored("*.test.ts") == [True, False, False] and ignored("test") == [True, True, False] and ignored("a?ts") == [False] * 3 and ignored("*a.ts") == [False, False, True] and ignored() == [False] * 3
 
 
 def test_viewer(spark):

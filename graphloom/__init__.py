@@ -1 +1,44 @@
-"""graphloom: dependency-graph analytics on Spark DataFrames."""
+"""graphloom: dependency-graph analytics on Spark DataFrames.
+
+The public names, as one would import them:
+
+    from graphloom import analyze_directory, AnalyzerOptions, Graph, find_cycles
+"""
+
+from graphloom.functions.parse import parse_file, parse_source, with_imports
+from graphloom.functions.paths import is_supported, language_of, language_of_name
+from graphloom.operators.cycles import (
+    find_all_simple_cycles,
+    find_cycles,
+    find_cycles_involving_file,
+    find_longest_cycle,
+    find_strong_components,
+    has_cycles,
+)
+from graphloom.operators.graph import Graph
+from graphloom.plans.analyze import AnalysisResult, analyze_directory, analyze_file, has_circular_dependencies
+from graphloom.schema import DEFAULT_EXTENSIONS, DEFAULT_IGNORE_DIRS, EXTENSION_TO_LANGUAGE, AnalyzerOptions
+
+__all__ = [
+    "AnalysisResult",
+    "AnalyzerOptions",
+    "DEFAULT_EXTENSIONS",
+    "DEFAULT_IGNORE_DIRS",
+    "EXTENSION_TO_LANGUAGE",
+    "Graph",
+    "analyze_directory",
+    "analyze_file",
+    "find_all_simple_cycles",
+    "find_cycles",
+    "find_cycles_involving_file",
+    "find_longest_cycle",
+    "find_strong_components",
+    "has_circular_dependencies",
+    "has_cycles",
+    "is_supported",
+    "language_of",
+    "language_of_name",
+    "parse_file",
+    "parse_source",
+    "with_imports",
+]

@@ -18,6 +18,12 @@ __all__ = ["parse_source", "parse_file", "with_imports", "imports_of", "register
 _ARROW = pa.list_(pa.struct([("source", pa.string()), ("specifiers", pa.list_(pa.string())), ("type", pa.string()), ("line", pa.int32())]))
 
 
+def check_language(language: str) -> str:
+    """``language`` if sources of it can be parsed; ValueError otherwise. The scanner has no state to set up."""
+    parse_source("", language)
+    return language
+
+
 def parse_file(path: str) -> list[Import]:
     """The imports of one file on the driver; ValueError for an unsupported extension."""
     language = language_of_name(path)

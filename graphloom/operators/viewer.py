@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions.paths import basename, matches_view_pattern
+from graphloom.operators.graph import Graph
 from graphloom.schema import VIEWER_SCHEMA
 
 
@@ -95,3 +96,24 @@ def render_edges(edges: DataFrame) -> DataFrame:
     from graphloom.functions.ordering import with_index
 
     return with_index(edges, ["source", "target"], "_i").select(F.concat_ws("-", F.lit("edge"), "source", "target", F.col("_i").cast("string")).alias("id"), "source", "target", "inCycle")
+
+
+# The edges of the sample that the viewer shows before anything is loaded.
+SAMPLE_EDGES = [
+    ("src/index.ts", "src/app.ts"),
+    ("src/index.ts", "src/utils/helpers.ts"),
+    ("src/app.ts", "src/components/Button.tsx"),
+    ("src/app.ts", "src/services/api.ts"),
+    ("src/utils/helpers.ts", "src/utils/constants.ts"),
+    ("src/components/Button.tsx", "src/utils/helpers.ts"),
+    ("src/components/Button.tsx", "src/services/api.ts"),
+    ("src/services/api.ts", "src/services/auth.ts"),
+    ("src/services/auth.ts", "src/services/api.ts"),
+]
+SAMPLE_CHAIN = ["src/services/api.ts", "src/services/auth.ts", "src/services/api.ts"]
+
+
+def sample(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The sample's records (id, dependencies, dependents) and cycles (chain, length); dependents follow from the edges."""
+    records = Graph.from_edges(spark, SAMPLE_EDGES, "/project").adjacency().select(F.col("file_path").alias("id"), "dependencies", "dependents")
+    return records, spark.createDataFrame([(SAMPLE_CHAIN, len(SAMPLE_CHAIN) - 1)], "chain array<string>, length int")

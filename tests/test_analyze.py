@@ -133,3 +133,10 @@ def test_viewer(spark):
     assert sorted(r.id for r in V.render_edges(links).collect())[0] == "edge-c.ts-s/a.ts-0"
     with pytest.raises(ValueError):
         V.load(spark, "{broken")
+
+
+def test_viewer_sample(spark):
+    records, cycles = V.sample(spark)
+    assert records.count() == 7 and V.view_edges(records, cycles).count() == 9
+    assert sorted(records.filter("id = 'src/services/api.ts'").first().dependents) == ["src/app.ts", "src/components/Button.tsx", "src/services/auth.ts"]
+    assert sorted(r.id for r in V.view_nodes(records, cycles).filter("inCycle").collect()) == ["src/services/api.ts", "src/services/auth.ts"]

@@ -1,44 +1,26 @@
 """graphloom: dependency-graph analytics on Spark DataFrames.
 
-The public names, as one would import them:
+The public names are loaded when they are first used, so that Python workers
+import only the modules that their functions need:
 
     from graphloom import analyze_directory, AnalyzerOptions, Graph, find_cycles
 """
 
-from graphloom.functions.parse import parse_file, parse_source, with_imports
-from graphloom.functions.paths import is_supported, language_of, language_of_name
-from graphloom.operators.cycles import (
-    find_all_simple_cycles,
-    find_cycles,
-    find_cycles_involving_file,
-    find_longest_cycle,
-    find_strong_components,
-    has_cycles,
-)
-from graphloom.operators.graph import Graph
-from graphloom.plans.analyze import AnalysisResult, analyze_directory, analyze_file, has_circular_dependencies
-from graphloom.schema import DEFAULT_EXTENSIONS, DEFAULT_IGNORE_DIRS, EXTENSION_TO_LANGUAGE, AnalyzerOptions
+from importlib import import_module
 
-__all__ = [
-    "AnalysisResult",
-    "AnalyzerOptions",
-    "DEFAULT_EXTENSIONS",
-    "DEFAULT_IGNORE_DIRS",
-    "EXTENSION_TO_LANGUAGE",
-    "Graph",
-    "analyze_directory",
-    "analyze_file",
-    "find_all_simple_cycles",
-    "find_cycles",
-    "find_cycles_involving_file",
-    "find_longest_cycle",
-    "find_strong_components",
-    "has_circular_dependencies",
-    "has_cycles",
-    "is_supported",
-    "language_of",
-    "language_of_name",
-    "parse_file",
-    "parse_source",
-    "with_imports",
-]
+_HOME = {
+    "functions.parse": ["parse_file", "parse_source", "with_imports"],
+    "functions.paths": ["is_supported", "language_of", "language_of_name"],
+    "operators.cycles": ["find_all_simple_cycles", "find_cycles", "find_cycles_involving_file", "find_longest_cycle", "find_strong_components", "has_cycles"],
+    "operators.graph": ["Graph"],
+    "plans.analyze": ["AnalysisResult", "analyze_directory", "analyze_file", "has_circular_dependencies"],
+    "schema": ["DEFAULT_EXTENSIONS", "DEFAULT_IGNORE_DIRS", "EXTENSION_TO_LANGUAGE", "AnalyzerOptions"],
+}
+_MODULE = {name: module for module, names in _HOME.items() for name in names}
+__all__ = sorted(_MODULE)
+
+
+def __getattr__(name: str):
+    if name not in _MODULE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_MODULE[name]}"), name)

@@ -84,10 +84,9 @@ def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     plain = F.coalesce(text, F.lit(""))
     rows = Staged(_signatures(docs, id_col, text), "digests")
     best = Staged(keepers(rows.df, keep, fan_in).select(F.col("_best._id").alias("_id"), *KEY), "kept")
+    # one string key of identifier and signature, the same for join and window: one shuffle of the texts
+    key = F.concat_ws(":", F.hex("_digest"), "_check", "_length", F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit("null"))).alias("_key")
     marked = docs.select(packed(docs), F.col(id_col).alias("_id"), F.unhex(F.sha2(plain, 256)).alias("_digest"), F.xxhash64(plain).alias("_check"), F.octet_length(plain).alias("_length"))
-    same = F.col("d._id").eqNullSafe(F.col("k._id"))
-    for c in KEY:
-        same &= F.col(f"d.{c}") == F.col(f"k.{c}")
-    found = marked.alias("d").join(best.df.alias("k"), same, "left_semi")
-    order = Window.partitionBy("_id", *KEY).orderBy(F.xxhash64("_doc"))
+    found = marked.select("_doc", key).join(best.df.select(key), "_key", "left_semi")
+    order = Window.partitionBy("_key").orderBy(F.xxhash64("_doc"))
     return found.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*unpacked(docs.columns))

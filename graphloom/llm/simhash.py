@@ -140,8 +140,9 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, max_distance: int
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose identifier is the ``component_id`` that ``groups`` gives it, each identifier once."""
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    wide = docs.select(packed(docs), F.col(id_col).alias("_id"))
-    found = wide.alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")), "left_semi")
+    # one string key for identifiers and nulls, the same for join and window: one shuffle of the texts
+    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("_id")
+    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key).distinct()
+    found = docs.select(packed(docs), key).join(kept, "_id", "left_semi")
     order = Window.partitionBy("_id").orderBy(F.xxhash64("_doc"))
     return found.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*unpacked(docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from graphloom.llm.staging import Staged, packed, quoted, shuffle_width, unpacked
 
 _RANK_BITS = 33  # of monotonically_increasing_id
-ROWS_A_RANGE = 50_000
+ROWS_A_RANGE = 10_000
 #: Counts of the matrix up to which it is broadcast (32 MB); a larger one is joined by partition.
 MATRIX_BROADCAST = 4_000_000
 
@@ -84,7 +84,7 @@ def shard_uniformly(docs: DataFrame, shards: int, *, seed: int = 17) -> DataFram
     total = sum(n for _, n in counts)
     matrix = communication_matrix([n for _, n in counts], even_sizes(total, shards), seed)
     ends = spark.createDataFrame([(b, [int(x) for x in np.cumsum(matrix[i])]) for i, (b, _) in enumerate(counts)], "_block long, _ends array<long>")
-    ranges = max(1, -(-shuffle_width(spark) * 2 // shards), -(-total // (shards * ROWS_A_RANGE)))
+    ranges = max(1, -(-shuffle_width(spark) * 8 // shards), -(-total // (shards * ROWS_A_RANGE)))
     dealt = (
         rows.df.withColumn("_block", block)
         .join(F.broadcast(ends) if matrix.size <= MATRIX_BROADCAST else ends, "_block")

@@ -25,7 +25,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
 from graphloom.functions.ship import ship
@@ -59,6 +59,11 @@ def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
+def signature(text: Column) -> Column:
+    """The text's SHA-256; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
 def fingerprints(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """(_id, _fp) for each row of ``docs``."""
 

@@ -1,199 +1,3 @@
-"""Near-duplicates of similarity 0.8 and more by wide SimHash fingerprints.
+"""The near-duplicate groups of ``set_join`` under their first name; the wide fingerprints are no more."""
 
-Two texts whose shingle sets have Jaccard similarity s differ in a share of
-arccos(2s / (1 + s)) / pi of their fingerprints' bits: 15 % at 0.8. Over 64
-bits that says little; over 512 the share is known to within 1.6 points, and
-``max_share`` bounds it.
-
-No pigeonhole argument finds such pairs: 15 % of errors leave no segment of
-useful width with few of them for sure. Candidates are therefore pairs that
-agree in all bits of one of many segments, each a fixed random choice of bit
-places. Segments widen with the logarithm of the number of fingerprints, so
-chance meetings stay in proportion to the input, and their number is what
-finds a pair at the threshold with probability ``recall``. In a bucket of one
-segment value the members are compared with the hub, the one of them that has
-met most others over all segments, and in a small bucket with the least one
-too, so that buckets of any size add two rows a member at most; a group's
-members meet in many different buckets, which join them up. Before the full Hamming check a
-pigeonring filter drops pairs: with d bits allowed over m boxes in a ring,
-from some box on every chain of l boxes has at most l * d / m differences.
-Pairs that are left are verified on their whole texts.
-"""
-
-from __future__ import annotations
-
-import math
-from collections.abc import Iterator
-from itertools import islice, repeat
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from xxhash import xxh64_intdigest
-
-from graphloom.functions.ship import ship
-from graphloom.llm.components import connected_components
-from graphloom.llm.skew import join_to_unique
-from graphloom.llm.staging import Staged
-
-WORDS64 = 8
-BITS = 64 * WORDS64
-CHAIN = 3
-#: Members up to which a bucket's least one is compared with the others too.
-SMALL_BUCKET = 16
-_BLOCK = 1 << 13
-#: Odd multipliers that turn one 64-bit hash into WORDS64 of them, drawn once from a fixed seed.
-_TURN = np.random.default_rng(9).integers(1, 1 << 63, WORDS64, dtype=np.uint64) | np.uint64(1)
-
-
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """BITS bits: each set if it is set in over half of the shingles' hashes. Words as in ``simhash``."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(words) < shingle:
-        shingles = iter([b" ".join(words)] if words else [])
-    else:
-        shingles = map(b" ".join, zip(*[islice(words, i, None) for i in range(shingle)]))
-    hashes = map(xxh64_intdigest, shingles, repeat(42))
-    ones, total = np.zeros(BITS, dtype=np.int64), 0
-    while len(block := np.fromiter(islice(hashes, _BLOCK), dtype=np.uint64)):
-        mixed = block[:, None] * _TURN
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _TURN[::-1]
-        mixed ^= mixed >> np.uint64(32)
-        bits = np.unpackbits(mixed.view(np.uint8), axis=1)
-        # sums of at most 255 rows fit a byte
-        for at in range(0, len(bits), 255):
-            ones += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
-        total += len(block)
-    return np.packbits(2 * ones > total).tobytes()
-
-
-def segment_plan(fingerprints: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits of a segment, and the number of segments that find a pair of ``similarity`` with probability ``recall``."""
-    width = max(16, math.ceil(math.log2(max(2, fingerprints))) + 4)
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return width, math.ceil(math.log(1 - recall) / math.log1p(-((1 - share) ** width)))
-
-
-def _words(fp: Column) -> list[Column]:
-    """The fingerprint's 64-bit words."""
-    return [F.conv(F.hex(F.substring(fp, 8 * i + 1, 8)), 16, -10).cast("long") for i in range(WORDS64)]
-
-
-def within(a: str, b: str, allowed: int) -> tuple[Column, Column]:
-    """The differing bits of each word of the arrays ``a`` and ``b``, for ``_boxes``; and the condition on it that they are at most ``allowed``."""
-    boxes = F.transform(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), lambda z: F.bit_count(z["x"].bitwiseXOR(z["y"])))
-    box = lambda i: F.col("_boxes")[i % WORDS64]
-    chains = []
-    for start in range(WORDS64):
-        ok, total = F.lit(True), F.lit(0)
-        for length in range(1, CHAIN + 1):
-            total = total + box(start + length - 1)
-            ok = ok & (total * WORDS64 <= length * allowed)
-        chains.append(ok)
-    some = chains[0]
-    for x in chains[1:]:
-        some = some | x
-    return boxes, some & (sum((box(i) for i in range(WORDS64)), F.lit(0)) <= allowed)
-
-
-def _segments(each: DataFrame, width: int, number: int) -> DataFrame:
-    """(_key, _n): for each fingerprint ``_n`` a key in each segment; keys of different segments differ."""
-    places = np.stack([np.random.default_rng(1000 + j).choice(BITS, width, replace=False) for j in range(number)])
-    weights = (np.uint64(1) << np.arange(width, dtype=np.uint64))[:, None]
-    turn = np.uint64(0x9E3779B97F4A7C15)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
-                ids = batch.column(0).to_numpy()
-                for j in range(number):
-                    key = (bits[:, places[j]].astype(np.uint64) @ weights)[:, 0]
-                    # an exact pair of segment and value as long as both fit 64 bits
-                    mixed = ((np.uint64(j) << np.uint64(width)) | key) * turn
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(ids)], ["_key", "_n"])
-
-    return each.select("_n", "_fp").mapInArrow(run, "_key long, _n long")
-
-
-def shingle_set(text: str | None, shingle: int) -> set[bytes]:
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-
-
-def _verified(links: DataFrame, each: DataFrame, source: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The (u, v) of ``links`` whose texts' shingle sets have at least Jaccard ``similarity``.
-
-    Only texts that have a link are fetched, one for each fingerprint.
-    """
-    degrees = Staged(links.select(F.explode(F.array("u", "v")).alias("_n")).groupBy("_n").agg(F.count("*").alias("_k")).join(each.select("_n", "_fp", F.col("_least").alias("_id")), "_n"), "degrees")
-    fetched = source.join(degrees.df.select("_id").distinct(), "_id").groupBy("_id").agg(F.min("_text").alias("_text"))
-    texts = Staged(degrees.df.join(fetched, "_id").select("_n", "_k", "_text"), "texts")
-    side = lambda c: texts.df.select(F.col("_n").alias(c), "_k", F.col("_text").alias(f"_{c}"))
-    total = max(1, links.count())
-    half = join_to_unique(links, total, side("u"), ["u"], "_k").drop("_k")
-    both = join_to_unique(half, total, side("v"), ["v"], "_k")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                keep = []
-                for a, b in zip(batch.column(2), batch.column(3)):
-                    x, y = shingle_set(a.as_py(), shingle), shingle_set(b.as_py(), shingle)
-                    keep.append(len(x & y) >= similarity * len(x | y))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long")
-
-
-def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, max_share: float = 0.185, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, component_id.
-
-    Texts link if their fingerprints differ in at most ``max_share`` of the
-    bits and their sets of shingles have at least Jaccard ``similarity``.
-
-    ``component_id`` is the smallest identifier of the row's group. Null, empty
-    and blank texts have fingerprint zero and form one group. Equal rows stay
-    and get equal values; an empty table gives an empty one; other columns are
-    not read.
-    """
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.binary())], ["_id", "_fp"])
-
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = Staged(source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, _fp binary"), "wide")
-    each = Staged(rows.df.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_copies")).select("*", F.monotonically_increasing_id().alias("_n")), "wide-distinct")
-    count = each.df.count()
-    width, number = segment_plan(count, similarity, recall)
-    keys = _segments(each.df, width, number)
-    met = keys.groupBy("_key").agg(F.count("*").alias("_k")).filter("_k > 1")
-    met = Staged(met, "met")
-    shared = Staged(join_to_unique(keys, max(1, count * number), met.df, ["_key"], "_k"), "shared")
-    meetings = Staged(shared.df.groupBy("_n").agg(F.sum("_k").alias("_met")), "meetings")
-    weighed = shared.df.join(meetings.df, "_n")
-    heads = weighed.groupBy("_key").agg(F.max(F.struct("_met", (-F.col("_n")).alias("_o"))).alias("_hub"), F.min("_n").alias("_first"), F.count("*").alias("_k"))
-    heads = Staged(heads.select("_key", (-F.col("_hub._o")).alias("_hub"), "_first", "_k"), "heads")
-    faced = join_to_unique(shared.df.select("_key", "_n"), max(1, shared.df.count()), heads.df, ["_key"], "_k")
-    pairs = faced.select("_n", F.explode(F.when(F.col("_k") <= SMALL_BUCKET, F.array("_hub", "_first")).otherwise(F.array("_hub"))).alias("_o")).filter("_n <> _o").select(F.least("_n", "_o").alias("u"), F.greatest("_n", "_o").alias("v")).distinct()
-    pairs = Staged(pairs, "pairs")
-    words = Staged(each.df.select("_n", F.array(*_words(F.col("_fp"))).alias("_w")), "words")
-    # a hub may be in very many pairs
-    ends = Staged(pairs.df.groupBy("v").agg(F.count("*").alias("_k")).join(words.df.select(F.col("_n").alias("v"), F.col("_w").alias("_wv")), "v"), "ends-v")
-    begins = Staged(pairs.df.groupBy("u").agg(F.count("*").alias("_k")).join(words.df.select(F.col("_n").alias("u"), F.col("_w").alias("_wu")), "u"), "ends-u")
-    total = max(1, pairs.df.count())
-    half = Staged(join_to_unique(pairs.df, total, ends.df, ["v"], "_k").select("u", "v", "_wv"), "half")
-    both = join_to_unique(half.df, total, begins.df, ["u"], "_k")
-    boxes, near = within("_wu", "_wv", int(max_share * BITS))
-    links = Staged(both.withColumn("_boxes", boxes).filter(near).select("u", "v"), "near")
-    found = connected_components(_verified(links.df, each.df, source, shingle, similarity))
-    members = Staged(each.df.join(found, each.df._n == found.node, "left").select("_fp", "_least", "_copies", F.coalesce("component", "_n").alias("_root")), "wide-members")
-    roots = Staged(members.df.groupBy("_root").agg(F.min("_least").alias("_component"), F.count("*").alias("_k")), "wide-roots")
-    named = Staged(join_to_unique(members.df, max(1, count), roots.df, ["_root"], "_k").select("_fp", "_copies", "_component"), "wide-named")
-    joined = join_to_unique(rows.df, max(1, rows.df.count()), named.df, ["_fp"], "_copies")
-    return joined.select(F.col("_id").alias(id_col), F.col("_component").alias("component_id"))
+from graphloom.llm.set_join import shingle_set, similar_groups  # noqa: F401

@@ -64,18 +64,19 @@ def signature(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
-def fingerprints(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """(_id, _fp) for each row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, signed: bool = False) -> DataFrame:
+    """(_id, _fp), and ``_sig`` if ``signed``, for each row of ``docs``."""
+    more = ["_sig"] if signed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], ["_id", "_fp", *more])
 
     ship(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[signature(F.col(text_col)).alias(c) for c in more])
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, _fp long")
+    return source.mapInArrow(run, f"_id {kind}, _fp long" + ", _sig binary" * signed)
 
 
 def ring(max_distance: int) -> tuple[list[tuple[int, int, int]], int]:
@@ -120,34 +121,48 @@ def near_duplicate_groups(docs: DataFrame, *, shingle: int = 5, max_distance: in
     link like any other. Equal rows stay and get the same values. Other
     columns are not read. An empty table gives an empty one.
     """
-    rows = Staged(fingerprints(docs, shingle, id_col=id_col, text_col=text_col, seed=seed), "fingerprints")
+    joined = _members(fingerprints(docs, shingle, id_col=id_col, text_col=text_col, seed=seed), max_distance)
+    return joined.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+
+
+def _members(found: DataFrame, max_distance: int) -> DataFrame:
+    """``found`` (_id, _fp and others) with ``_root``, the group, and ``_component``, its least identifier."""
+    rows = Staged(found, "fingerprints")
     each = Staged(rows.df.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")), "distinct")
-    found = connected_components(links(each.df.select("_fp"), max_distance))
-    members = each.df.join(found, each.df._fp == found.node, "left").select("_fp", "_least", "_n", F.coalesce("component", "_fp").alias("_root"))
+    joined_up = connected_components(links(each.df.select("_fp"), max_distance))
+    members = each.df.join(joined_up, each.df._fp == joined_up.node, "left").select("_fp", "_least", "_n", F.coalesce("component", "_fp").alias("_root"))
     members = Staged(members, "members")
     least = members.df.groupBy("_root").agg(F.min("_least").alias("_component"), F.count("*").alias("_k"))
     least = Staged(least, "roots")
     named = join_to_unique(members.df, max(1, members.df.count()), least.df, ["_root"], "_k")
-    named = Staged(named.select("_fp", "_n", "_component"), "named")
-    joined = join_to_unique(rows.df, rows.df.count(), named.df, ["_fp"], "_n")
-    return joined.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    named = Staged(named.select("_fp", "_n", "_root", "_component"), "named")
+    return join_to_unique(rows.df, rows.df.count(), named.df, ["_fp"], "_n")
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` whose identifier is their group's smallest, with all their columns.
+    """One row of ``docs`` for each near-duplicate group, that of the smallest identifier, with all its columns.
 
-    Rows without an identifier go if their group has a row with one. Rows that
-    repeat the smallest identifier are equal for this purpose and all but the
-    first, by the hash of all columns, go.
+    Rows without an identifier go if their group has a row with one. Of rows
+    that repeat the smallest identifier, or that all have none, the one with
+    the least SHA-256 of the text stays, and of equal ones the first by the
+    hash of all columns.
     """
-    return keep_one(docs, near_duplicate_groups(docs, shingle=shingle, max_distance=max_distance, id_col=id_col, text_col=text_col, seed=seed), id_col)
+    found = fingerprints(docs, shingle, id_col=id_col, text_col=text_col, seed=seed, signed=True)
+    return keep_one(docs, _members(found, max_distance), id_col, text_col)
+
 
+def keep_one(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each ``_root`` of ``members`` (_id, _sig, _root).
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose identifier is the ``component_id`` that ``groups`` gives it, each identifier once."""
-    # one string key for identifiers and nulls, the same for join and window: one shuffle of the texts
-    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("_id")
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    found = docs.select(packed(docs), key).join(kept, "_id", "left_semi")
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("_doc"))
+    A row is known by its identifier and its text's digest: rows that share
+    both are of one group, rows that share the identifier alone, null or not,
+    may be of several.
+    """
+    # one string key, the same for join and window: one shuffle of the texts
+    key = F.concat_ws(":", F.hex("_sig"), F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit("null"))).alias("_key")
+    best = members.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_sig")).alias("_best"))
+    kept = best.select("_best._id", "_best._sig").select(key)
+    marked = docs.select(packed(docs), F.col(id_col).alias("_id"), signature(F.col(text_col)).alias("_sig"))
+    found = marked.select("_doc", key).join(kept, "_key", "left_semi")
+    order = Window.partitionBy("_key").orderBy(F.xxhash64("_doc"))
     return found.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*unpacked(docs.columns))

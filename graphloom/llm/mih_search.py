@@ -8,12 +8,13 @@ within Hamming radius r agree in at least one of m substrings up to r // m
 bits, so probing each substring's values within that radius retrieves every
 code within r; the full radius is then checked, and the vectors left are
 ranked by exact cosine. The radius is the smallest that keeps the wanted
-recall on a sample searched by brute force.
+recall on a sample searched by brute force; queries that find too few rows
+within it are searched again with a larger one.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ def learn_rotation(unit: np.ndarray, bits: int, rounds: int = 30, seed: int = 3)
 
 
 def fit(vectors: np.ndarray, *, bits: int | None = None, k: int = 5, recall: float = 0.99, probes: int = 200) -> Codes:
-    """Codes learnt from a sample of valid vectors; the radius is what ``probes`` of them need for ``recall`` at ``k``."""
+    """Codes learnt from a sample of valid vectors; the radius is what ``probes`` of them, drawn at random, need for ``recall`` at ``k``."""
     d = vectors.shape[1]
     bits = bits or -(-max(2 * d, 64) // SUBSTRING_BITS) * SUBSTRING_BITS
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -74,7 +75,7 @@ def fit(vectors: np.ndarray, *, bits: int | None = None, k: int = 5, recall: flo
     if len(vectors) > k + 1:
         packed = codes.encode(vectors)
         needed = []
-        for q in range(min(probes, len(vectors))):
+        for q in np.random.default_rng(11).permutation(len(vectors))[:probes]:
             near = np.argsort(-(unit @ unit[q]), kind="stable")
             near = near[near != q][:k]
             needed += np.bitwise_count(packed[near] ^ packed[q]).sum(axis=1).tolist()
@@ -149,7 +150,9 @@ def search(table: DataFrame, is_query, *, k: int = 5, recall: float = 0.99, id_c
     Rows whose vector is null, zero or holds null or non-finite components
     take no part, nor do those of another dimension than most. Identifiers are
     taken as unique; a repeated row counts once. Fewer than ``k`` other rows
-    give as many results. The codes are learnt from about ``sample`` rows at
+    give as many results; a query that finds fewer although there are more is
+    searched again, its radius doubled each time, at last to the whole code.
+    The codes are learnt from about ``sample`` rows at
     most, chosen by the hash of the identifier; every row is indexed.
 
     Rows are dealt into index blocks by the hash of their identifier, queries
@@ -170,23 +173,35 @@ def search(table: DataFrame, is_query, *, k: int = 5, recall: float = 0.99, id_c
     vectors = _matrix(got.column("_v"))[np.argsort(got.column("_id").to_numpy())]
     codes = fit(vectors if len(vectors) else _matrix(rows.df.limit(1).toArrow().column("_v")), k=k, recall=recall)
     dimension = len(codes.rotation)
-    shared = spark.sparkContext.broadcast(codes)
-    queries = rows.df.filter(is_query(F.col("_id")))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index_blocks = max(1, -(-total * dimension // INDEX_NUMBERS), min(width, total // 2_000))
-    query_blocks = max(1, -(-queries.count() * dimension // QUERY_NUMBERS))
-    index = rows.df.withColumn("_b", F.pmod(hashed, F.lit(index_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.withColumn("_q", F.pmod(hashed, F.lit(query_blocks)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if left.num_rows and right.num_rows:
-            block = BlockIndex(shared.value, left.column("_id").to_numpy(), _matrix(left.column("_v")))
-            ids, wanted = right.column("_id").to_numpy(), _matrix(right.column("_v"))
-            for i, v, c in zip(ids, wanted, shared.value.encode(wanted)):
-                out += [(int(i), n, s) for n, s in block.nearest(int(i), v, c, k)]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
-
-    found = index.groupBy("_b", "_q").cogroup(asked.groupBy("_b", "_q")).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(queries: DataFrame, codes: Codes) -> DataFrame:
+        shared = spark.sparkContext.broadcast(codes)
+        query_blocks = max(1, -(-queries.count() * dimension // QUERY_NUMBERS))
+        index = rows.df.withColumn("_b", F.pmod(hashed, F.lit(index_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        asked = queries.withColumn("_q", F.pmod(hashed, F.lit(query_blocks)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: list[tuple[int, int, float]] = []
+            if left.num_rows and right.num_rows:
+                block = BlockIndex(shared.value, left.column("_id").to_numpy(), _matrix(left.column("_v")))
+                ids, wanted = right.column("_id").to_numpy(), _matrix(right.column("_v"))
+                for i, v, c in zip(ids, wanted, shared.value.encode(wanted)):
+                    out += [(int(i), n, s) for n, s in block.nearest(int(i), v, c, k)]
+            return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
+
+        found = index.groupBy("_b", "_q").cogroup(asked.groupBy("_b", "_q")).applyInArrow(run, "query_id long, vec_id long, score double")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    queries, whole = rows.df.filter(is_query(F.col("_id"))), codes.rotation.shape[1]
+    done = spark.createDataFrame([], schema)
+    while True:
+        found = Staged(ranked(queries, codes), "found").df
+        full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, total - 1)).select(F.col("query_id").alias("_id"))
+        short = Staged(queries.join(full, "_id", "left_anti"), "short")
+        if codes.radius >= whole or short.df.isEmpty():
+            return done.unionByName(found)
+        done = done.unionByName(found.join(full.withColumnRenamed("_id", "query_id"), "query_id", "left_semi"))
+        queries, codes = short.df, replace(codes, radius=min(whole, max(2 * codes.radius, codes.substrings)))

@@ -1,11 +1,10 @@
-"""Exact dedup: a tree merge of sorted digest runs.
-
-Each input partition forms a run of (digest, best row, count) in digest order.
-Runs meet in rounds: run r goes to run r // fan_in, where runs are merged by
-digest and the best identifier of each is kept, until one run, dealt by digest
-over all tasks, is left. A digest thus has at most ``fan_in`` rows (plus what
-map-side merging already saved) to merge at any level, however often its text
-occurs. Only DataFrame operations are used.
+"""Exact dedup: a tree of partial aggregates by digest.
+
+Each input partition is a run of (digest, best row, count). In each round run
+r goes to run r // fan_in, and rows of one digest and run are aggregated by a
+hash-partitioned groupBy, until one run is left; with up to ``fan_in`` input
+partitions that is a single round. Nothing is sorted or merged by order.
+Only DataFrame operations are used.
 """
 
 from __future__ import annotations

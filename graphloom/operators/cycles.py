@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.functions.lineage import cut
 from graphloom.functions.ship import ship
-from graphloom.operators.fixpoint import strong_components, weak_components
+from graphloom.operators.fixpoint import fits_one_task, strong_components, weak_components
 from graphloom.operators.graph import Graph
-from graphloom.operators.kernels import Component
+from graphloom.operators.kernels import Component, strong
+from graphloom.schema import CYCLES_SCHEMA
 
 MAX_CYCLES = 1000
 
 
+def _rows(graph: Graph, labels: DataFrame) -> DataFrame:
+    """(label, ord, name, pos, to): each node of ``labels`` (node, label, ord), and each edge between two of one label by their places."""
+    nodes = labels.select("label", "ord", F.col("node").alias("name"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("to"))
+    source = labels.select(F.col("node").alias("src"), F.col("label").alias("_src"), F.col("ord").alias("_ord"))
+    target = labels.select(F.col("node").alias("dst"), "label", F.col("ord").alias("to"))
+    edges = graph.edges.select("src", "dst", "pos").join(source, "src").join(target, "dst").filter("_src = label")
+    return nodes.unionByName(edges.select("label", F.col("_ord").alias("ord"), F.lit(None).cast("string").alias("name"), "pos", "to"))
+
+
 def _by_component(graph: Graph) -> DataFrame:
-    """(label, src, src_ord, pos, dst, dst_ord) for each edge, and a row without target for each node without an edge out."""
+    """The graph's ``_rows`` by weak component. A small graph is one group: a search in node order gives the same then."""
     nodes = graph.nodes.select(F.col("file_path").alias("node"), "ord")
-    labels = weak_components(nodes.select("node"), graph.edges).join(nodes, "node")
-    out = graph.edges.select(F.col("src").alias("node"), "pos", "dst")
-    to = nodes.select(F.col("node").alias("dst"), F.col("ord").alias("dst_ord"))
-    return labels.join(out, "node", "left").join(to, "dst", "left").select("label", F.col("node").alias("src"), F.col("ord").alias("src_ord"), "pos", "dst", "dst_ord")
+    if fits_one_task(nodes, graph.edges):
+        return _rows(graph, nodes.withColumn("label", F.lit("")))
+    return _rows(graph, weak_components(nodes.select("node"), graph.edges).join(nodes, "node"))
+
+
+def _component(rows: pa.Table) -> Component:
+    alone = pc.is_null(rows.column("to"))
+    nodes, edges = rows.filter(alone), rows.filter(pc.invert(alone))
+    return Component(zip(nodes.column("ord").to_pylist(), nodes.column("name").to_pylist()), zip(*(edges.column(c).to_pylist() for c in ("ord", "pos", "to"))))
 
 
-def _component(rows: pd.DataFrame) -> Component:
-    edges = rows[rows["dst"].notna()]
-    nodes = dict(zip(rows["src"], rows["src_ord"].astype(int))) | dict(zip(edges["dst"], edges["dst_ord"].astype(int)))
-    return Component(nodes, list(zip(edges["src"], edges["pos"].astype(int), edges["dst"])))
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+_MEMBERS = pa.schema([("members", pa.list_(pa.string())), ("rank", pa.list_(pa.int64()))])
+_CHAINS = pa.schema([("chain", pa.list_(pa.string())), ("length", pa.int32()), ("rank", pa.list_(pa.int64()))])
 
 
 def find_strong_components(graph: Graph) -> DataFrame:
     """(members, rank): every component in search order, members last discovered first; order by ``rank``."""
     ship(graph.nodes.sparkSession)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         c = _component(rows)
-        return pd.DataFrame([(members, [c.order[start], i]) for i, (start, members) in enumerate(c.strong_components())], columns=["members", "rank"])
+        return _table([(c.named(members), [c.order[start], i]) for i, (start, members) in enumerate(strong(c.out))], _MEMBERS)
 
-    return _by_component(graph).groupBy("label").applyInPandas(run, "members array<string>, rank array<long>")
+    return _by_component(graph).groupBy("label").applyInArrow(run, "members array<string>, rank array<long>")
 
 
 def strong_component_labels(graph: Graph) -> DataFrame:
@@ -53,21 +74,25 @@ def find_cycles(graph: Graph) -> DataFrame:
     """(chain, length, rank): first the self-loops in node order, then one chain for each component of several nodes.
 
     ``length`` is the component's size, which its chain may fall short of.
+    The order of a depth-first search decides which chain it is, so a weakly
+    connected component is one task's work; it holds numbers for the edges and
+    each name once.
     """
     ship(graph.nodes.sparkSession)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         c = _component(rows)
-        found = [(c.first_cycle(members), len(members), [1, c.order[start], i]) for i, (start, members) in enumerate(c.strong_components()) if len(members) > 1]
-        return pd.DataFrame(found, columns=["chain", "length", "rank"])
+        found = ((start, members, i) for i, (start, members) in enumerate(strong(c.out)) if len(members) > 1)
+        return _table([(c.named(c.first_cycle(members)), len(members), [1, c.order[start], i]) for start, members, i in found], _CHAINS)
 
-    parts = _by_component(graph).groupBy("label").applyInPandas(run, "chain array<string>, length int, rank array<long>")
+    parts = _by_component(graph).groupBy("label").applyInArrow(run, CYCLES_SCHEMA)
     return self_loops(graph).unionByName(parts)
 
 
 def normalise_cycle(chain: Column) -> Column:
-    """The closed chain turned to start at its least element; one of at most one element stays."""
-    body = F.slice(chain, 1, F.greatest(F.size(chain) - 1, F.lit(1)))
+    """The chain turned to start at its least element, and closed; one of at most one element stays."""
+    closed = F.get(chain, F.lit(0)).eqNullSafe(F.get(chain, F.size(chain) - 1))
+    body = F.when(closed, F.slice(chain, 1, F.greatest(F.size(chain) - 1, F.lit(1)))).otherwise(chain)
     at = F.array_position(body, F.array_min(body)).cast("int")
     turned = F.concat(F.slice(body, at, F.size(body)), F.slice(body, 1, at - 1), F.array(F.array_min(body)))
     return F.when(F.size(chain) <= 1, chain).otherwise(turned)
@@ -84,24 +109,22 @@ def find_all_simple_cycles(graph: Graph, max_cycles: int = MAX_CYCLES) -> DataFr
     ``max_cycles`` bounds the hits before equal cycles are merged: a cycle of
     k nodes is hit k times, once from each. Hits count in the order of the
     starting node, then of target positions, over the whole graph.
+    Each cycle lies in one strong component, which is one task's work.
     """
     ship(graph.nodes.sparkSession)
+    nodes = graph.nodes.select(F.col("file_path").alias("node"), "ord")
+    labels = cut(strong_components(nodes.select("node"), graph.edges).join(nodes, "node"))
+    rows = cut(_rows(graph, labels))
+    cyclic = rows.join(rows.filter("to IS NOT NULL").select("label").distinct(), "label", "left_semi")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         c = _component(rows)
-        where = {n: set(members) for _, members in c.strong_components() for n in members}
-        hits = []
-        for start in c.names:
-            if len(hits) >= max_cycles:
-                break
-            for i, chain in enumerate(c.cycles_through(start, where[start])):
-                hits.append((chain, [c.order[start], i]))
-                if len(hits) >= max_cycles:
-                    break
-        return pd.DataFrame(hits, columns=["chain", "rank"])
-
-    hits = _by_component(graph).groupBy("label").applyInPandas(run, "chain array<string>, rank array<long>")
-    kept = deduplicate_cycles(hits.orderBy("rank").limit(max_cycles))
+        every = set(range(len(c.order)))
+        hits = ((c.named(chain), len(chain) - 1, [c.order[start], i]) for start in sorted(every) for i, chain in enumerate(c.cycles_through(start, every)))
+        return _table(list(islice(hits, max_cycles)), _CHAINS)
+
+    hits = cyclic.groupBy("label").applyInArrow(run, CYCLES_SCHEMA)
+    kept = deduplicate_cycles(hits.select("chain", "rank").orderBy("rank").limit(max_cycles))
     return kept.select("chain", (F.size("chain") - 1).alias("length"), "rank")
 
 
@@ -116,8 +139,9 @@ def find_longest_cycle(graph: Graph) -> DataFrame:
 
 
 def has_cycles(graph: Graph) -> bool:
-    """Whether a self-loop or a component of several nodes exists: whether anything is left after trimming."""
+    """Whether a self-loop or a component of several nodes exists."""
     if not graph.edges.filter("src = dst").isEmpty():
         return True
-    labels = strong_component_labels(graph)
-    return not labels.filter("file_path <> component").isEmpty()
+    # no node but an edge's can be on a cycle
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return not strong_components(ends, graph.edges).filter("node <> label").isEmpty()

@@ -1,51 +1,132 @@
-"""Reachability and components as iterated DataFrame operations.
-
-Each round's table is cut off from its lineage by a checkpoint in the shared
-folder, so a lost executor costs a round at most. Rounds stop when nothing new
-is found.
+"""Reachability and components of a graph of any size.
+
+Two ways give the same rows. A graph of at most ``LOCAL_ROWS`` nodes and edges,
+counted first, is handled by one linear-time kernel in one task (closure: one
+search a node, spread over all tasks). A larger one is handled by rounds of
+joins, each cut off from its lineage by a checkpoint in the shared folder, so
+that a lost executor costs a round at most. Rounds pass on labels both along
+edges and from a label's own node, which makes their number follow the
+logarithm of a path's length and not the length. A node of very many edges is
+a skewed join key that adaptive execution splits; what is grouped afterwards
+is grouped by the edges' other ends.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.lineage import cut
+from graphloom.functions.ship import ship
+from graphloom.operators import kernels
+
+#: Nodes and edges of a graph that one task may hold: some tens of MB.
+LOCAL_ROWS = 250_000
+_PAIRS_AT_ONCE = 1 << 16
+
+
+def fits_one_task(*tables: DataFrame) -> bool:
+    left = LOCAL_ROWS
+    for table in tables:
+        left -= table.count()
+        if left < 0:
+            return False
+    return True
+
+
+def _in_one_task(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` over all (a, b) of ``rows`` at once; it gives the columns of ``schema`` as lists."""
+    ship(rows.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for batch in batches:
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in kernel(a, b)], names)
+
+    return rows.repartition(1).mapInArrow(run, schema)
+
+
+def _links(edges: DataFrame, reverse: bool = False) -> DataFrame:
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
 def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """(node): what at least one edge (src, dst) leads to from the nodes of ``start`` (node); with ``reverse``, what leads to them."""
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("node")).distinct()
-    new = cut(start.select(F.col("node").alias("_from")).distinct().join(steps, "_from").select("node").distinct())
-    seen = new
-    while not new.isEmpty():
-        new = cut(new.select(F.col("node").alias("_from")).join(steps, "_from").select("node").distinct().join(seen, "node", "left_anti"))
-        seen = seen.unionByName(new)
-    return seen
+    links = _links(edges, reverse)
+    if fits_one_task(links, start):
+        return _in_one_task(links.unionByName(start.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"))), kernels.reached, "node string")
+    # labels "0" for what is reached, "1" and a node otherwise: the least one that leads to a node is spread
+    steps = cut(links.distinct())
+    marks = start.select("node", F.lit("0").alias("_mark")).distinct()
+    nodes = steps.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = cut(nodes.join(marks, "node", "left").select("node", F.coalesce("_mark", F.concat(F.lit("1"), "node")).alias("label")))
+    found = _spread_least(labels, steps.select(F.col("a").alias("node"), F.col("b").alias("to")), lambda node: F.concat(F.lit("1"), node))
+    return steps.join(found.filter("label = '0'").select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) that a path of one edge or more connects; only new pairs are extended in each round."""
+    """All pairs (src, dst) that a path of one edge or more connects."""
     steps = cut(edges.select("src", "dst").distinct())
+    if fits_one_task(steps):
+        return _closure_by_searches(steps)
+    # new pairs, those at a distance over half of what is covered, are extended by all pairs: the distance doubles in each round
     new = seen = steps
-    onward = steps.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
     while not new.isEmpty():
+        onward = seen.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
         new = cut(new.join(onward, "dst").select("src", F.col("_next").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti"))
-        seen = seen.unionByName(new)
+        seen = cut(seen.unionByName(new))
     return seen
 
 
-def _spread_least(labels: DataFrame, links: DataFrame, jump: bool) -> DataFrame:
-    """Labels (node, label) after each node took the least label along ``links`` (node, to) that point at it, until none changes.
+def _closure_by_searches(steps: DataFrame) -> DataFrame:
+    """``closure`` of at most LOCAL_ROWS edges, which are broadcast; every task searches from its share of the nodes."""
+    spark = ship(steps.sparkSession)
+    got = steps.toArrow()
+    names, numbers = kernels.numbered(got.column("src").to_pylist(), got.column("dst").to_pylist())
+    shared = spark.sparkContext.broadcast((names, kernels.targets_of(len(names), *numbers)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, out = shared.value
+        taken = pa.array(every, pa.string())
+        a: list[int] = []
+        b: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([taken.take(pa.array(x, pa.int64())) for x in (a, b)], ["src", "dst"])
+            a.clear()
+            b.clear()
+            return made
+
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                ends = kernels.search(out, [start])
+                b.extend(ends)
+                a.extend([start] * len(ends))
+                if len(a) >= _PAIRS_AT_ONCE:
+                    yield flush()
+        yield flush()
+
+    return spark.range(len(names)).mapInArrow(run, "src string, dst string")
 
-    ``jump``: a label that is itself a node passes on that node's label, which
-    takes the rounds from a component's diameter down to its logarithm.
+
+def _spread_least(labels: DataFrame, links: DataFrame, label_of=lambda node: node) -> DataFrame:
+    """Labels (node, label) after each node took the least label of all nodes that ``links`` (node, to) lead to it from.
+
+    Each label but a special one names a node that leads to its holder:
+    ``label_of`` that node. So what that node is labelled leads there too, and
+    is passed on as well.
     """
     while True:
-        offers = links.join(labels, "node").select(F.col("to").alias("node"), "label")
-        if jump:
-            offers = offers.unionByName(labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("_on")), "label").select("node", F.col("_on").alias("label")))
-        better = offers.groupBy("node").agg(F.min("label").alias("_offer"))
+        along = links.join(labels, "node").select(F.col("to").alias("node"), "label")
+        named = labels.select(label_of(F.col("node")).alias("label"), F.col("label").alias("_on"))
+        jumps = labels.join(named, "label").select("node", F.col("_on").alias("label"))
+        better = along.unionByName(jumps).groupBy("node").agg(F.min("label").alias("_offer"))
         after = cut(labels.join(better, "node", "left").select("node", F.least("label", F.coalesce("_offer", "label")).alias("label"), (F.col("_offer") < F.col("label")).alias("_changed")))
         changed = not after.filter("_changed").isEmpty()
         labels = after.drop("_changed")
@@ -53,22 +134,31 @@ def _spread_least(labels: DataFrame, links: DataFrame, jump: bool) -> DataFrame:
             return labels
 
 
+def _alone(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"))
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least node that edges, taken in both directions, connect a node of ``nodes`` (node) to."""
+    if fits_one_task(nodes, edges):
+        return _in_one_task(_links(edges).unionByName(_alone(nodes)), kernels.weak_labels, "node string, label string")
     ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).filter("node <> to")
     links = cut(ends.unionByName(ends.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct())
-    return _spread_least(cut(nodes.select("node", F.col("node").alias("label")).distinct()), links, jump=True)
+    return _spread_least(cut(nodes.select("node", F.col("node").alias("label")).distinct()), links)
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, trims: int = 3) -> DataFrame:
     """(node, label): the least node of a node's strongly connected component.
 
-    Nodes without a way in or out are components of their own and are trimmed
-    off first. Then, over and over: each node takes the least node that reaches
-    it as its colour; the nodes of a colour from which the node of that name
-    can be reached are its component and are removed. No pair of nodes is ever
-    enumerated, so a giant component costs its diameter, not its square.
+    In rounds: nodes without a way in or out are components of their own and
+    are trimmed off. Each other node takes the least node that leads to it as
+    its colour, and then, within the colour, the least node that it leads to.
+    Where both are the same, that is its component, which is removed. What is
+    left goes to the kernel as soon as it fits. No pair of nodes is ever
+    enumerated.
     """
+    if fits_one_task(nodes, edges):
+        return _in_one_task(_links(edges).unionByName(_alone(nodes)), kernels.strong_labels, "node string, label string")
     left = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     labels = nodes.select("node", F.col("node").alias("label")).distinct()
     found = None
@@ -78,18 +168,21 @@ def strong_components(nodes: DataFrame, edges: DataFrame, trims: int = 3) -> Dat
             left = cut(left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         if left.isEmpty():
             break
-        alive = cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-        colours = _spread_least(alive.select("node", F.col("node").alias("label")), left.select(F.col("src").alias("node"), F.col("dst").alias("to")), jump=False)
-        # backwards along edges within a colour
+        if fits_one_task(left):
+            part = _in_one_task(_links(left), kernels.strong_labels, "node string, label string")
+            found = part if found is None else found.unionByName(part)
+            break
+        own = cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()).select("node", F.col("node").alias("label"))
+        colours = _spread_least(own, left.select(F.col("src").alias("node"), F.col("dst").alias("to")))
         inside = cut(
             left.join(colours.select(F.col("node").alias("src"), F.col("label").alias("_c")), "src").join(colours.select(F.col("node").alias("dst"), F.col("label").alias("_d")), "dst").filter("_c = _d").select("src", "dst")
         )
-        roots = colours.filter("node = label").select("node")
-        back = reachable(inside, roots, reverse=True).unionByName(roots).distinct()
-        part = cut(back.join(colours, "node"))
+        led_to = _spread_least(own, inside.select(F.col("dst").alias("node"), F.col("src").alias("to")))
+        part = cut(colours.join(led_to, ["node", "label"]))
         found = part if found is None else found.unionByName(part)
         gone = part.select("node")
         left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     if found is None:
         return labels
     return labels.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+

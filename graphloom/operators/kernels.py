@@ -1,64 +1,140 @@
-"""Order-exact cycle algorithms over one weakly connected component.
+"""Graph algorithms within one task, on nodes numbered from 0. All are iterative.
 
-They run inside ``applyInPandas``: depth-first search never leaves such a
-component, so components can be handled apart and their results merged by the
-order of the nodes that the searches started from. All are iterative.
+``Component`` gives the order-exact cycles of one weakly connected component,
+or of several: depth-first search never leaves such a component, so components
+can be handled apart and their results merged by the order of the nodes that
+the searches started from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+
+import numpy as np
+
+
+def numbered(a: Iterable[str | None], b: Iterable[str | None]) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
+    """The distinct names in ascending order, and the pairs as their places; only pairs without a null."""
+    names = sorted({x for x in (*a, *b) if x is not None})
+    place = {x: i for i, x in enumerate(names)}
+    pairs = np.array([(place[x], place[y]) for x, y in zip(a, b) if x is not None and y is not None], dtype=np.int64).reshape(-1, 2)
+    return names, (pairs[:, 0], pairs[:, 1])
+
+
+def targets_of(n: int, sources: np.ndarray, targets: np.ndarray) -> list[list[int]]:
+    """Each node's targets, in the order of the pairs."""
+    order = np.argsort(sources, kind="stable")
+    ends = np.cumsum(np.bincount(sources, minlength=n)).tolist()
+    flat = targets[order].tolist()
+    return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def search(out: Sequence[list[int]], starts: Iterable[int]) -> list[int]:
+    """What one step or more lead to from ``starts``, in order of discovery."""
+    seen: dict[int, None] = {}
+    todo = list(starts)
+    while todo:
+        for to in out[todo.pop()]:
+            if to not in seen:
+                seen[to] = None
+                todo.append(to)
+    return list(seen)
+
+
+def strong(out: Sequence[list[int]]) -> Iterator[tuple[int, list[int]]]:
+    """(node the search started from, members with the last discovered first) of each strong component, in the order they are completed.
+
+    Searches start from the nodes in ascending order and follow targets in theirs.
+    """
+    n = len(out)
+    index, low = [-1] * n, [0] * n
+    waiting = bytearray(n)
+    stack: list[int] = []
+    seen = 0
+    for start in range(n):
+        if index[start] >= 0:
+            continue
+        calls = [(start, iter(out[start]))]
+        index[start] = low[start] = seen
+        seen += 1
+        stack.append(start)
+        waiting[start] = 1
+        while calls:
+            node, targets = calls[-1]
+            for to in targets:
+                if index[to] < 0:
+                    index[to] = low[to] = seen
+                    seen += 1
+                    stack.append(to)
+                    waiting[to] = 1
+                    calls.append((to, iter(out[to])))
+                    break
+                if waiting[to] and index[to] < low[node]:
+                    low[node] = index[to]
+            else:
+                calls.pop()
+                if calls and low[node] < low[calls[-1][0]]:
+                    low[calls[-1][0]] = low[node]
+                if low[node] == index[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(stack.pop())
+                        waiting[members[-1]] = 0
+                    yield start, members
+
+
+# kernels over (a, b) pairs of names, in which a pair without b stands for a node alone
+
+
+def reached(a: list[str], b: list[str | None]) -> tuple[list[str]]:
+    """What leads on from the nodes that stand alone."""
+    names, (s, d) = numbered(a, b)
+    place = {x: i for i, x in enumerate(names)}
+    starts = {place[x] for x, y in zip(a, b) if y is None}
+    return ([names[i] for i in search(targets_of(len(names), s, d), starts)],)
+
+
+def weak_labels(a: list[str], b: list[str | None]) -> tuple[list[str], list[str]]:
+    names, (s, d) = numbered(a, b)
+    label = np.arange(len(names))
+    while True:
+        after = label.copy()
+        least = np.minimum(label[s], label[d])
+        for at in (s, d, label[s], label[d]):
+            np.minimum.at(after, at, least)
+        after = after[after]
+        if (after == label).all():
+            return names, [names[i] for i in label.tolist()]
+        label = after
+
+
+def strong_labels(a: list[str], b: list[str | None]) -> tuple[list[str], list[str]]:
+    names, (s, d) = numbered(a, b)
+    label = list(range(len(names)))
+    for _, members in strong(targets_of(len(names), s, d)):
+        least = min(members)
+        for i in members:
+            label[i] = least
+    return names, [names[i] for i in label]
 
 
 class Component:
-    """Nodes in their order, each with its targets in theirs."""
-
-    def __init__(self, nodes: dict[str, int], edges: list[tuple[str, int, str]]):
-        """``nodes``: each node's place in the graph's order; ``edges``: (source, position, target)."""
-        self.order = nodes
-        self.names = sorted(nodes, key=nodes.__getitem__)
-        self.out: dict[str, list[str]] = {n: [] for n in self.names}
-        for source, _, target in sorted(edges, key=lambda e: (nodes[e[0]], e[1])):
-            self.out[source].append(target)
-
-    def strong_components(self) -> list[tuple[str, list[str]]]:
-        """(node the search started from, members with the last discovered first), in the order they are completed."""
-        index: dict[str, int] = {}
-        low: dict[str, int] = {}
-        stack: list[str] = []
-        waiting: set[str] = set()
-        found = []
-        for start in self.names:
-            if start in index:
-                continue
-            calls = [(start, iter(self.out[start]))]
-            index[start] = low[start] = len(index)
-            stack.append(start)
-            waiting.add(start)
-            while calls:
-                node, targets = calls[-1]
-                for to in targets:
-                    if to not in index:
-                        index[to] = low[to] = len(index)
-                        stack.append(to)
-                        waiting.add(to)
-                        calls.append((to, iter(self.out[to])))
-                        break
-                    if to in waiting:
-                        low[node] = min(low[node], index[to])
-                else:
-                    calls.pop()
-                    if calls:
-                        low[calls[-1][0]] = min(low[calls[-1][0]], low[node])
-                    if low[node] == index[node]:
-                        members = []
-                        while not members or members[-1] != node:
-                            members.append(stack.pop())
-                            waiting.discard(members[-1])
-                        found.append((start, members))
-        return found
-
-    def _closes(self, node: str, goal: str, allowed: set[str], path: set[str]) -> bool:
+    """Nodes in their order, each with its targets in theirs. Results hold names."""
+
+    def __init__(self, nodes: Iterable[tuple[int, str]], edges: Iterable[tuple[int, int, int]]):
+        """``nodes``: (place in the graph's order, name); ``edges``: (source's place, position, target's place)."""
+        known = sorted(nodes)
+        self.order = [o for o, _ in known]
+        self.names = [x for _, x in known]
+        place = {o: i for i, o in enumerate(self.order)}
+        self.out: list[list[int]] = [[] for _ in known]
+        for source, _, target in sorted(edges):
+            self.out[place[source]].append(place[target])
+
+    def named(self, numbers: Iterable[int]) -> list[str]:
+        return [self.names[i] for i in numbers]
+
+    def _closes(self, node: int, goal: int, allowed: set[int], path: set[int]) -> bool:
         """Whether ``goal`` can be reached from ``node`` through ``allowed`` nodes off the path."""
         seen, todo = {node}, [node]
         while todo:
@@ -70,7 +146,7 @@ class Component:
                     todo.append(to)
         return False
 
-    def cycles_through(self, start: str, allowed: set[str]) -> Iterator[list[str]]:
+    def cycles_through(self, start: int, allowed: set[int]) -> Iterator[list[int]]:
         """Closed chains of the simple cycles through ``start`` within ``allowed``, in the order of target positions.
 
         A branch is entered only if it can still close, so the time between
@@ -91,6 +167,18 @@ class Component:
                 todo.pop()
                 on.discard(path.pop())
 
-    def first_cycle(self, members: list[str]) -> list[str]:
-        """The closed chain from the first of ``members`` that a search in target order closes first."""
-        return next(self.cycles_through(members[0], set(members)), [*members, members[0]])
+    def first_cycle(self, members: list[int]) -> list[int]:
+        """The closed chain from the first of ``members`` that a search in target order closes first.
+
+        The path so far can always be closed, so a sole way on needs no test:
+        a ring takes linear time.
+        """
+        start, allowed = members[0], set(members)
+        path, on = [start], {start}
+        while True:
+            ways = [to for to in self.out[path[-1]] if to == start or to in allowed and to not in on]
+            to = next((x for x in ways[:-1] if x == start or self._closes(x, start, allowed, on)), ways[-1])
+            if to == start:
+                return [*path, start]
+            path.append(to)
+            on.add(to)

@@ -17,8 +17,6 @@ from graphloom.operators.resolve import resolve_imports
 from graphloom.schema import AnalyzerOptions
 from graphloom.sources.scan import discover_files, list_all_files, read_sources
 
-_IMPORT_BITS = 20
-
 
 @dataclass(frozen=True)
 class AnalysisResult:
@@ -37,12 +35,10 @@ def build_graph(sources: DataFrame, files: DataFrame, root: str, options: Analyz
     """
     parsed = cut(with_imports(sources))
     resolved = resolve_imports(imports_of(parsed), files, root, options)
-    numbered = with_index(parsed.select("path"), ["path"], "_file")
-    # imports of a file beyond 2**20 would reach into the next one's numbers
-    own = numbered.select(F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"), F.shiftleft("_file", _IMPORT_BITS).alias("seq"))
-    links = resolved.join(numbered, "path").select(F.col("path").alias("src"), F.col("resolved").alias("dst"), (F.shiftleft("_file", _IMPORT_BITS) + F.col("idx") + 1).alias("seq"))
+    own = parsed.select(F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(-1).alias("idx"))
+    mentions = own.unionByName(resolved.select(F.col("path").alias("src"), F.col("resolved").alias("dst"), "idx"))
     errors = parsed.select(F.col("path").alias("file"), F.explode("errors").alias("error"))
-    return Graph.from_mentions(own.unionByName(links), root).cut(), errors
+    return Graph.from_mentions(with_index(mentions, ["src", "idx"], "seq"), root).cut(), errors
 
 
 def graph_stats(graph: Graph, cycles: DataFrame, duration: int = 0, limit: int = 10) -> DataFrame:

@@ -3,27 +3,18 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
+_WILD = {"*": "[^/]*", "?": "[^/]"}
 
-@lru_cache(maxsize=1024)
-def _compiled(pattern: str) -> re.Pattern:
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif pattern.startswith("/**", i) and i + 3 == len(pattern):
-            out, i = out + "(?:/.*)?", i + 3
-        elif pattern[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif pattern[i] == "?":
-            out, i = out + "[^/]", i + 1
-        else:
-            out, i = out + re.escape(pattern[i]), i + 1
-    return re.compile(out.rstrip("/") + r"\Z")
 
+def _segment(text: str) -> str:
+    return "".join(_WILD.get(c) or re.escape(c) for c in text)
 
-def matches_glob(path: str, pattern: str) -> bool:
-    """Whether the glob matches ``path`` or a directory above it."""
-    parts = path.split("/")
-    return any(_compiled(pattern.rstrip("/")).match("/".join(parts[:n])) for n in range(1, len(parts) + 1))
+
+def glob_regex(pattern: str) -> str:
+    """A regular expression for what the glob matches, and for all that is below that."""
+    *above, last = pattern.rstrip("/").split("/")
+    begin = "".join("(?:[^/]+/)*" if x == "**" else _segment(x) + "/" for x in above)
+    if last == "**":
+        return "^" + (begin[:-1] + "(?:/|$)" if begin.endswith("/") else begin)
+    return "^" + begin + _segment(last) + "(?:/|$)"

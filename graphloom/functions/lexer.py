@@ -9,7 +9,8 @@ the next character.
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
+from collections.abc import Generator
+from typing import Any, NamedTuple
 
 
 class Token(NamedTuple):
@@ -32,6 +33,10 @@ _BEFORE_EXPRESSION = frozenset("return typeof case in of delete void throw new e
 _AFTER_VALUE = frozenset([")", "]", "}", "++", "--"])
 
 
+#: A routine of the scanner: it yields routines to run first, whose results it gets, so that nesting needs no recursion.
+Steps = Generator["Steps", Any, Any]
+
+
 class Scanner:
     def __init__(self, source: str, language: str):
         self.s, self.jsx = source, language != "typescript"
@@ -89,7 +94,7 @@ class Scanner:
             i += 1
         return -1
 
-    def _template(self) -> None:
+    def _template(self) -> Steps:
         self.out.append(Token("template", "`", self.line))
         self.at += 1
         while self.at < len(self.s):
@@ -101,7 +106,7 @@ class Scanner:
                 return
             elif self.s.startswith("${", self.at):
                 self._add("mark", self.at + 2)
-                self._code("}")
+                yield self._code("}")
             else:
                 self._to(self.at + 1)
 
@@ -114,12 +119,12 @@ class Scanner:
         # a generic arrow function: <T,> or <T extends X>
         return not re.match(r"\s*[\w$]+\s*(?:,|extends\b|=)", tail)
 
-    def _jsx(self) -> None:
+    def _jsx(self) -> Steps:
         """An element: its tag, then children until it closes."""
         depth = 0
         while self.at < len(self.s):
             closing = bool(re.match(r"<\s*/", self.s[self.at : self.at + 20]))
-            open_ended = self._jsx_tag()
+            open_ended = yield self._jsx_tag()
             depth += -1 if closing else 1 if open_ended else 0
             if depth <= 0:
                 self.out.append(Token("text", ">", self.line))
@@ -127,11 +132,11 @@ class Scanner:
             while self.at < len(self.s) and self.s[self.at] != "<":
                 if self.s[self.at] == "{":
                     self._add("mark", self.at + 1)
-                    self._code("}")
+                    yield self._code("}")
                 else:
                     self._to(self.at + 1)
 
-    def _jsx_tag(self) -> bool:
+    def _jsx_tag(self) -> Steps:
         """Goes past a tag; whether it is left open."""
         self.at += 1
         before = ""
@@ -142,7 +147,7 @@ class Scanner:
                 self._to(len(self.s) if end < 0 else end + 1)
             elif c == "{":
                 self._add("mark", self.at + 1)
-                self._code("}")
+                yield self._code("}")
             elif c == ">":
                 self.at += 1
                 return before != "/"
@@ -152,7 +157,7 @@ class Scanner:
                 before = c
         return False
 
-    def _code(self, until: str | None) -> None:
+    def _code(self, until: str | None) -> Steps:
         depth, s = 0, self.s
         while self.at < len(s):
             c = s[self.at]
@@ -167,11 +172,11 @@ class Scanner:
             elif c in "\"'":
                 self._add("string", self._string_end(c))
             elif c == "`":
-                self._template()
+                yield self._template()
             elif c == "/" and self._expression_may_start() and (end := self._regex_end()) > 0:
                 self._add("regex", end)
             elif c == "<" and self._jsx_opens():
-                self._jsx()
+                yield self._jsx()
             elif c.isdigit() and (m := _NUMBER.match(s, self.at)):
                 self._add("number", m.end())
             elif m := _NAME.match(s, self.at):
@@ -188,7 +193,14 @@ class Scanner:
                 self._add("mark", self.at + len(mark))
 
     def tokens(self) -> list[Token]:
-        self._code(None)
+        stack, value = [self._code(None)], None
+        while stack:
+            try:
+                stack.append(stack[-1].send(value))
+                value = None
+            except StopIteration as done:
+                stack.pop()
+                value = done.value
         return self.out
 
 

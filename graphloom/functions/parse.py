@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,15 +13,15 @@ from graphloom.functions.paths import language_of_name
 from graphloom.functions.ship import ship
 from graphloom.schema import IMPORTS
 
-__all__ = ["parse_source", "parse_file", "with_imports", "imports_of", "register_parse_imports"]
+__all__ = ["init_parser", "parse_source", "parse_file", "with_imports", "imports_of", "register_parse_imports"]
 
 _ARROW = pa.list_(pa.struct([("source", pa.string()), ("specifiers", pa.list_(pa.string())), ("type", pa.string()), ("line", pa.int32())]))
 
 
-def check_language(language: str) -> str:
-    """``language`` if sources of it can be parsed; ValueError otherwise. The scanner has no state to set up."""
+def init_parser(language: str = "typescript") -> Callable[[str | None], list[Import]]:
+    """A parser of sources in ``language``; ValueError for one that is not supported. The scanner has no state to set up."""
     parse_source("", language)
-    return language
+    return lambda source: parse_source(source, language)
 
 
 def parse_file(path: str) -> list[Import]:

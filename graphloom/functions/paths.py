@@ -104,4 +104,5 @@ def matches_view_pattern(path: Column, pattern: str) -> Column:
     """Case-insensitive match anywhere; only ``*`` and ``?`` are special; an empty pattern matches all."""
     if not pattern:
         return F.lit(True)
-    return path.rlike("(?i)" + re.sub(r"[.+^${}()|\[\]\\]", lambda m: "\\" + m[0], pattern).replace("*", ".*").replace("?", "."))
+    wild = {"*": ".*", "?": "."}
+    return path.rlike("(?i)" + "".join(wild.get(c) or re.escape(c) for c in pattern))

@@ -20,7 +20,7 @@ def alias_target(source: Column, options: AnalyzerOptions, root: str) -> Column:
             prefix = pattern[:-1]
             to = first[:-2] if first.endswith("/*") else first
             rest = F.substring(source, len(prefix) + 1, 1 << 20)
-            found = F.when(source.startswith(prefix), resolve(F.lit(base), F.concat(F.lit(to + "/"), rest))).otherwise(found)
+            found = F.when(source.startswith(prefix), resolve(resolve(F.lit(base), F.lit(to)), rest)).otherwise(found)
         else:
             rest = F.substring(source, len(pattern) + 1, 1 << 20)
             found = F.when(source == pattern, resolve(F.lit(base), F.lit(first))).when(source.startswith(pattern + "/"), resolve(F.lit(base), F.concat(F.lit(first), rest))).otherwise(found)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions.paths import basename, matches_view_pattern
-from graphloom.operators.graph import Graph
 from graphloom.schema import VIEWER_SCHEMA
 
 
+def load_documents(texts: DataFrame, column: str) -> DataFrame:
+    """Rows of VIEWER_SCHEMA from a column of JSON texts; rows of nulls for texts that are no such document."""
+    return texts.select(F.from_json(column, VIEWER_SCHEMA).alias("d")).select("d.*")
+
+
 def load(spark: SparkSession, text: str) -> DataFrame:
     """One row of VIEWER_SCHEMA from a JSON text; ValueError if it is not such a document."""
-    row = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", VIEWER_SCHEMA).alias("d")).select("d.*")
+    row = load_documents(spark.createDataFrame([(text,)], "text string"), "text")
     if row.filter("nodes IS NOT NULL").isEmpty():
         raise ValueError("Invalid JSON file")
     return row
@@ -98,22 +102,24 @@ def render_edges(edges: DataFrame) -> DataFrame:
     return with_index(edges, ["source", "target"], "_i").select(F.concat_ws("-", F.lit("edge"), "source", "target", F.col("_i").cast("string")).alias("id"), "source", "target", "inCycle")
 
 
-# The edges of the sample that the viewer shows before anything is loaded.
-SAMPLE_EDGES = [
-    ("src/index.ts", "src/app.ts"),
-    ("src/index.ts", "src/utils/helpers.ts"),
-    ("src/app.ts", "src/components/Button.tsx"),
-    ("src/app.ts", "src/services/api.ts"),
-    ("src/utils/helpers.ts", "src/utils/constants.ts"),
-    ("src/components/Button.tsx", "src/utils/helpers.ts"),
-    ("src/components/Button.tsx", "src/services/api.ts"),
-    ("src/services/api.ts", "src/services/auth.ts"),
-    ("src/services/auth.ts", "src/services/api.ts"),
-]
-SAMPLE_CHAIN = ["src/services/api.ts", "src/services/auth.ts", "src/services/api.ts"]
+# The sample that the viewer shows before anything is loaded.
+SAMPLE = {
+    "rootDir": "/project",
+    "nodes": [
+        {"id": "src/index.ts", "dependencies": ["src/app.ts", "src/utils/helpers.ts"], "dependents": []},
+        {"id": "src/app.ts", "dependencies": ["src/components/Button.tsx", "src/services/api.ts"], "dependents": ["src/index.ts"]},
+        {"id": "src/utils/helpers.ts", "dependencies": ["src/utils/constants.ts"], "dependents": ["src/index.ts", "src/components/Button.tsx"]},
+        {"id": "src/utils/constants.ts", "dependencies": [], "dependents": ["src/utils/helpers.ts"]},
+        {"id": "src/components/Button.tsx", "dependencies": ["src/utils/helpers.ts", "src/services/api.ts"], "dependents": ["src/app.ts"]},
+        {"id": "src/services/api.ts", "dependencies": ["src/services/auth.ts"], "dependents": ["src/app.ts", "src/components/Button.tsx"]},
+        {"id": "src/services/auth.ts", "dependencies": ["src/services/api.ts"], "dependents": ["src/services/api.ts"]},
+    ],
+    "cycles": [{"chain": ["src/services/api.ts", "src/services/auth.ts", "src/services/api.ts"], "length": 2}],
+    "stats": {"totalFiles": 7, "totalDependencies": 9, "circularDependencies": 1},
+}
 
 
 def sample(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The sample's records (id, dependencies, dependents) and cycles (chain, length); dependents follow from the edges."""
-    records = Graph.from_edges(spark, SAMPLE_EDGES, "/project").adjacency().select(F.col("file_path").alias("id"), "dependencies", "dependents")
-    return records, spark.createDataFrame([(SAMPLE_CHAIN, len(SAMPLE_CHAIN) - 1)], "chain array<string>, length int")
+    """The sample's records (id, dependencies, dependents) and cycles (chain, length), as they are stated."""
+    records = spark.createDataFrame([(r["id"], r["dependencies"], r["dependents"]) for r in SAMPLE["nodes"]], "id string, dependencies array<string>, dependents array<string>")
+    return records, spark.createDataFrame([(c["chain"], c["length"]) for c in SAMPLE["cycles"]], "chain array<string>, length int")

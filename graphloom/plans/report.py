@@ -55,22 +55,28 @@ def write_report(result: AnalysisResult, base: str, folder: str) -> None:
         df.write.mode("overwrite").json(posixpath.join(folder, name))
 
 
+# The report's lines.
+_TITLE, _FILES, _EDGES, _CYCLES = "📊 Analysis Results", "Files analyzed: {}", "Dependencies: {}", "Circular dependencies: {}"
+_NONE, _FOUND, _CHAIN, _SIZE = "✅ No circular dependencies found!", "❌ Found {} circular dependency chain{}:", "  {}. {}", "     Files involved: {}"
+_ERRORS, _ERROR, _MORE = "⚠️  {} file(s) had parsing errors:", "  {}: {}", "  ... and {} more"
+
+
 def text_report(result: AnalysisResult, base: str) -> str:
     """Counts, the numbered cycles, and at most SHOWN_ERRORS errors with the number of the others."""
     s = result.stats.first()
-    lines = ["", "📊 Analysis Results", "", f"Files analyzed: {s['totalFiles']}", f"Dependencies: {s['totalDependencies']}", f"Circular dependencies: {s['circularDependencies']}"]
-    cycles = report_tables(result, base)["cycles"].select(cycle_text(F.col("chain")).alias("text"), "length").collect()
-    if not cycles:
-        lines += ["", "✅ No circular dependencies found!", ""]
-    else:
-        lines += ["", f"❌ Found {len(cycles)} circular dependency chain{'s' if len(cycles) > 1 else ''}:", ""]
+    tables = report_tables(result, base)
+    lines = ["", _TITLE, "", _FILES.format(s["totalFiles"]), _EDGES.format(s["totalDependencies"]), _CYCLES.format(s["circularDependencies"])]
+    cycles = tables["cycles"].select(cycle_text(F.col("chain")).alias("text"), "length").collect()
+    if cycles:
+        lines += ["", _FOUND.format(len(cycles), "s" if len(cycles) > 1 else ""), ""]
         for i, c in enumerate(cycles, 1):
-            lines += [f"  {i}. {c['text']}", f"     Files involved: {c['length']}"]
-        lines.append("")
+            lines += [_CHAIN.format(i, c["text"]), _SIZE.format(c["length"])]
+    else:
+        lines += ["", _NONE]
+    lines.append("")
     number = result.errors.count()
     if number:
-        lines += ["", f"⚠️  {number} file(s) had parsing errors:", ""]
-        lines += [f"  {e['file']}: {e['error']}" for e in report_tables(result, base)["errors"].limit(SHOWN_ERRORS).collect()]
+        lines += ["", _ERRORS.format(number), "", *(_ERROR.format(e["file"], e["error"]) for e in tables["errors"].limit(SHOWN_ERRORS).collect())]
         if number > SHOWN_ERRORS:
-            lines.append(f"  ... and {number - SHOWN_ERRORS} more")
+            lines.append(_MORE.format(number - SHOWN_ERRORS))
     return "\n".join(lines)

@@ -20,7 +20,6 @@ DEFAULT_IGNORE_DIRS = ["node_modules", "dist", "build", ".git", "coverage", ".ne
 
 IMPORT = "struct<source:string,specifiers:array<string>,type:string,line:int>"
 IMPORTS = f"array<{IMPORT}>"
-SOURCES_SCHEMA = "path string, language string, content string"
 NODES_SCHEMA = "file_path string, ord long"
 EDGES_SCHEMA = "src string, dst string, src_ord long, pos long"
 #: rank: what the cycles are ordered by

@@ -137,6 +137,33 @@ def test_viewer(spark):
 
 def test_viewer_sample(spark):
     records, cycles = V.sample(spark)
-    assert records.count() == 7 and V.view_edges(records, cycles).count() == 9
-    assert sorted(records.filter("id = 'src/services/api.ts'").first().dependents) == ["src/app.ts", "src/components/Button.tsx", "src/services/auth.ts"]
+    assert records.count() == V.SAMPLE["stats"]["totalFiles"] and V.view_edges(records, cycles).count() == V.SAMPLE["stats"]["totalDependencies"]
+    assert sorted(records.filter("id = 'src/services/api.ts'").first().dependents) == ["src/app.ts", "src/components/Button.tsx"]
     assert sorted(r.id for r in V.view_nodes(records, cycles).filter("inCycle").collect()) == ["src/services/api.ts", "src/services/auth.ts"]
+
+
+def test_contents_are_read_by_executors(spark, tmp_path):
+    """Odd bytes and names survive; what is ignored is not opened, whatever its size."""
+    root = tree(tmp_path, {"a.ts": "import './b'", "[id].ts": "import './a'", "node_modules/x.ts": "", "e.ts": ""})
+    (tmp_path / "b.ts").write_bytes(b"// caf\xe9 \xff\nimport './[id]'")
+    with open(tmp_path / "node_modules/huge.ts", "wb") as huge:
+        huge.truncate(3 << 30)  # beyond what a binary value may hold
+    for sources in (scan.read_sources(spark, scan.discover_files(root)), scan.scan_store(spark, root)[0]):
+        found = {r.path.removeprefix(root + "/"): r.content for r in sources.collect()}
+        assert set(found) == {"a.ts", "b.ts", "[id].ts", "e.ts"} and found["e.ts"] == "" and "\ufffd" in found["b.ts"]
+    assert edges(A.analyze_directory(spark, root), root) == [("[id].ts", "a.ts"), ("a.ts", "b.ts"), ("b.ts", "[id].ts")]
+    gone = scan.read_sources(spark, [root + "/a.ts", root + "/gone.ts"]).filter("content IS NULL").collect()
+    assert [r.path for r in gone] == [root + "/gone.ts"]
+
+
+def test_alias_to_the_base(spark, tmp_path):
+    root = tree(tmp_path, {"a.ts": "import './b/x'", "x.ts": ""})
+    for to in ("", "./*"):
+        assert edges(A.analyze_directory(spark, root, AnalyzerOptions(path_aliases={"./b/*": [to]})), root) == [("a.ts", "x.ts")]
+
+
+def test_public_names():
+    import graphloom
+
+    assert all(getattr(graphloom, name) for name in graphloom.__all__)
+    assert [x.source for x in graphloom.init_parser("tsx")("import 'q'")] == ["q"]

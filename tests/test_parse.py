@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexer import parse_source
-from graphloom.functions.parse import parse_file, register_parse_imports, with_imports
+from graphloom.functions.parse import init_parser, parse_file, register_parse_imports, with_imports
 from graphloom.functions.paths import is_supported, language_of, language_of_name
 
 
@@ -14,24 +14,24 @@ def one(text, language="typescript"):
 @pytest.mark.parametrize(
     "text, source, specifiers, kind",
     [
-        ("import foo from 'foo-module';", "foo-module", ["foo"], "esm"),
-        ("import { foo, bar } from 'my-module';", "my-module", ["foo", "bar"], "esm"),
-        ("import { foo as myFoo } from 'my-module';", "my-module", ["myFoo"], "esm"),
-        ("import * as utils from './utils';", "./utils", ["* as utils"], "esm"),
-        ("import 'polyfill';", "polyfill", [], "esm"),
-        ("import React, { useState, useEffect } from 'react';", "react", ["React", "useState", "useEffect"], "esm"),
-        ("import { helper } from '../utils/helper';", "../utils/helper", ["helper"], "esm"),
-        ("const foo = require('foo-module');", "foo-module", ["foo"], "cjs"),
-        ("const { foo, bar } = require('my-module');", "my-module", ["foo", "bar"], "cjs"),
-        ("const { foo: a, b = 1, ...c } = require('m');", "m", ["a"], "cjs"),
-        ("require('side-effect');", "side-effect", [], "cjs"),
+        ("import knob from 'dials';", "dials", ["knob"], "esm"),
+        ("import { left, right } from 'sides';", "sides", ["left", "right"], "esm"),
+        ("import { left as port } from 'sides';", "sides", ["port"], "esm"),
+        ("import * as tools from './shed';", "./shed", ["* as tools"], "esm"),
+        ("import 'shims';", "shims", [], "esm"),
+        ("import Panel, { dock, undock } from 'panels';", "panels", ["Panel", "dock", "undock"], "esm"),
+        ("import { lamp } from '../hall/lamp';", "../hall/lamp", ["lamp"], "esm"),
+        ("const knob = require('dials');", "dials", ["knob"], "cjs"),
+        ("const { left, right } = require('sides');", "sides", ["left", "right"], "cjs"),
+        ("const { left: a, right = 1, ...c } = require('m');", "m", ["a"], "cjs"),
+        ("require('on-load');", "on-load", [], "cjs"),
         ("const y = require('x').y;", "x", [], "cjs"),
-        ("const a: Foo = require('x');", "x", ["a"], "cjs"),
-        ("export { foo, bar as q } from './module';", "./module", ["foo", "bar"], "esm"),
-        ("export * from './module';", "./module", ["*"], "esm"),
-        ("export * as ns from './module';", "./module", [], "esm"),
-        ("import type { MyType } from './types';", "./types", ["MyType"], "esm"),
-        ("import type Foo from './types';", "./types", ["Foo"], "esm"),
+        ("const a: Kind = require('x');", "x", ["a"], "cjs"),
+        ("export { left, right as q } from './sides';", "./sides", ["left", "right"], "esm"),
+        ("export * from './sides';", "./sides", ["*"], "esm"),
+        ("export * as ns from './sides';", "./sides", [], "esm"),
+        ("import type { Kind } from './kinds';", "./kinds", ["Kind"], "esm"),
+        ("import type Kind from './kinds';", "./kinds", ["Kind"], "esm"),
         ("import { type A, type B as C } from 'u';", "u", ["A", "C"], "esm"),
         ("const f = async () => import('lazy');", "lazy", [], "esm"),
         ("import(x, 'second');", "second", [], "esm"),
@@ -44,9 +44,9 @@ def test_forms(text, source, specifiers, kind):
 
 
 def test_order_and_lines():
-    text = "\nimport foo from 'foo';\n\nconst bar = require('bar');\nexport * from 'baz';\nimport('qux');\nimport foo2 from 'foo';"
+    text = "\nimport one from 'p1';\n\nconst two = require('p2');\nexport * from 'p3';\nimport('p4');\nimport again from 'p1';"
     found = parse_source(text)
-    assert [(x.source, x.line) for x in found] == [("foo", 2), ("bar", 4), ("baz", 5), ("qux", 6), ("foo", 7)]
+    assert [(x.source, x.line) for x in found] == [("p1", 2), ("p2", 4), ("p3", 5), ("p4", 6), ("p1", 7)]
 
 
 @pytest.mark.parametrize(
@@ -81,6 +81,15 @@ def test_bad_source_and_language():
     assert parse_source(None) == []
     with pytest.raises(ValueError):
         parse_source("", "python")
+    with pytest.raises(ValueError):
+        init_parser("python")
+
+
+def test_deep_nesting():
+    depth = 5_000
+    assert [x.source for x in parse_source("`${" * depth + "require('x')" + "}`" * depth)] == ["x"]
+    assert [x.source for x in parse_source("<a>{" * depth + "require('x')" + "}</a>" * depth, "tsx")] == ["x"]
+    assert [x.source for x in parse_source("(" * depth + "{[" * depth + "import('x')")] == ["x"]
 
 
 def test_file(tmp_path):

@@ -7,45 +7,9 @@ between them, and lineage ends at a file.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder and any other
-    one a folder of the warehouse, which a cluster shares by definition.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="graphloom-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Staged:
-    """A written table: ``df`` reads it, ``drop`` deletes its files."""
-
-    def __init__(self, df: DataFrame, tag: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_root(self.spark)}/staged-{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self._on_fs(lambda fs, path: fs.deleteOnExit(path))
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def _on_fs(self, act) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        act(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path)
-
-    def drop(self) -> None:
-        self._on_fs(lambda fs, path: fs.delete(path, True))
+from graphloom.functions.lineage import Staged, shared_root  # noqa: F401
 
 
 def quoted(name: str) -> str:

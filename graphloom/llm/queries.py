@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm import bpe, ecoc_langid, exact_dedup, gbt_toxicity, mih_search, qda_quality, sharding, simhash, soft_mixing, url_filter
 
 
-#: The vocabulary file; a copy of it anywhere on the driver will do.
-TOKENIZER = os.environ.get("BPE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: The vocabulary file.
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +100,8 @@ MIX_WEIGHTS = {"clean": 0.9, "junk": 0.05, "toxic": 0.05}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").otherwise("clean")
+    """(doc_id, domain); no domain where a label that would decide it is null or neither 0 nor 1."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when((F.col("toxic") == 0) & (F.col("quality") == 0), "junk").when((F.col("toxic") == 0) & (F.col("quality") == 1), "clean")
     return labels.select("doc_id", domain.alias("domain"))
 
 

@@ -1,10 +1,15 @@
-"""Exact dedup: a tree of partial aggregates by digest.
-
-Each input partition is a run of (digest, best row, count). In each round run
-r goes to run r // fan_in, and rows of one digest and run are aggregated by a
-hash-partitioned groupBy, until one run is left; with up to ``fan_in`` input
-partitions that is a single round. Nothing is sorted or merged by order.
-Only DataFrame operations are used.
+"""Exact dedup: a tree merge of digest runs.
+
+Each input partition is a run of (digest, best row, count). In each round the
+runs r with the same r // FAN_IN are merged into one, FAN_IN at a time: they
+are dealt by digest, each task sorts what it gets by digest and goes through
+it once, and of equal digests the smallest (or largest) identifier and the sum
+of the counts are kept. Spark does that as a sort-based aggregate, since a
+struct is what is kept, before and after each exchange: what a partition sends
+is sorted and merged already. Rounds follow the logarithm of the number of
+partitions to the base FAN_IN, until one run is left. Equal counts as verified
+where SHA-256, XXH64 and length of the text all agree, at every level; the
+texts themselves are not compared. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from graphloom.llm.skew import join_to_unique
 from graphloom.llm.staging import Staged, packed, unpacked
 
-FAN_IN = 16
+FAN_IN = 4
 #: What stands for a text: two digests and the length. Equal in all three counts as verified equal.
 KEY = ["_digest", "_check", "_length"]
 

@@ -200,7 +200,7 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 3, rate
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rising step curve closest to ``y`` over ``margin``, by pooling adjacent violators: block middles and values."""
-    order = np.lexsort((y, margin))
+    order = np.lexsort((-y, margin))  # equal margins violate the order, so that they are pooled
     blocks: list[list[float]] = []  # sum of y, number, sum of margins
     for m, value in zip(margin[order], y[order]):
         blocks.append([float(value), 1.0, float(m)])

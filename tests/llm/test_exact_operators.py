@@ -1,6 +1,7 @@
 """Sharding, exact dedup, SimHash, components, URL filter, BPE: against brute force."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, exact_dedup, queries, sharding, simhash, url_filter, wide_simhash
+from graphloom.llm import bpe, exact_dedup, queries, set_join, sharding, simhash, url_filter
 from graphloom.llm.components import connected_components
 from tests.conftest import SMALL
 
@@ -103,9 +104,10 @@ def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2060)]
     want = union_find(pairs, {x for p in pairs for x in p})
-    got = connected_components(spark.createDataFrame(pairs + [(None, 5), (7, None)], "u long, v long"))
-    assert {r.node: r.component for r in got.collect()} == want
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for gather in (False, True):
+        got = connected_components(spark.createDataFrame(pairs + [(None, 5), (7, None)], "u long, v long"), gather=gather)
+        assert {r.node: r.component for r in got.collect()} == want
+        assert connected_components(spark.createDataFrame([], "u long, v long"), gather=gather).count() == 0
 
 
 def near(words, rng, n):
@@ -172,17 +174,17 @@ def test_simhash_odd_rows(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 4, 6, 7, 8]
 
 
-def test_wide_simhash(spark, odd_docs, no_docs):
+def test_similar_groups(spark, odd_docs, no_docs):
     texts, df = family(spark)
-    sets = [wide_simhash.shingle_set(t, 5) for t in texts]
+    sets = [set_join.shingle_set(t, 5) for t in texts]
     similar = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
     strict = union_find([(i, j) for i in range(len(texts)) for j in range(i) if similar(i, j) >= 0.8], range(len(texts)))
-    got = {r.doc_id: r.component_id for r in wide_simhash.similar_groups(df).collect()}
+    got = {r.doc_id: r.component_id for r in set_join.similar_groups(df).collect()}
     assert all(strict[i] == strict[got[i]] for i in got)
     assert sum(got[i] == strict[i] for i in got) >= 0.9 * len(got)
-    rows = wide_simhash.similar_groups(odd_docs).collect()
+    rows = set_join.similar_groups(odd_docs).collect()
     assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in rows if r.doc_id in (4, 5, None)} == {4}
-    assert wide_simhash.similar_groups(no_docs).count() == 0
+    assert set_join.similar_groups(no_docs).count() == 0
 
 
 RULES = [("com", "/", "allow"), ("bad.org", "/", "block"), ("x.bad.org", "/ok", "allow"), ("net", "/es/", "block")]
@@ -264,7 +266,7 @@ def test_bpe_against_library(encoder, library, docs):
 
 def test_bpe_compatibility_by_definition(encoder, library):
     rng = random.Random(2)
-    ids = [i for i in encoder.parts if encoder.bytes_of[i].isalpha() and encoder.bytes_of[i].isascii()]
+    ids = [i for i, rank in enumerate(encoder.rank) if rank >= 0 and encoder.bytes_of[i].isalpha() and encoder.bytes_of[i].isascii()]
     for _ in range(3000):
         a, b = rng.choice(ids), rng.choice(ids)
         assert encoder.compatible(a, b) == (library.encode((encoder.bytes_of[a] + encoder.bytes_of[b]).decode(), add_special_tokens=False).ids == [a, b])
@@ -281,6 +283,13 @@ def test_bpe_rows(spark, odd_docs, no_docs, library):
     for r in got.collect():
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode(r["text"] or "", add_special_tokens=False).ids and r["decoded"] == (r["text"] or "")
     assert bpe.encode_documents(no_docs, queries.TOKENIZER).count() == 0
+    checked = bpe.encode_documents(odd_docs, queries.TOKENIZER, keep=["doc_id"], check=True)
+    assert checked.columns == ["doc_id", "ids", "round_trip"] and all(r.round_trip for r in checked.collect())
+
+
+def test_bpe_needs_every_byte():
+    with pytest.raises(ValueError, match="each byte"):
+        bpe.Encoder(json.dumps({"model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}))
 
 
 def test_op7(spark, docs, library):

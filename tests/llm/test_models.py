@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import ecoc_langid, gbt_toxicity, mih_search, qda_quality, queries, soft_mixing
+from graphloom.llm import ecoc_langid, gbt_toxicity, mih_search, qda_quality, queries, set_join, soft_mixing
 from tests.conftest import SMALL
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -189,6 +189,43 @@ def test_pipeline(spark):
     assert len(good & set(rows.doc_id)) > 0.93 * len(good)
 
 
-def test_stages_keep_odd_columns(spark, odd_docs, no_docs):
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        assert stage(spark, odd_docs, MEDIUM).columns == odd_docs.columns and stage(spark, no_docs, MEDIUM).count() == 0
+def test_near_dedup_stage_by_brute_force(spark):
+    """All pairs of the stage's own input, by sets of five words."""
+    docs = corpus_pipeline.exact_dedup_stage(spark, queries.table(spark, MEDIUM, "documents"), MEDIUM)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, MEDIUM).select("doc_id").collect()}
+    sets = {r.doc_id: set_join.shingle_set(r.text, 5) for r in docs.collect()}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small >= 0.8 * large and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    assert kept == {find(i) for i in ids} and len(kept) < len(ids)
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        some, none = stage(spark, odd_docs, MEDIUM), stage(spark, no_docs, MEDIUM)
+        assert none.count() == 0
+        if name == "tokens":
+            assert some.columns == none.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+            assert some.count() == 10 and all(r.round_trip for r in some.collect())
+        else:
+            assert some.columns == odd_docs.columns
+    ids = lambda stage: sorted((r.doc_id for r in stage(spark, odd_docs, MEDIUM).select("doc_id").collect()), key=lambda x: x or 0)
+    assert ids(corpus_pipeline.exact_dedup_stage) == [None, 1, 3, 6, 7, 8]  # null sorts first; null text and empty text are equal
+    assert ids(corpus_pipeline.near_dedup) == [1, 4, 6, 7, 8]  # blank texts are like empty ones
+
+
+def test_run_on_empty_tables(spark, tmp_path, docs, labels):
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

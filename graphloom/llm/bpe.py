@@ -68,54 +68,62 @@ class Encoder:
             raise ValueError("only byte-level BPE with the standard split, without prefix space or normaliser")
         letters = _byte_letters()
         text = lambda token: bytes(letters[c] for c in token)
-        self.ids = {text(token): i for token, i in model["vocab"].items()}
+        ids = {text(token): i for token, i in model["vocab"].items()}
+        if any(bytes([b]) not in ids for b in range(256)):
+            raise ValueError("a vocabulary without a token for each byte")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError("added tokens that strip or need word borders are not handled")
-        self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}  # pair: rank, result
-        self.parts: dict[int, tuple[int, int, int]] = {}  # token: rank, left, right
+        # tables of numbers by token: a worker keeps them for its life
+        size = 1 + max([*ids.values(), *self.special.values()])
+        self.bytes_of: list[bytes | None] = [None] * size
+        for token, i in [*ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
+            self.bytes_of[i] = token
+        self.merges = len(model["merges"])
+        self.merge: dict[int, int] = {}  # pair: rank
+        self.rank, self.left, self.right = (array("i", [-1]) * size for _ in range(3))  # of the merge that makes a token
         for rank, pair in enumerate(model["merges"]):
-            left, right = (self.ids[text(x)] for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            made = self.ids[self.bytes_of[left] + self.bytes_of[right]]
-            self.merge[left, right] = (rank, made)
-            if made in self.parts:
+            left, right = (ids[text(x)] for x in (pair.split(" ") if isinstance(pair, str) else pair))
+            made = ids[self.bytes_of[left] + self.bytes_of[right]]
+            self.merge[left << 32 | right] = rank
+            if self.rank[made] >= 0:
                 raise ValueError("a token with two merges")
-            self.parts[made] = (rank, left, right)
+            self.rank[made], self.left[made], self.right[made] = rank, left, right
         self.automaton = ahocorasick.Automaton()
-        for token, i in self.ids.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
+        for token, i in ids.items():
+            self.automaton.add_word(token.decode("latin-1"), len(token) << 32 | i)
         self.automaton.make_automaton()
         self.fits = _Cache(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), lambda key: True)
         self.pieces = _Cache(lambda piece: self._tokens(piece.encode("utf-8")))
-        self.chunks = _Cache(lambda chunk: b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + chunk))))
+        self.chunks = _Cache(self._chunk)
         self._special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE over the two tokens' joined bytes gives these two tokens."""
         # a merge across the border that comes before `bound` would have been made; at equal ranks the leftmost is first
-        bound = (len(self.merge), 0)
+        bound = (self.merges, 0)
         while True:
-            across = self.merge.get((left, right))
-            if across and (across[0], 1) < bound:
+            across = self.merge.get(left << 32 | right)
+            if across is not None and (across, 1) < bound:
                 return False
-            a, b = self.parts.get(left), self.parts.get(right)
-            if not a and not b:
+            a, b = self.rank[left], self.rank[right]
+            if a < 0 and b < 0:
                 return True
             # undo the later of the two last merges; of equal ones the right token's, which was made last
-            if a and (not b or a[0] > b[0]):
-                bound, left = (a[0], 0), a[2]
+            if a > b:
+                bound, left = (a, 0), self.right[left]
             else:
-                bound, right = (b[0], 2), b[1]
+                bound, right = (b, 2), self.left[right]
 
     def _tokens(self, piece: bytes) -> bytes:
         """The ids of one piece, as little-endian 32-bit integers."""
         last = [-1] * (len(piece) + 1)
         size = [0] * (len(piece) + 1)
         fits = self.fits
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
+        for end, found in self.automaton.iter(piece.decode("latin-1")):
             end += 1
             if last[end] < 0:
+                length, token = found >> 32, found & 0xFFFFFFFF
                 if length == end:
                     last[end], size[end] = token, length
                 else:
@@ -129,6 +137,10 @@ class Encoder:
         out.reverse()
         return array("I", out).tobytes() if _LITTLE else b"".join(x.to_bytes(4, "little") for x in out)
 
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of what stands between two spaces, the first one included. Chunks are kept, so their pieces need not be."""
+        return b"".join(self._tokens(piece.encode("utf-8")) for piece in _PIECE.findall(" " + chunk))
+
     def _plain(self, text: str) -> bytes:
         if _ODD.search(text):
             return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
@@ -159,13 +171,15 @@ def built(source: str) -> Encoder:
     return _BUILT[key]
 
 
-def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None, check: bool = False) -> DataFrame:
     """``docs`` (its columns ``keep``, all by default) with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``decoded`` (their text).
 
+    With ``check`` there is ``round_trip`` instead of ``decoded``: whether the
+    decoded text is the text, so that it need not be sent back.
     ``path`` names a tokenizers JSON file on the driver; its text (some MB,
     fixed by the vocabulary) is broadcast. Null and empty texts have no ids
     and decode to the empty text. The strings of added tokens become their ids
-    wherever they stand. Columns ``ids`` and ``decoded`` of the input are
+    wherever they stand. Columns of the input with the new names are
     replaced, all others stay as they are, whatever their names. Rows are
     handled one by one: repeated rows give equal results, an empty table an
     empty one.
@@ -176,6 +190,8 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", keep
     def run(texts: list[str | None]) -> list[list]:
         encoder = built(source.value)
         ids = [encoder.encode(x or "") for x in texts]
-        return [ids, [encoder.decode(x) for x in ids]]
+        decoded = map(encoder.decode, ids)
+        return [ids, [a == (b or "") for a, b in zip(decoded, texts)] if check else list(decoded)]
 
-    return with_text_results(docs, text_col, {"ids": ("binary", pa.binary()), "decoded": ("string", pa.string())}, run, keep)
+    second = {"round_trip": ("boolean", pa.bool_())} if check else {"decoded": ("string", pa.string())}
+    return with_text_results(docs, text_col, {"ids": ("binary", pa.binary())} | second, run, keep)

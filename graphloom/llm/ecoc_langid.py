@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.ship import ship
@@ -68,9 +69,14 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
         splits = [[1, *(1 if s >> i & 1 else -1 for i in range(k - 1))] for s in range(2 ** (k - 1) - 1)]
         return np.array(splits, dtype=np.int8).T
     rng, bits = np.random.default_rng(seed), 8 + int(12 * np.log2(k))
-    distance = lambda m: min((m[i] != m[j]).sum() for i in range(k) for j in range(i))
-    usable = lambda m: bool((np.abs(m.sum(axis=0)) < k).all())
-    made = [m for m in (rng.choice(np.array([-1, 1], dtype=np.int8), (k, bits)) for _ in range(200)) if usable(m)]
+
+    def distance(m: np.ndarray) -> int:
+        m = m.astype(np.float32)
+        return int((bits - (m @ m.T - 2 * bits * np.eye(k)).max()) // 2)
+
+    usable = lambda m: bool((np.abs(m.sum(axis=0, dtype=np.int64)) < k).all())
+    # random rows differ in about half of the bits; fewer are tried the more there are
+    made = [m for m in (rng.choice(np.array([-1, 1], dtype=np.int8), (k, bits)) for _ in range(max(4, min(200, 20_000 // k)))) if usable(m)]
     return max(made, key=distance)
 
 
@@ -102,8 +108,8 @@ class Model:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], *, rounds: int = 300, decay: float = 1e-5) -> Model:
-    """Full-batch logistic regressions, one for each bit, by accelerated gradient steps."""
+def train(x: np.ndarray, y: np.ndarray, languages: list[str], *, rounds: int = 300, decay: float = 1e-5, enough: float = 0.02) -> Model:
+    """Full-batch logistic regressions, one for each bit, by accelerated gradient steps, until the gradient has shrunk to ``enough`` of its first length."""
     code = codewords(len(languages))
     target = code[y].astype(np.float32)
     share = np.bincount(y, minlength=len(languages))
@@ -111,46 +117,60 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], *, rounds: int = 3
     w = np.zeros((x.shape[1], code.shape[1]), dtype=np.float32)
     b = np.zeros(code.shape[1], dtype=np.float32)
     look_w, look_b, rate = w, b, 2.0  # rows have length 1, so the curvature is 1/2 at most
+    first = None
     for t in range(rounds):
         pull = -target / (1 + np.exp(np.clip(target * (x @ look_w + look_b), -30, 30))) * weight
-        new_w, new_b = look_w - rate * (x.T @ pull + decay * look_w), look_b - rate * pull.sum(axis=0)
+        slope = x.T @ pull + decay * look_w
+        length = float(np.linalg.norm(slope))
+        first = first or length
+        new_w, new_b = look_w - rate * slope, look_b - rate * pull.sum(axis=0)
         look_w, look_b = new_w + t / (t + 3) * (new_w - w), new_b + t / (t + 3) * (new_b - b)
         w, b = new_w, new_b
+        if length <= enough * first:
+            break
     right = ((x @ w + b) * target > 0).mean(axis=0)
     return Model(languages, code, w, b, np.maximum(right - 0.5, 0.01).astype(np.float32) * 2)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_languages: int = 200) -> Model:
-    """A model learnt from ``docs`` with a language, at most about ``per_language`` of each.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, total: int = 8000) -> Model:
+    """A model learnt from ``docs`` with a language, about ``per_language`` of each and ``total`` in all at most.
 
-    Rows are chosen by the hash of their identifier. Only hashed counts, of
-    DIMENSIONS numbers whatever the text's length, reach the driver. The
-    ``max_languages`` most frequent languages are learnt; none, from an empty
+    Rows are chosen by the hash of identifier and text, and rows of equal hash
+    count once, so that neither a null nor a repeated identifier brings more.
+    Only hashed counts, of DIMENSIONS numbers whatever the text's length, reach
+    the driver: 8 KB a row. All languages are learnt; none, from an empty
     table, gives a model that answers ``und`` always.
     """
     spark = ship(docs.sparkSession)
-    labelled = docs.select(F.xxhash64(F.lit(3), F.col(id_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang")).filter("_lang IS NOT NULL AND _text IS NOT NULL")
-    sizes = labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()
+    labelled = docs.select(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col).cast("string")).alias("_hash"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang")).filter("_lang IS NOT NULL AND _text IS NOT NULL")
+    sizes = labelled.groupBy("_lang").agg(F.approx_count_distinct("_hash", 0.02).alias("count")).orderBy("_lang").collect()
     if not sizes:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.zeros(1))
-    shares = spark.createDataFrame([(r["_lang"], min(1.0, per_language / r["count"])) for r in sizes], "_lang string, _share double")
-    chosen = labelled.join(F.broadcast(shares), "_lang").filter(F.pmod("_hash", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+    each = max(1, min(per_language, total // len(sizes)))
+    shares = spark.createDataFrame([(r["_lang"], min(1.0, each / r["count"])) for r in sizes], "_lang string, _share double")
+    chosen = labelled.join(F.broadcast(shares), "_lang").filter(F.pmod("_hash", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    chosen = chosen.groupBy("_lang", "_hash").agg(F.min("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [(lang.as_py(), n) for lang, text in zip(*batch.columns) if (n := ngram_counts(text.as_py())) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([features(n).astype("<f2").tobytes() for _, n in found], pa.binary())], ["lang", "x"])
+                found = [n if t.is_valid and (n := ngram_counts(t.as_py())) is not None else None for t in batch.column(2)]
+                vectors = pa.array([None if n is None else features(n).astype("<f2").tobytes() for n in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vectors], ["lang", "hash", "x"]).filter(pc.is_valid(vectors))
 
-    got = chosen.select("_lang", "_text").mapInArrow(run, "lang string, x binary").collect()
-    languages = sorted({r["lang"] for r in got})
+    got = chosen.select("_lang", "_hash", "_text").mapInArrow(run, "lang string, hash long, x binary").toArrow()
+    languages = sorted(set(got.column("lang").to_pylist()))
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.zeros(1))
     place = {lang: i for i, lang in enumerate(languages)}
-    got.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # one model, whatever the order of arrival
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype="<f2").reshape(len(got), DIMENSIONS).astype(np.float32)
-    return train(x, np.array([place[r["lang"]] for r in got]), languages)
+    y = np.array([place[x] for x in got.column("lang").to_pylist()])
+    order = np.lexsort((got.column("hash").to_numpy(), y))  # one model, whatever the order of arrival
+    x = np.empty((len(y), DIMENSIONS), dtype=np.float32)
+    vectors = got.column("x")
+    for to, at in enumerate(order):
+        x[to] = np.frombuffer(vectors[int(at)].as_buffer(), dtype="<f2")
+    return train(x, y[order], languages)
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", ambiguous_gap: float = 0.3, keep: list[str] | None = None) -> DataFrame:

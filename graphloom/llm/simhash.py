@@ -107,7 +107,7 @@ def links(fps: DataFrame, max_distance: int) -> DataFrame:
     )
     index = chains.select(F.col("_fp").alias("v"), "_start", "_key")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance
-    return probes.join(index.hint("shuffle_hash"), ["_start", "_key"]).filter((F.col("u") != F.col("v")) & near & (~F.col("_plain") | (F.col("u") < F.col("v")))).select("u", "v")
+    return probes.join(index, ["_start", "_key"]).filter((F.col("u") != F.col("v")) & near & (~F.col("_plain") | (F.col("u") < F.col("v")))).select("u", "v")
 
 
 def near_duplicate_groups(docs: DataFrame, *, shingle: int = 5, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -129,7 +129,7 @@ def _members(found: DataFrame, max_distance: int) -> DataFrame:
     """``found`` (_id, _fp and others) with ``_root``, the group, and ``_component``, its least identifier."""
     rows = Staged(found, "fingerprints")
     each = Staged(rows.df.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")), "distinct")
-    joined_up = connected_components(links(each.df.select("_fp"), max_distance))
+    joined_up = connected_components(links(each.df.select("_fp"), max_distance), gather=True)
     members = each.df.join(joined_up, each.df._fp == joined_up.node, "left").select("_fp", "_least", "_n", F.coalesce("component", "_fp").alias("_root"))
     members = Staged(members, "members")
     least = members.df.groupBy("_root").agg(F.min("_least").alias("_component"), F.count("*").alias("_k"))
@@ -156,7 +156,10 @@ def keep_one(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_c
 
     A row is known by its identifier and its text's digest: rows that share
     both are of one group, rows that share the identifier alone, null or not,
-    may be of several.
+    may be of several. Rows with an identifier come before those without, then
+    the smallest identifier, then the least digest stays; of rows that share
+    both, the first by the hash of all columns. Null and empty texts have one
+    digest. Columns may have any names; an empty table gives an empty one.
     """
     # one string key, the same for join and window: one shuffle of the texts
     key = F.concat_ws(":", F.hex("_sig"), F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit("null"))).alias("_key")

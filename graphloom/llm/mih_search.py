@@ -14,6 +14,7 @@ within it are searched again with a larger one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -24,8 +25,10 @@ from graphloom.functions.ship import ship
 from graphloom.llm.staging import Staged
 
 SUBSTRING_BITS = 8
-#: Numbers of an index block and of a query block (32 MB and 16 MB): what one task holds at a time.
-INDEX_NUMBERS, QUERY_NUMBERS = 1 << 22, 1 << 21
+#: Numbers of an index block: 32 MB, held twice by the task that has it.
+INDEX_NUMBERS = 1 << 22
+#: Queries whose cosines with a block are computed at a time, and how far rounding may move one.
+QUERIES_AT_ONCE, LEVEL = 64, 1e-9
 _NEAR = [np.array([v for v in range(1 << SUBSTRING_BITS) if v.bit_count() <= r], dtype=np.uint8) for r in range(SUBSTRING_BITS + 1)]
 
 
@@ -89,13 +92,14 @@ class BlockIndex:
 
     def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
         self.codes, self.ids, self.vectors = codes, ids, vectors
+        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         self.packed = codes.encode(vectors)
         size = 1 << SUBSTRING_BITS
         self.rows = [np.argsort(self.packed[:, j], kind="stable") for j in range(codes.substrings)]
         self.starts = [np.concatenate([[0], np.cumsum(np.bincount(self.packed[:, j], minlength=size))]) for j in range(codes.substrings)]
 
-    def within(self, code: np.ndarray) -> np.ndarray:
-        """The rows whose code is within the radius of ``code``: pigeonhole probes, then the full check."""
+    def probed(self, code: np.ndarray) -> np.ndarray:
+        """Which rows the pigeonhole probes of ``code`` retrieve: all within the radius, and others."""
         radius, m = self.codes.radius, self.codes.substrings
         seen = np.zeros(len(self.ids), dtype=bool)
         # with r = m * a + b, one of the first b + 1 substrings is within a or one of the others within a - 1
@@ -115,17 +119,34 @@ class BlockIndex:
                     seen[rows[starts[value] : starts[value + 1]]] = True
             if seen.all():
                 break
-        found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.packed[found] ^ code).sum(axis=1) <= radius]
+        return seen
 
-    def nearest(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> list[tuple[int, float]]:
-        found = self.within(code)
-        found = found[self.ids[found] != query_id]
-        if not len(found):
-            return []
-        score = cosines(self.vectors[found], query)
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return [(int(self.ids[found[i]]), float(score[i])) for i in best]
+    def within(self, code: np.ndarray) -> np.ndarray:
+        """The rows whose code is within the radius of ``code``: pigeonhole probes, then the full check."""
+        found = np.flatnonzero(self.probed(code))
+        return found[np.bitwise_count(self.packed[found] ^ code).sum(axis=1) <= self.codes.radius]
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """(query, row, score) of the ``k`` nearest rows within the radius of each query.
+
+        Matrix products give the cosines but for the last digits; whatever is
+        level with the k-th by them is then ranked by ``cosines``.
+        """
+        out = []
+        codes = self.codes.encode(queries)
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            some = queries[at : at + QUERIES_AT_ONCE]
+            rough = self.unit @ (some / np.linalg.norm(some, axis=1, keepdims=True)).T
+            for i, query_id in enumerate(query_ids[at : at + QUERIES_AT_ONCE].tolist()):
+                found = self.within(codes[at + i])
+                found = found[self.ids[found] != query_id]
+                if len(found) > k:
+                    score = rough[found, i]
+                    found = found[score >= np.partition(score, len(score) - k)[len(score) - k] - LEVEL]
+                score = cosines(self.vectors[found], some[i])
+                best = np.lexsort((self.ids[found], -score))[:k]
+                out += [(query_id, int(self.ids[found[j]]), float(score[j])) for j in best]
+        return out
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -137,62 +158,76 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("_v") == (sizes["n"] if sizes else 0))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
-def search(table: DataFrame, is_query, *, k: int = 5, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000) -> DataFrame:
+def search(table: DataFrame, is_query, *, k: int = 5, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, sample_numbers: int = 1 << 21) -> DataFrame:
     """The ``k`` nearest rows found for each query row: query_id, rank (from 1), vec_id, score.
 
     ``is_query`` is a condition on ``id_col``. Nearness is the cosine of the
     original vectors in double precision; ties go to the smaller identifier.
     Rows whose vector is null, zero or holds null or non-finite components
     take no part, nor do those of another dimension than most. Identifiers are
-    taken as unique; a repeated row counts once. Fewer than ``k`` other rows
+    taken as unique; of rows that repeat one the least vector counts. Fewer than ``k`` other rows
     give as many results; a query that finds fewer although there are more is
     searched again, its radius doubled each time, at last to the whole code.
-    The codes are learnt from about ``sample`` rows at
-    most, chosen by the hash of the identifier; every row is indexed.
-
-    Rows are dealt into index blocks by the hash of their identifier, queries
-    into query blocks; each pair of blocks is one group of one task and gives
-    at most ``k`` rows for each query, which are then merged. No vector, block
-    or set of queries beyond the two block sizes is ever held at once, and
-    popular vectors are spread like any others.
+    The codes are learnt from about ``sample`` rows and ``sample_numbers``
+    numbers at most, chosen by the hash of the identifier; every row is indexed.
+
+    Rows are dealt into index blocks by the hash of their identifier. Each
+    block is written to one task, once, with all queries after it: the task
+    builds the block's index and lets the queries stream past. So it holds a
+    block and a batch of queries, whatever their numbers, and gives at most
+    ``k`` rows for each query, which are then merged. Popular vectors are
+    spread like any others.
     """
     spark = ship(table.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = Staged(valid_vectors(table, id_col, vector_col).dropDuplicates(["_id"]), "vectors")
+    rows = Staged(valid_vectors(table, id_col, vector_col).groupBy("_id").agg(F.min("_v").alias("_v")), "vectors")
     total = rows.df.count()
     if not total:
         return spark.createDataFrame([], schema)
-    share = min(1.0, sample / total)
+    dimension = len(rows.df.first()["_v"])
+    share = min(1.0, min(sample, sample_numbers // dimension) / total)
     hashed = F.xxhash64(F.lit(23), "_id")
     got = rows.df.filter(F.pmod(hashed, F.lit(1 << 20)) < share * (1 << 20)).toArrow() if total > 1 else rows.df.toArrow()
     vectors = _matrix(got.column("_v"))[np.argsort(got.column("_id").to_numpy())]
     codes = fit(vectors if len(vectors) else _matrix(rows.df.limit(1).toArrow().column("_v")), k=k, recall=recall)
-    dimension = len(codes.rotation)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index_blocks = max(1, -(-total * dimension // INDEX_NUMBERS), min(width, total // 2_000))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def ranked(queries: DataFrame, codes: Codes) -> DataFrame:
         shared = spark.sparkContext.broadcast(codes)
-        query_blocks = max(1, -(-queries.count() * dimension // QUERY_NUMBERS))
-        index = rows.df.withColumn("_b", F.pmod(hashed, F.lit(index_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        asked = queries.withColumn("_q", F.pmod(hashed, F.lit(query_blocks)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            out: list[tuple[int, int, float]] = []
-            if left.num_rows and right.num_rows:
-                block = BlockIndex(shared.value, left.column("_id").to_numpy(), _matrix(left.column("_v")))
-                ids, wanted = right.column("_id").to_numpy(), _matrix(right.column("_v"))
-                for i, v, c in zip(ids, wanted, shared.value.encode(wanted)):
-                    out += [(int(i), n, s) for n, s in block.nearest(int(i), v, c, k)]
-            return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
-
-        found = index.groupBy("_b", "_q").cogroup(asked.groupBy("_b", "_q")).applyInArrow(run, "query_id long, vec_id long, score double")
+        index = rows.df.select(F.pmod(hashed, F.lit(index_blocks)).cast("int").alias("_b"), F.lit(False).alias("_asks"), "_id", "_v")
+        asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))).alias("_b"), F.lit(True).alias("_asks"), "_id", "_v")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, held, index = -1, [], None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                b, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                ids, vectors = batch.column(2).to_numpy(), _matrix(batch.column(3))
+                cuts = np.flatnonzero((np.diff(b) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+                out: list[tuple[int, int, float]] = []
+                for part in np.split(np.arange(len(b)), cuts):
+                    if b[part[0]] != block:
+                        block, held, index = b[part[0]], [], None
+                    if not asks[part[0]]:
+                        held.append((ids[part], vectors[part]))
+                        continue
+                    if held:
+                        index, held = BlockIndex(shared.value, *map(np.concatenate, zip(*held))), []
+                    if index:
+                        out += index.nearest(ids[part], vectors[part], k)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+        # each block's rows, then its queries
+        dealt = index.unionByName(asked).repartition(index_blocks, "_b").sortWithinPartitions("_b", "_asks")
+        found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     queries, whole = rows.df.filter(is_query(F.col("_id"))), codes.rotation.shape[1]

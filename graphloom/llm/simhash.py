@@ -107,7 +107,8 @@ def links(fps: DataFrame, max_distance: int) -> DataFrame:
     )
     index = chains.select(F.col("_fp").alias("v"), "_start", "_key")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance
-    return probes.join(index, ["_start", "_key"]).filter((F.col("u") != F.col("v")) & near & (~F.col("_plain") | (F.col("u") < F.col("v")))).select("u", "v")
+    # merged, not broadcast: an estimate before the chains are made says nothing of their size
+    return probes.join(index.hint("merge"), ["_start", "_key"]).filter((F.col("u") != F.col("v")) & near & (~F.col("_plain") | (F.col("u") < F.col("v")))).select("u", "v")
 
 
 def near_duplicate_groups(docs: DataFrame, *, shingle: int = 5, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:

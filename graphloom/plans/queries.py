@@ -20,6 +20,7 @@ Enumeration of elementary cycles is the feature that is exponential; in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -241,7 +242,7 @@ def _scc_sizes(g: Graph) -> DataFrame:
 
 
 def _stored(g: Graph) -> DataFrame:
-    folder = f"{shared_root(g.nodes.sparkSession)}/stored-graph"
+    folder = f"{shared_root(g.nodes.sparkSession)}/stored-graph-{uuid.uuid4().hex}"
     g.write(folder)
     back = Graph.read(g.nodes.sparkSession, folder)
     return back.edges.select("src", "dst", "src_ord", "pos", F.lit(back.root_dir).alias("root"))

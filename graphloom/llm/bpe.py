@@ -91,7 +91,7 @@ class Encoder:
             self.rank[made], self.left[made], self.right[made] = rank, left, right
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
-            self.automaton.add_word(token.decode("latin-1"), len(token) << 32 | i)
+            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
         self.fits = _Cache(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), lambda key: True)
         self.pieces = _Cache(lambda piece: self._tokens(piece.encode("utf-8")))
@@ -120,10 +120,9 @@ class Encoder:
         last = [-1] * (len(piece) + 1)
         size = [0] * (len(piece) + 1)
         fits = self.fits
-        for end, found in self.automaton.iter(piece.decode("latin-1")):
+        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
             if last[end] < 0:
-                length, token = found >> 32, found & 0xFFFFFFFF
                 if length == end:
                     last[end], size[end] = token, length
                 else:
@@ -138,8 +137,11 @@ class Encoder:
         return array("I", out).tobytes() if _LITTLE else b"".join(x.to_bytes(4, "little") for x in out)
 
     def _chunk(self, chunk: str) -> bytes:
-        """The ids of what stands between two spaces, the first one included. Chunks are kept, so their pieces need not be."""
-        return b"".join(self._tokens(piece.encode("utf-8")) for piece in _PIECE.findall(" " + chunk))
+        """The ids of what stands between two spaces, the first one included."""
+        first, *rest = _PIECE.findall(" " + chunk)
+        if rest:
+            return b"".join(map(self.pieces.__getitem__, [first, *rest]))
+        return self._tokens(first.encode("utf-8"))  # the chunk is kept, so the piece need not be
 
     def _plain(self, text: str) -> bytes:
         if _ODD.search(text):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, ecoc_langid, exact_dedup, gbt_toxicity, mih_search, qda_quality, sharding, simhash, soft_mixing, url_filter
+from graphloom.llm import bbit_minhash, bpe, code_books, ecoc_langid, exact_dedup, gbt_toxicity, mih_search, qda_quality, sharding, simhash, soft_mixing, spelling, url_filter
 
 
 #: The vocabulary file.
@@ -117,6 +117,21 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih_search.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frequent word's more frequent variant, and where such variants lead."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), every=199, min_length=6, min_count=5, factor=5)
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of texts with similar sets of three-word shingles."""
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's code of four bytes, and its error."""
+    return code_books.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
@@ -128,6 +143,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
+    "op11_spelling": op11_spelling,
+    "op12_minhash": op12_minhash,
+    "op13_codes": op13_codes,
 }
 
 # Pages link here by canonical links and refresh redirects with full urls; the

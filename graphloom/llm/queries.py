@@ -179,6 +179,62 @@ spread AS (
 SELECT page_id, p.host, p.path, m.rule, coalesce(m.rverdict, s.verdict, 'allow') AS verdict
 FROM p LEFT JOIN m ON m.host = p.host AND m.path = p.path LEFT JOIN spread s ON s.a = p.host || p.path || p.query"""
 
+# CRC-32 by a table of bytes; near words are found by their common deletions
+_OP11_SQL = """
+WITH RECURSIVE
+crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+found AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS x FROM found GROUP BY doc, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) AS h
+  FROM counted, crc),
+w AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cuts AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word AS u, b.word AS v FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, cuts.word FROM w JOIN cuts ON w.word = rest
+  UNION SELECT cuts.word, w.word FROM w JOIN cuts ON w.word = rest),
+best AS (SELECT u, count(*) AS n_near, arg_min(v, (-n, encode(v))) AS v, max(n) AS vn FROM near JOIN w ON word = v GROUP BY u),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN vn >= 5 * n THEN v END AS form, CASE WHEN vn >= 5 * n THEN vn END AS form_n FROM w LEFT JOIN best ON word = u),
+chain(word, last) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms g ON g.word = c.last WHERE g.form IS NULL"""
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Assignment and averaging ``rounds`` times, and once more the assignment; sums of doubles are exact at these sizes."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, len(embedding) // 4 AS d
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "parts AS MATERIALIZED (SELECT vec_id, p, v[p * d + 1 : (p + 1) * d] AS v FROM kept, range(4) r(p))",
+        "book0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 256)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT vec_id, p, min_by(e, (far, e)) AS e, min(far) AS far
+  FROM (SELECT vec_id, t.p, e, list_inner_product(t.v, t.v) - 2 * list_inner_product(t.v, b.v) + list_inner_product(b.v, b.v) AS far FROM parts t JOIN book{i} b ON b.p = t.p)
+  GROUP BY vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""book{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN (
+    SELECT p, e, list(x ORDER BY pos) AS v FROM (
+      SELECT n.p, n.e, pos, floor(sum(t.v[pos]) / count(*)) AS x FROM near{i} n JOIN parts t ON t.vec_id = n.vec_id AND t.p = n.p, unnest(range(1, len(t.v) + 1)) r(pos) GROUP BY n.p, n.e, pos)
+    GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH {", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(e AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded c JOIN kept k ON k.vec_id = c.vec_id"""
+
+
 ORACLE_SQL = {
     "op2_url_filter": _OP2_SQL,
     "op3_exact_dedup": """
@@ -188,4 +244,6 @@ SELECT doc_id,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
+    "op11_spelling": _OP11_SQL,
+    "op13_codes": _op13_sql(),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.lineage import cut
 from graphloom.functions.ship import ship
-from graphloom.operators.fixpoint import fits_one_task, strong_components, weak_components
+from graphloom.operators.fixpoint import fits_one_task, on_a_cycle, strong_components, weak_components
 from graphloom.operators.graph import Graph
 from graphloom.operators.kernels import Component, strong
 from graphloom.schema import CYCLES_SCHEMA
@@ -139,9 +139,5 @@ def find_longest_cycle(graph: Graph) -> DataFrame:
 
 
 def has_cycles(graph: Graph) -> bool:
-    """Whether a self-loop or a component of several nodes exists."""
-    if not graph.edges.filter("src = dst").isEmpty():
-        return True
-    # no node but an edge's can be on a cycle
-    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return not strong_components(ends, graph.edges).filter("node <> label").isEmpty()
+    """Whether a self-loop or a component of several nodes exists; no component is labelled where there is none."""
+    return on_a_cycle(graph.edges)

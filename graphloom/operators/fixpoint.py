@@ -1,104 +1,214 @@
-"""Reachability and components of a graph of any size.
-
-Two ways give the same rows. A graph of at most ``LOCAL_ROWS`` nodes and edges,
-counted first, is handled by one linear-time kernel in one task (closure: one
-search a node, spread over all tasks). A larger one is handled by rounds of
-joins, each cut off from its lineage by a checkpoint in the shared folder, so
-that a lost executor costs a round at most. Rounds pass on labels both along
-edges and from a label's own node, which makes their number follow the
-logarithm of a path's length and not the length. A node of very many edges is
-a skewed join key that adaptive execution splits; what is grouped afterwards
-is grouped by the edges' other ends.
+"""Reachability and components of a graph of any size, by rounds of joins.
+
+Nodes are numbered by a hash of their names, which no two of them share; so
+numbers are in random order whatever the names say, and edges are numbered
+without a join. Each round is written to the shared folder, which ends its
+lineage, and the round before is deleted: a lost executor costs a round at most.
+
+* Labels (``_least_that_reaches``) are passed on along edges and from a label's own
+  node, so that what a label covers about doubles in a round.
+* Weak components hook each node to its least neighbour and contract.
+* Strong components are searched forward and backward from all nodes at once.
+  Each node gets the least node that leads to it and the least that it leads
+  to. Where both are one node, that is its component; edges between nodes that
+  do not agree in both are cut, as no cycle runs along them. With numbers in
+  random order, what leads to a node within its part is halved by a round on
+  average, as a pivot of quicksort does, so rounds follow the logarithm of
+  the number of nodes, chains included. Before each search, trees that hang
+  from a node without a way in, or out, are trimmed off whole, by doubling.
+
+What is left of a graph goes to one linear kernel once it has at most
+LOCAL_ROWS edges; parts of a larger one that are as small go to kernels in
+groups of that size. A key with over a thousandth of the rows is joined by a
+broadcast of its one partner; there are fewer than a thousand such keys.
+
+Rounds of labels follow the logarithm of a path's length on chains, rings and
+trees, and where the nodes beside a path are few; a graph that is both deep
+and wide may take more, at worst as many as its longest shortest path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from graphloom.functions.lineage import cut
+from graphloom.functions.lineage import Staged, cut
 from graphloom.functions.ship import ship
 from graphloom.operators import kernels
 
-#: Nodes and edges of a graph that one task may hold: some tens of MB.
-LOCAL_ROWS = 250_000
+#: Edges that one task may hold in a kernel: under a megabyte.
+LOCAL_ROWS = 5_000
+#: A key of over 1/HEAVY_SHARE of the rows is heavy.
+HEAVY_SHARE = 1000
+#: The label of what is reached, below every number's hash but one in 2**64.
+_REACHED = -(1 << 63)
 _PAIRS_AT_ONCE = 1 << 16
 
 
 def fits_one_task(*tables: DataFrame) -> bool:
     left = LOCAL_ROWS
     for table in tables:
-        left -= table.count()
+        # the count stops at what does not fit any more
+        left -= table.limit(left + 1).count()
         if left < 0:
             return False
     return True
 
 
-def _in_one_task(rows: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel`` over all (a, b) of ``rows`` at once; it gives the columns of ``schema`` as lists."""
+def _staged(df: DataFrame) -> Staged:
+    return Staged(df, "round")
+
+
+class Numbers:
+    """The nodes' names (name, n) and how any of them is numbered."""
+
+    def __init__(self, names: DataFrame):
+        """``names`` (name) may repeat."""
+        for self.seed in count():
+            self.table = _staged(names.select("name", self.of("name")).distinct())
+            # another hash if two names ever share a number
+            if self.table.df.groupBy("n").count().filter("count > 1").isEmpty():
+                return
+            self.table.drop()
+
+    def of(self, name: str | Column, alias: str = "n") -> Column:
+        return F.xxhash64(F.lit(self.seed), F.col(name) if isinstance(name, str) else name).alias(alias)
+
+    def links(self, edges: DataFrame) -> DataFrame:
+        """(a, b): the distinct edges (src, dst) in numbers."""
+        return edges.select(self.of("src", "a"), self.of("dst", "b")).distinct()
+
+    def named(self, labels: DataFrame) -> DataFrame:
+        """(node, label) of every name: the least name of those whose numbers have the same label; a number without label is alone."""
+        placed = _staged(self.table.df.join(labels.select(F.col("node").alias("n"), "label"), "n", "left").select("name", F.coalesce("label", "n").alias("label")))
+        least = _staged(placed.df.groupBy("label").agg(F.min("name").alias("_least")))
+        return _looked_up(placed.df, "label", least.df).select(F.col("name").alias("node"), F.col("_least").alias("label"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("name"))
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has each ``key`` once: heavy keys by a broadcast of their partners."""
+    total = rows.count()
+    weights = rows.groupBy(key).count().filter(F.col("count") > max(total // HEAVY_SHARE, 100)).select(key)
+    heavy = F.broadcast(table.join(F.broadcast(weights), key, "left_semi"))
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(table, key, how))
+
+
+def _kernel(rows: DataFrame, kernel: Callable, names: list[str]) -> DataFrame:
+    """``kernel`` over all numbers (a, b) of ``rows`` in one task; the columns ``names`` as it gives them."""
     ship(rows.sparkSession)
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for batch in batches:
             a += batch.column(0).to_pylist()
             b += batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in kernel(a, b)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in kernel(a, b)], names)
+
+    return rows.select("a", "b").repartition(1).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def _strong_of_parts(links: DataFrame, bins: int) -> DataFrame:
+    """(node, label) of ``links`` (a, b, part), whose parts are small: a kernel for each of ``bins`` groups of parts."""
+    ship(links.sparkSession)
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = kernels.strong_labels(rows.column("a").to_pylist(), rows.column("b").to_pylist())
+        return pa.table([pa.array(x, pa.int64()) for x in found], names=["node", "label"])
+
+    return links.groupBy(F.pmod("part", F.lit(bins)).alias("bin")).applyInArrow(run, "node long, label long")
+
+
+# labels
 
-    return rows.repartition(1).mapInArrow(run, schema)
 
+def _least_that_reaches(labels: DataFrame, links: DataFrame) -> Staged:
+    """Labels (node, label) after each node took the least label of all nodes that ``links`` (a, b) lead to it from.
+
+    Each label but ``_REACHED`` is a node that leads to its holder. So what that
+    node is labelled leads there too, and is passed on as well.
+    """
+    now = _staged(labels)
+    while True:
+        along = _looked_up(links, "a", now.df.withColumnRenamed("node", "a")).select(F.col("b").alias("node"), "label")
+        open_ = now.df.filter((F.col("label") != _REACHED) & (F.col("label") != F.col("node")))
+        jumps = _looked_up(open_, "label", now.df.select(F.col("node").alias("label"), F.col("label").alias("_on"))).select("node", F.col("_on").alias("label"))
+        better = along.unionByName(jumps).groupBy("node").agg(F.min("label").alias("_offer"))
+        after = _staged(now.df.join(better, "node", "left").select("node", F.least("label", F.coalesce("_offer", "label")).alias("label"), (F.col("_offer") < F.col("label")).alias("_changed")))
+        now.drop()
+        now = after
+        changed = not now.df.filter("_changed").isEmpty()
+        now.df = now.df.drop("_changed")
+        if not changed:
+            return now
 
-def _links(edges: DataFrame, reverse: bool = False) -> DataFrame:
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    return edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def _nodes(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """(node): what at least one edge (src, dst) leads to from the nodes of ``start`` (node); with ``reverse``, what leads to them."""
-    links = _links(edges, reverse)
-    if fits_one_task(links, start):
-        return _in_one_task(links.unionByName(start.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"))), kernels.reached, "node string")
-    # labels "0" for what is reached, "1" and a node otherwise: the least one that leads to a node is spread
-    steps = cut(links.distinct())
-    marks = start.select("node", F.lit("0").alias("_mark")).distinct()
-    nodes = steps.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = cut(nodes.join(marks, "node", "left").select("node", F.coalesce("_mark", F.concat(F.lit("1"), "node")).alias("label")))
-    found = _spread_least(labels, steps.select(F.col("a").alias("node"), F.col("b").alias("to")), lambda node: F.concat(F.lit("1"), node))
-    return steps.join(found.filter("label = '0'").select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+    numbers = Numbers(_ends(edges))
+    links = numbers.links(edges)
+    links = _staged(_turned(links) if reverse else links)
+    begun = start.select(numbers.of("node", "node")).distinct()
+    if fits_one_task(links.df, begun):
+        found = _kernel(links.df.unionByName(begun.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))), kernels.reached, ["n"])
+    else:
+        marks = begun.withColumn("_mark", F.lit(_REACHED))
+        labels = _nodes(links.df).join(marks, "node", "left").select("node", F.coalesce("_mark", "node").alias("label"))
+        reached = _least_that_reaches(labels, links.df).df.filter(F.col("label") == _REACHED).select(F.col("node").alias("a"))
+        found = links.df.join(reached, "a", "left_semi").select(F.col("b").alias("n")).distinct()
+    return numbers.table.df.join(found, "n", "left_semi").select(F.col("name").alias("node"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) that a path of one edge or more connects."""
-    steps = cut(edges.select("src", "dst").distinct())
-    if fits_one_task(steps):
-        return _closure_by_searches(steps)
-    # new pairs, those at a distance over half of what is covered, are extended by all pairs: the distance doubles in each round
-    new = seen = steps
-    while not new.isEmpty():
-        onward = seen.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
-        new = cut(new.join(onward, "dst").select("src", F.col("_next").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti"))
-        seen = cut(seen.unionByName(new))
-    return seen
+    numbers = Numbers(_ends(edges))
+    steps = _staged(numbers.links(edges))
+    if fits_one_task(steps.df):
+        pairs = _closure_by_searches(steps.df)
+    else:
+        # new pairs, those at a distance over half of what is covered, are extended by all pairs: the distance doubles in each round
+        new, seen = steps, steps
+        while not new.df.isEmpty():
+            onward = seen.df.select(F.col("a").alias("b"), F.col("b").alias("_next"))
+            more = _staged(new.df.join(onward, "b").select("a", F.col("_next").alias("b")).distinct().join(seen.df, ["a", "b"], "left_anti"))
+            both = _staged(seen.df.unionByName(more.df))
+            for x in {new, seen} - {steps}:
+                x.drop()
+            new, seen = more, both
+        pairs = seen.df
+    named = lambda c, to: numbers.table.df.select(F.col("n").alias(c), F.col("name").alias(to))
+    return pairs.join(named("a", "src"), "a").join(named("b", "dst"), "b").select("src", "dst")
 
 
 def _closure_by_searches(steps: DataFrame) -> DataFrame:
     """``closure`` of at most LOCAL_ROWS edges, which are broadcast; every task searches from its share of the nodes."""
     spark = ship(steps.sparkSession)
     got = steps.toArrow()
-    names, numbers = kernels.numbered(got.column("src").to_pylist(), got.column("dst").to_pylist())
-    shared = spark.sparkContext.broadcast((names, kernels.targets_of(len(names), *numbers)))
+    nodes, numbers = kernels.numbered(got.column("a").to_pylist(), got.column("b").to_pylist())
+    shared = spark.sparkContext.broadcast((nodes, kernels.targets_of(len(nodes), *numbers)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, out = shared.value
-        taken = pa.array(every, pa.string())
+        taken = pa.array(every, pa.int64())
         a: list[int] = []
         b: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([taken.take(pa.array(x, pa.int64())) for x in (a, b)], ["src", "dst"])
+            made = pa.RecordBatch.from_arrays([taken.take(pa.array(x, pa.int64())) for x in (a, b)], ["a", "b"])
             a.clear()
             b.clear()
             return made
@@ -112,77 +222,158 @@ def _closure_by_searches(steps: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return spark.range(len(names)).mapInArrow(run, "src string, dst string")
+    return spark.range(len(nodes)).mapInArrow(run, "a long, b long")
 
 
-def _spread_least(labels: DataFrame, links: DataFrame, label_of=lambda node: node) -> DataFrame:
-    """Labels (node, label) after each node took the least label of all nodes that ``links`` (node, to) lead to it from.
+# weak components
 
-    Each label but a special one names a node that leads to its holder:
-    ``label_of`` that node. So what that node is labelled leads there too, and
-    is passed on as well.
-    """
-    while True:
-        along = links.join(labels, "node").select(F.col("to").alias("node"), "label")
-        named = labels.select(label_of(F.col("node")).alias("label"), F.col("label").alias("_on"))
-        jumps = labels.join(named, "label").select("node", F.col("_on").alias("label"))
-        better = along.unionByName(jumps).groupBy("node").agg(F.min("label").alias("_offer"))
-        after = cut(labels.join(better, "node", "left").select("node", F.least("label", F.coalesce("_offer", "label")).alias("label"), (F.col("_offer") < F.col("label")).alias("_changed")))
-        changed = not after.filter("_changed").isEmpty()
-        labels = after.drop("_changed")
-        if not changed:
-            return labels
 
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that edges, taken in both directions, connect a node of ``nodes`` (node) to."""
+    numbers = Numbers(nodes.select(F.col("node").alias("name")))
+    return numbers.named(_contracted(_staged(numbers.links(edges).filter("a <> b"))))
 
-def _alone(nodes: DataFrame) -> DataFrame:
-    return nodes.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"))
 
+def _contracted(links: Staged) -> DataFrame:
+    """(node, label) of the nodes of ``links``.
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that edges, taken in both directions, connect a node of ``nodes`` (node) to."""
-    if fits_one_task(nodes, edges):
-        return _in_one_task(_links(edges).unionByName(_alone(nodes)), kernels.weak_labels, "node string, label string")
-    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).filter("node <> to")
-    links = cut(ends.unionByName(ends.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct())
-    return _spread_least(cut(nodes.select("node", F.col("node").alias("label")).distinct()), links)
-
-
-def strong_components(nodes: DataFrame, edges: DataFrame, trims: int = 3) -> DataFrame:
-    """(node, label): the least node of a node's strongly connected component.
-
-    In rounds: nodes without a way in or out are components of their own and
-    are trimmed off. Each other node takes the least node that leads to it as
-    its colour, and then, within the colour, the least node that it leads to.
-    Where both are the same, that is its component, which is removed. What is
-    left goes to the kernel as soon as it fits. No pair of nodes is ever
-    enumerated.
+    Each node takes its least neighbour, if that is less, as the one it stands
+    behind, and then three times whom that one stands behind: with numbers in
+    random order most of them are at their tree's root by then. Links between
+    those are what is left.
     """
-    if fits_one_task(nodes, edges):
-        return _in_one_task(_links(edges).unionByName(_alone(nodes)), kernels.strong_labels, "node string, label string")
-    left = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    labels = nodes.select("node", F.col("node").alias("label")).distinct()
-    found = None
-    while not left.isEmpty():
-        for _ in range(trims):
-            inner = left.select(F.col("src").alias("node")).distinct().intersect(left.select(F.col("dst").alias("node")).distinct())
-            left = cut(left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-        if left.isEmpty():
-            break
-        if fits_one_task(left):
-            part = _in_one_task(_links(left), kernels.strong_labels, "node string, label string")
-            found = part if found is None else found.unionByName(part)
-            break
-        own = cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()).select("node", F.col("node").alias("label"))
-        colours = _spread_least(own, left.select(F.col("src").alias("node"), F.col("dst").alias("to")))
-        inside = cut(
-            left.join(colours.select(F.col("node").alias("src"), F.col("label").alias("_c")), "src").join(colours.select(F.col("node").alias("dst"), F.col("label").alias("_d")), "dst").filter("_c = _d").select("src", "dst")
-        )
-        led_to = _spread_least(own, inside.select(F.col("dst").alias("node"), F.col("src").alias("to")))
-        part = cut(colours.join(led_to, ["node", "label"]))
-        found = part if found is None else found.unionByName(part)
-        gone = part.select("node")
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    if found is None:
-        return labels
-    return labels.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-
+    levels: list[Staged] = []
+    while not links.df.isEmpty() and not fits_one_task(links.df):
+        both = links.df.unionByName(_turned(links.df))
+        up = _staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("up")))
+        for _ in range(3):
+            onward = up.df.select(F.col("node").alias("up"), F.col("up").alias("_on"))
+            after = _staged(_looked_up(up.df, "up", onward).select("node", F.col("_on").alias("up")))
+            up.drop()
+            up = after
+        levels.append(up)
+        half = _looked_up(links.df, "a", up.df.withColumnRenamed("node", "a")).select(F.col("up").alias("a"), "b")
+        whole = _looked_up(half, "b", up.df.withColumnRenamed("node", "b")).select("a", F.col("up").alias("b"))
+        after = _staged(whole.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links.drop()
+        links = after
+    labels = _staged(_kernel(links.df, kernels.weak_labels, ["node", "label"]))
+    for up in reversed(levels):
+        placed = _looked_up(up.df, "up", _every(up.df, labels.df)).select("node", "label")
+        after = _staged(placed)
+        labels.drop()
+        labels = after
+    return labels.df
+
+
+def _every(up: DataFrame, labels: DataFrame) -> DataFrame:
+    """(up, label) of each root of ``up``: its label, or itself where no link was left."""
+    return up.select("up").distinct().join(labels.withColumnRenamed("node", "up"), "up", "left").select("up", F.coalesce("label", "up").alias("label"))
+
+
+# strong components
+
+
+def _trimmed(links: Staged) -> tuple[Staged, bool]:
+    """``links`` (a, b) without trees that hang from a node with no way in; and whether there was any such node.
+
+    A node with a single way in has all its ancestors on one path. If that path
+    starts at a node without a way in, none of them is on a cycle. Whom a node
+    hangs from is followed at twice the distance in each round, until a round
+    finds no further node to trim.
+    """
+    into = links.df.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("_k"), F.min("a").alias("_a"))
+    out = links.df.select(F.col("a").alias("node")).distinct()
+    known = out.join(into, "node", "full_outer").select("node", F.when(F.col("_k") == 1, F.col("_a")).alias("up"), F.col("_k").isNull().alias("dead"))
+    now, dead = _staged(known), 0
+    while (found := now.df.filter("dead").count()) > dead:
+        dead = found
+        above = now.df.select(F.col("node").alias("up"), F.col("up").alias("_on"), F.col("dead").alias("_dead"))
+        hung = now.df.filter("up IS NOT NULL AND NOT dead")
+        rest = now.df.filter("up IS NULL OR dead")
+        after = _staged(_looked_up(hung, "up", above).select("node", F.col("_on").alias("up"), F.col("_dead").alias("dead")).unionByName(rest))
+        now.drop()
+        now = after
+    if not dead:
+        now.drop()
+        return links, False
+    gone = now.df.filter("dead").select(F.col("node").alias("a"))
+    # a dead node's ways in come from dead nodes only
+    left = _staged(links.df.join(gone, "a", "left_anti"))
+    links.drop()
+    now.drop()
+    return left, True
+
+
+def _found_strong(links: Staged) -> Iterator[DataFrame | None]:
+    """Tables (node, label) of strong components, none of them twice, as they are found; first None if a cycle is certain before.
+
+    Nodes that are in no table are components of their own.
+    """
+    told = False
+    while not links.df.isEmpty():
+        if fits_one_task(links.df):
+            yield _kernel(links.df, kernels.strong_labels, ["node", "label"])
+            return
+        links, had_source = _trimmed(links)
+        if links.df.isEmpty():
+            return
+        if not had_source and not told:
+            # all have a way in, so going back never ends: there is a cycle
+            told = True
+            yield None
+        turned, had_sink = _trimmed(_turned_staged(links))
+        if turned.df.isEmpty():
+            return
+        if not had_sink and not told:
+            told = True
+            yield None
+        links = _turned_staged(turned)
+        if fits_one_task(links.df):
+            continue
+        own = _nodes(links.df).select("node", F.col("node").alias("label"))
+        before = _least_that_reaches(own, links.df)
+        behind = _least_that_reaches(own, _turned(links.df))
+        cells = _staged(before.df.withColumnRenamed("label", "f").join(behind.df.withColumnRenamed("label", "g"), "node"))
+        before.drop()
+        behind.drop()
+        yield cells.df.filter("f = g").select("node", F.col("f").alias("label"))
+        open_ = cells.df.filter("f <> g").select("node", F.xxhash64("f", "g").alias("part"))
+        source, target = open_.withColumnRenamed("node", "a"), open_.select(F.col("node").alias("b"), F.col("part").alias("_part"))
+        half = _looked_up(links.df, "a", source)
+        left = _staged(_looked_up(half, "b", target).filter("part = _part").select("a", "b", "part"))
+        links.drop()
+        # parts of the size of a kernel's are done at once
+        sizes = left.df.groupBy("part").agg(F.count("*").alias("_k"))
+        small = _staged(sizes.filter(F.col("_k") <= LOCAL_ROWS))
+        done = small.df.agg(F.sum("_k")).first()[0] or 0
+        if done:
+            yield _strong_of_parts(left.df.join(small.df, "part", "left_semi"), -(-done // LOCAL_ROWS))
+        links = _staged(left.df.join(small.df, "part", "left_anti").select("a", "b"))
+
+
+def _turned_staged(links: Staged) -> Staged:
+    """The same table with its columns' roles exchanged; nothing is written."""
+    links.df = _turned(links.df)
+    return links
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of the strongly connected component of each of ``nodes`` (node)."""
+    numbers = Numbers(nodes.select(F.col("node").alias("name")))
+    parts = [cut(found) for found in _found_strong(_staged(numbers.links(edges).filter("a <> b"))) if found is not None]
+    labels = parts[0] if parts else nodes.sparkSession.createDataFrame([], "node long, label long")
+    for part in parts[1:]:
+        labels = labels.unionByName(part)
+    return numbers.named(labels)
+
+
+def on_a_cycle(edges: DataFrame) -> bool:
+    """Whether there is a cycle. Trees are trimmed off first; it ends as soon as a cycle is certain or no edge is left."""
+    if not edges.filter("src = dst").isEmpty():
+        return True
+    numbers = Numbers(_ends(edges))
+    for found in _found_strong(_staged(numbers.links(edges))):
+        if found is None or not found.filter("node <> label").isEmpty():
+            return True
+    return False

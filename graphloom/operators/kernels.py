@@ -13,8 +13,8 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 
 
-def numbered(a: Iterable[str | None], b: Iterable[str | None]) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
-    """The distinct names in ascending order, and the pairs as their places; only pairs without a null."""
+def numbered(a: Iterable[int | None], b: Iterable[int | None]) -> tuple[list[int], tuple[np.ndarray, np.ndarray]]:
+    """The distinct nodes in ascending order, and the pairs as their places; only pairs without a null."""
     names = sorted({x for x in (*a, *b) if x is not None})
     place = {x: i for i, x in enumerate(names)}
     pairs = np.array([(place[x], place[y]) for x, y in zip(a, b) if x is not None and y is not None], dtype=np.int64).reshape(-1, 2)
@@ -83,10 +83,10 @@ def strong(out: Sequence[list[int]]) -> Iterator[tuple[int, list[int]]]:
                     yield start, members
 
 
-# kernels over (a, b) pairs of names, in which a pair without b stands for a node alone
+# kernels over (a, b) pairs of nodes, in which a pair without b stands for a node alone
 
 
-def reached(a: list[str], b: list[str | None]) -> tuple[list[str]]:
+def reached(a: list[int], b: list[int | None]) -> tuple[list[int]]:
     """What leads on from the nodes that stand alone."""
     names, (s, d) = numbered(a, b)
     place = {x: i for i, x in enumerate(names)}
@@ -94,7 +94,7 @@ def reached(a: list[str], b: list[str | None]) -> tuple[list[str]]:
     return ([names[i] for i in search(targets_of(len(names), s, d), starts)],)
 
 
-def weak_labels(a: list[str], b: list[str | None]) -> tuple[list[str], list[str]]:
+def weak_labels(a: list[int], b: list[int | None]) -> tuple[list[int], list[int]]:
     names, (s, d) = numbered(a, b)
     label = np.arange(len(names))
     while True:
@@ -108,7 +108,7 @@ def weak_labels(a: list[str], b: list[str | None]) -> tuple[list[str], list[str]
         label = after
 
 
-def strong_labels(a: list[str], b: list[str | None]) -> tuple[list[str], list[str]]:
+def strong_labels(a: list[int], b: list[int | None]) -> tuple[list[int], list[int]]:
     names, (s, d) = numbered(a, b)
     label = list(range(len(names)))
     for _, members in strong(targets_of(len(names), s, d)):

@@ -27,6 +27,10 @@ class Import(NamedTuple):
 
 
 _NAME = re.compile(r"[#@]?[\w$‌‍]+", re.UNICODE)
+#: What opens a tag, what looks like one and opens type parameters, and what closes a tag; white space may be of any length.
+_TAG = re.compile(r"<\s*+[A-Za-z_$>]")
+_GENERIC = re.compile(r"<\s*+[\w$]++\s*+(?:,|extends\b|=)")
+_CLOSING_TAG = re.compile(r"<\s*+/")
 _NUMBER = re.compile(r"(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?)n?")
 _MARKS = sorted(">>>= ... === !== **= <<= >>= >>> &&= ||= ??= => == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= << >> **".split(), key=len, reverse=True)
 _BEFORE_EXPRESSION = frozenset("return typeof case in of delete void throw new else do instanceof await yield default extends".split())
@@ -113,17 +117,14 @@ class Scanner:
     def _jsx_opens(self) -> bool:
         if not (self.jsx and self._expression_may_start()):
             return False
-        tail = self.s[self.at + 1 : self.at + 200]
-        if not re.match(r"\s*(?:[A-Za-z_$>])", tail):
-            return False
-        # a generic arrow function: <T,> or <T extends X>
-        return not re.match(r"\s*[\w$]+\s*(?:,|extends\b|=)", tail)
+        # a generic arrow function, <T,> or <T extends X>, is none
+        return bool(_TAG.match(self.s, self.at)) and not _GENERIC.match(self.s, self.at)
 
     def _jsx(self) -> Steps:
         """An element: its tag, then children until it closes."""
         depth = 0
         while self.at < len(self.s):
-            closing = bool(re.match(r"<\s*/", self.s[self.at : self.at + 20]))
+            closing = bool(_CLOSING_TAG.match(self.s, self.at))
             open_ended = yield self._jsx_tag()
             depth += -1 if closing else 1 if open_ended else 0
             if depth <= 0:

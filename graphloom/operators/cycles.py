@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.lineage import cut
 from graphloom.functions.ship import ship
-from graphloom.operators.fixpoint import fits_one_task, on_a_cycle, strong_components, weak_components
+from graphloom.operators import fixpoint
+from graphloom.operators.fixpoint import first_that_reaches, fits_one_task, looked_up, on_a_cycle, reachable, strong_components
 from graphloom.operators.graph import Graph
 from graphloom.operators.kernels import Component, strong
 from graphloom.schema import CYCLES_SCHEMA
@@ -18,21 +19,56 @@ from graphloom.schema import CYCLES_SCHEMA
 MAX_CYCLES = 1000
 
 
-def _rows(graph: Graph, labels: DataFrame) -> DataFrame:
-    """(label, ord, name, pos, to): each node of ``labels`` (node, label, ord), and each edge between two of one label by their places."""
-    nodes = labels.select("label", "ord", F.col("node").alias("name"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("to"))
-    source = labels.select(F.col("node").alias("src"), F.col("label").alias("_src"), F.col("ord").alias("_ord"))
-    target = labels.select(F.col("node").alias("dst"), "label", F.col("ord").alias("to"))
-    edges = graph.edges.select("src", "dst", "pos").join(source, "src").join(target, "dst").filter("_src = label")
-    return nodes.unionByName(edges.select("label", F.col("_ord").alias("ord"), F.lit(None).cast("string").alias("name"), "pos", "to"))
+def _numbered_edges(graph: Graph) -> DataFrame:
+    """(a, pos, b): each edge by its ends' places in the graph's order."""
+    places = graph.nodes.select(F.col("file_path").alias("dst"), F.col("ord").alias("b"))
+    return looked_up(graph.edges.select(F.col("src_ord").alias("a"), "pos", "dst"), "dst", places).select("a", "pos", "b")
 
 
-def _by_component(graph: Graph) -> DataFrame:
-    """The graph's ``_rows`` by weak component. A small graph is one group: a search in node order gives the same then."""
+def _searched(graph: Graph, leading: bool) -> DataFrame:
+    """(start, nth, ord, place): each node's place in its component, the components in search order within ``start``, the place that the search began from.
+
+    A search from one place visits what no place before it leads to. So what
+    has the same least place that leads to it is searched apart from all else;
+    it is one task's work, in numbers. With ``leading``, nodes that lead to no
+    component of several nodes are left out, and so are components of one: no
+    search comes back from them, so the order of the others stays.
+    """
+    ship(graph.nodes.sparkSession)
     nodes = graph.nodes.select(F.col("file_path").alias("node"), "ord")
+    edges = _numbered_edges(graph)
+    bins = 1
     if fits_one_task(nodes, graph.edges):
-        return _rows(graph, nodes.withColumn("label", F.lit("")))
-    return _rows(graph, weak_components(nodes.select("node"), graph.edges).join(nodes, "node"))
+        # a search of all nodes in their order gives the same
+        placed, inside = nodes.select(F.lit(0).alias("start"), "ord"), edges.withColumn("start", F.lit(0))
+    else:
+        ways = graph.edges
+        if leading:
+            labels = cut(strong_components(nodes.select("node"), graph.edges))
+            several = labels.groupBy("label").count().filter("count > 1").select("label")
+            lead = cut(reachable(graph.edges, labels.join(several, "label", "left_semi").select("node"), reverse=True))
+            nodes = nodes.join(lead, "node", "left_semi")
+            # what leads to such a node is one
+            ways = ways.join(lead.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        placed = cut(first_that_reaches(nodes, ways).join(nodes, "node").select("start", "ord"))
+        source, target = placed.select("start", F.col("ord").alias("a")), placed.select(F.col("start").alias("_start"), F.col("ord").alias("b"))
+        inside = cut(looked_up(looked_up(edges, "a", source), "b", target).filter("start = _start").select("a", "pos", "b", "start"))
+        bins = -(-max(1, placed.count()) // max(1, fixpoint.LOCAL_ROWS))
+    bin_ = F.pmod(F.xxhash64("start"), F.lit(bins)).alias("bin")
+    rows = placed.select(bin_, F.col("ord").alias("a"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("b")).unionByName(inside.select(bin_, "a", "pos", "b"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        alone = pc.is_null(rows.column("b"))
+        ords, edges = rows.filter(alone).column("a").to_pylist(), rows.filter(pc.invert(alone))
+        c = Component(zip(ords, ords), zip(*(edges.column(x).to_pylist() for x in ("a", "pos", "b"))))
+        out: list[list[int]] = [[], [], [], []]
+        for nth, (start, members) in enumerate(strong(c.out)):
+            if len(members) > 1 or not leading:
+                for x, values in zip(out, ([c.order[start]] * len(members), [nth] * len(members), c.named(members), range(len(members)))):
+                    x += values
+        return pa.table([pa.array(x, pa.int64()) for x in out], names=["start", "nth", "ord", "place"])
+
+    return rows.groupBy("bin").applyInArrow(run, "start long, nth long, ord long, place long")
 
 
 def _component(rows: pa.Table) -> Component:
@@ -45,19 +81,15 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_MEMBERS = pa.schema([("members", pa.list_(pa.string())), ("rank", pa.list_(pa.int64()))])
 _CHAINS = pa.schema([("chain", pa.list_(pa.string())), ("length", pa.int32()), ("rank", pa.list_(pa.int64()))])
 
 
 def find_strong_components(graph: Graph) -> DataFrame:
     """(members, rank): every component in search order, members last discovered first; order by ``rank``."""
-    ship(graph.nodes.sparkSession)
-
-    def run(rows: pa.Table) -> pa.Table:
-        c = _component(rows)
-        return _table([(c.named(members), [c.order[start], i]) for i, (start, members) in enumerate(strong(c.out))], _MEMBERS)
-
-    return _by_component(graph).groupBy("label").applyInArrow(run, "members array<string>, rank array<long>")
+    names = graph.nodes.select("ord", F.col("file_path").alias("name"))
+    each = _searched(graph, leading=False).join(names, "ord")
+    found = each.groupBy("start", "nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("members"))
+    return found.select("members", F.array("start", "nth").alias("rank"))
 
 
 def strong_component_labels(graph: Graph) -> DataFrame:
@@ -74,18 +106,27 @@ def find_cycles(graph: Graph) -> DataFrame:
     """(chain, length, rank): first the self-loops in node order, then one chain for each component of several nodes.
 
     ``length`` is the component's size, which its chain may fall short of.
-    The order of a depth-first search decides which chain it is, so a weakly
-    connected component is one task's work; it holds numbers for the edges and
-    each name once.
+    The order of a depth-first search decides which chain it is: ``_searched``
+    finds where each component is left last, and then each component is
+    searched for itself, in one task.
     """
-    ship(graph.nodes.sparkSession)
+    found = cut(_searched(graph, leading=True))
+    rank = F.array(F.lit(1).cast("long"), "start", "nth")
+    names = graph.nodes.select("ord", F.col("file_path").alias("name"))
+    key = F.struct("start", "nth").alias("component")
+    nodes = found.join(names, "ord").select(key, rank.alias("rank"), "ord", "name", "place", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("to"))
+    source = found.select(key, rank.alias("rank"), F.col("ord").alias("a"))
+    target = found.select(F.struct("start", "nth").alias("_component"), F.col("ord").alias("b"))
+    edges = looked_up(looked_up(_numbered_edges(graph), "a", source), "b", target).filter("component = _component")
+    edges = edges.select("component", "rank", F.col("a").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("place"), "pos", F.col("b").alias("to"))
 
     def run(rows: pa.Table) -> pa.Table:
         c = _component(rows)
-        found = ((start, members, i) for i, (start, members) in enumerate(strong(c.out)) if len(members) > 1)
-        return _table([(c.named(c.first_cycle(members)), len(members), [1, c.order[start], i]) for start, members, i in found], _CHAINS)
+        nodes = rows.filter(pc.equal(rows.column("place"), 0))
+        first = c.place[nodes.column("ord")[0].as_py()]
+        return _table([(c.named(c.first_cycle(first)), len(c.order), nodes.column("rank")[0].as_py())], _CHAINS)
 
-    parts = _by_component(graph).groupBy("label").applyInArrow(run, CYCLES_SCHEMA)
+    parts = nodes.unionByName(edges).groupBy("component").applyInArrow(run, CYCLES_SCHEMA)
     return self_loops(graph).unionByName(parts)
 
 
@@ -100,7 +141,7 @@ def normalise_cycle(chain: Column) -> Column:
 
 def deduplicate_cycles(cycles: DataFrame) -> DataFrame:
     """Of (chain, rank) with the same normalised chain, the one of lowest rank."""
-    return cycles.withColumn("_key", F.array_join(normalise_cycle(F.col("chain")), "->")).groupBy("_key").agg(F.min_by("chain", "rank").alias("chain"), F.min("rank").alias("rank")).drop("_key")
+    return cycles.withColumn("_key", normalise_cycle(F.col("chain"))).groupBy("_key").agg(F.min_by("chain", "rank").alias("chain"), F.min("rank").alias("rank")).drop("_key")
 
 
 def find_all_simple_cycles(graph: Graph, max_cycles: int = MAX_CYCLES) -> DataFrame:
@@ -109,21 +150,38 @@ def find_all_simple_cycles(graph: Graph, max_cycles: int = MAX_CYCLES) -> DataFr
     ``max_cycles`` bounds the hits before equal cycles are merged: a cycle of
     k nodes is hit k times, once from each. Hits count in the order of the
     starting node, then of target positions, over the whole graph.
-    Each cycle lies in one strong component, which is one task's work.
+    Each cycle lies in one strong component, which is one task's work. First
+    each cycle is taken once, at its least node, and counted k times; a task
+    stops where that exceeds the cap. Only if all tasks together exceed it,
+    the single hits are enumerated, as many as the cap in each component.
     """
     ship(graph.nodes.sparkSession)
     nodes = graph.nodes.select(F.col("file_path").alias("node"), "ord")
-    labels = cut(strong_components(nodes.select("node"), graph.edges).join(nodes, "node"))
-    rows = cut(_rows(graph, labels))
-    cyclic = rows.join(rows.filter("to IS NOT NULL").select("label").distinct(), "label", "left_semi")
-
-    def run(rows: pa.Table) -> pa.Table:
+    labels = cut(strong_components(nodes.select("node"), graph.edges).join(nodes, "node").select("label", "ord", F.col("node").alias("name")))
+    source, target = labels.select("label", F.col("ord").alias("a")), labels.select(F.col("label").alias("_label"), F.col("ord").alias("b"))
+    inside = cut(looked_up(looked_up(_numbered_edges(graph), "a", source), "b", target).filter("label = _label").select("label", F.col("a").alias("ord"), "pos", F.col("b").alias("to")))
+    cyclic = inside.select("label").distinct()
+    empty = lambda kind: F.lit(None).cast(kind)
+    rows = cut(inside.withColumn("name", empty("string")).unionByName(labels.join(cyclic, "label", "left_semi").select("label", "ord", "name", empty("long").alias("pos"), empty("long").alias("to"))))
+
+    def once(rows: pa.Table) -> pa.Table:
+        c, taken, hits = _component(rows), [], 0
+        for i, (start, chain) in enumerate((start, chain) for start in range(len(c.order)) for chain in c.cycles_through(start, start)):
+            taken.append((c.named(chain), len(chain) - 1, [c.order[start], i]))
+            hits += len(chain) - 1
+            if hits > max_cycles:
+                break
+        return _table(taken, _CHAINS)
+
+    def each(rows: pa.Table) -> pa.Table:
         c = _component(rows)
-        every = set(range(len(c.order)))
-        hits = ((c.named(chain), len(chain) - 1, [c.order[start], i]) for start in sorted(every) for i, chain in enumerate(c.cycles_through(start, every)))
+        hits = ((c.named(chain), len(chain) - 1, [c.order[start], i]) for start in range(len(c.order)) for i, chain in enumerate(c.cycles_through(start)))
         return _table(list(islice(hits, max_cycles)), _CHAINS)
 
-    hits = cyclic.groupBy("label").applyInArrow(run, CYCLES_SCHEMA)
+    found = cut(rows.groupBy("label").applyInArrow(once, CYCLES_SCHEMA))
+    if (found.agg(F.sum("length")).first()[0] or 0) <= max_cycles:
+        return found
+    hits = rows.groupBy("label").applyInArrow(each, CYCLES_SCHEMA)
     kept = deduplicate_cycles(hits.select("chain", "rank").orderBy("rank").limit(max_cycles))
     return kept.select("chain", (F.size("chain") - 1).alias("length"), "rank")
 

@@ -30,7 +30,9 @@ and wide may take more, at worst as many as its longest shortest path.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -85,14 +87,14 @@ class Numbers:
         """(node, label) of every name: the least name of those whose numbers have the same label; a number without label is alone."""
         placed = _staged(self.table.df.join(labels.select(F.col("node").alias("n"), "label"), "n", "left").select("name", F.coalesce("label", "n").alias("label")))
         least = _staged(placed.df.groupBy("label").agg(F.min("name").alias("_least")))
-        return _looked_up(placed.df, "label", least.df).select(F.col("name").alias("node"), F.col("_least").alias("label"))
+        return looked_up(placed.df, "label", least.df).select(F.col("name").alias("node"), F.col("_least").alias("label"))
 
 
 def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("name"))
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``table``, which has each ``key`` once: heavy keys by a broadcast of their partners."""
     total = rows.count()
     weights = rows.groupBy(key).count().filter(F.col("count") > max(total // HEAVY_SHARE, 100)).select(key)
@@ -132,15 +134,19 @@ def _least_that_reaches(labels: DataFrame, links: DataFrame) -> Staged:
     """Labels (node, label) after each node took the least label of all nodes that ``links`` (a, b) lead to it from.
 
     Each label but ``_REACHED`` is a node that leads to its holder. So what that
-    node is labelled leads there too, and is passed on as well.
+    node is labelled leads there too, and is passed on as well. Further columns
+    of ``labels`` are passed on with the labels, the least value of each.
     """
     now = _staged(labels)
+    values = [c for c in labels.columns if c != "node"]
     while True:
-        along = _looked_up(links, "a", now.df.withColumnRenamed("node", "a")).select(F.col("b").alias("node"), "label")
-        open_ = now.df.filter((F.col("label") != _REACHED) & (F.col("label") != F.col("node")))
-        jumps = _looked_up(open_, "label", now.df.select(F.col("node").alias("label"), F.col("label").alias("_on"))).select("node", F.col("_on").alias("label"))
-        better = along.unionByName(jumps).groupBy("node").agg(F.min("label").alias("_offer"))
-        after = _staged(now.df.join(better, "node", "left").select("node", F.least("label", F.coalesce("_offer", "label")).alias("label"), (F.col("_offer") < F.col("label")).alias("_changed")))
+        along = looked_up(links, "a", now.df.withColumnRenamed("node", "a")).select(F.col("b").alias("node"), *values)
+        open_ = now.df.filter((F.col("label") != _REACHED) & (F.col("label") != F.col("node"))).select("node", "label")
+        named = now.df.select(F.col("node").alias("label"), *[F.col(c).alias(f"_{c}") for c in values])
+        jumps = looked_up(open_, "label", named).select("node", *[F.col(f"_{c}").alias(c) for c in values])
+        better = along.unionByName(jumps).groupBy("node").agg(*[F.min(c).alias(f"_{c}") for c in values])
+        changes = [F.coalesce(F.col(f"_{c}") < F.col(c), F.lit(False)) for c in values]
+        after = _staged(now.df.join(better, "node", "left").select("node", *[F.least(c, F.coalesce(f"_{c}", c)).alias(c) for c in values], reduce(or_, changes).alias("_changed")))
         now.drop()
         now = after
         changed = not now.df.filter("_changed").isEmpty()
@@ -173,6 +179,16 @@ def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> Data
     return numbers.table.df.join(found, "n", "left_semi").select(F.col("name").alias("node"))
 
 
+def first_that_reaches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, start): for each of ``nodes`` (node, ord) the least ord of those that ``edges`` lead to it from, its own included."""
+    numbers = Numbers(nodes.select(F.col("node").alias("name")))
+    own = numbers.of("node", "node")
+    links = _staged(numbers.links(edges))
+    found = _least_that_reaches(nodes.select(own, own.alias("label"), F.col("ord").alias("start")), links.df)
+    links.drop()
+    return numbers.table.df.join(found.df.select(F.col("node").alias("n"), "start"), "n").select(F.col("name").alias("node"), "start")
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) that a path of one edge or more connects."""
     numbers = Numbers(_ends(edges))
@@ -248,18 +264,18 @@ def _contracted(links: Staged) -> DataFrame:
         up = _staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("up")))
         for _ in range(3):
             onward = up.df.select(F.col("node").alias("up"), F.col("up").alias("_on"))
-            after = _staged(_looked_up(up.df, "up", onward).select("node", F.col("_on").alias("up")))
+            after = _staged(looked_up(up.df, "up", onward).select("node", F.col("_on").alias("up")))
             up.drop()
             up = after
         levels.append(up)
-        half = _looked_up(links.df, "a", up.df.withColumnRenamed("node", "a")).select(F.col("up").alias("a"), "b")
-        whole = _looked_up(half, "b", up.df.withColumnRenamed("node", "b")).select("a", F.col("up").alias("b"))
+        half = looked_up(links.df, "a", up.df.withColumnRenamed("node", "a")).select(F.col("up").alias("a"), "b")
+        whole = looked_up(half, "b", up.df.withColumnRenamed("node", "b")).select("a", F.col("up").alias("b"))
         after = _staged(whole.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links.drop()
         links = after
     labels = _staged(_kernel(links.df, kernels.weak_labels, ["node", "label"]))
     for up in reversed(levels):
-        placed = _looked_up(up.df, "up", _every(up.df, labels.df)).select("node", "label")
+        placed = looked_up(up.df, "up", _every(up.df, labels.df)).select("node", "label")
         after = _staged(placed)
         labels.drop()
         labels = after
@@ -291,7 +307,7 @@ def _trimmed(links: Staged) -> tuple[Staged, bool]:
         above = now.df.select(F.col("node").alias("up"), F.col("up").alias("_on"), F.col("dead").alias("_dead"))
         hung = now.df.filter("up IS NOT NULL AND NOT dead")
         rest = now.df.filter("up IS NULL OR dead")
-        after = _staged(_looked_up(hung, "up", above).select("node", F.col("_on").alias("up"), F.col("_dead").alias("dead")).unionByName(rest))
+        after = _staged(looked_up(hung, "up", above).select("node", F.col("_on").alias("up"), F.col("_dead").alias("dead")).unionByName(rest))
         now.drop()
         now = after
     if not dead:
@@ -340,8 +356,8 @@ def _found_strong(links: Staged) -> Iterator[DataFrame | None]:
         yield cells.df.filter("f = g").select("node", F.col("f").alias("label"))
         open_ = cells.df.filter("f <> g").select("node", F.xxhash64("f", "g").alias("part"))
         source, target = open_.withColumnRenamed("node", "a"), open_.select(F.col("node").alias("b"), F.col("part").alias("_part"))
-        half = _looked_up(links.df, "a", source)
-        left = _staged(_looked_up(half, "b", target).filter("part = _part").select("a", "b", "part"))
+        half = looked_up(links.df, "a", source)
+        left = _staged(looked_up(half, "b", target).filter("part = _part").select("a", "b", "part"))
         links.drop()
         # parts of the size of a kernel's are done at once
         sizes = left.df.groupBy("part").agg(F.count("*").alias("_k"))

@@ -126,7 +126,7 @@ class Component:
         known = sorted(nodes)
         self.order = [o for o, _ in known]
         self.names = [x for _, x in known]
-        place = {o: i for i, o in enumerate(self.order)}
+        self.place = place = {o: i for i, o in enumerate(self.order)}
         self.out: list[list[int]] = [[] for _ in known]
         for source, _, target in sorted(edges):
             self.out[place[source]].append(place[target])
@@ -134,50 +134,66 @@ class Component:
     def named(self, numbers: Iterable[int]) -> list[str]:
         return [self.names[i] for i in numbers]
 
-    def _closes(self, node: int, goal: int, allowed: set[int], path: set[int]) -> bool:
-        """Whether ``goal`` can be reached from ``node`` through ``allowed`` nodes off the path."""
+    def _closes(self, node: int, goal: int, path: set[int]) -> bool:
+        """Whether ``goal`` can be reached from ``node`` off the path."""
         seen, todo = {node}, [node]
         while todo:
             for to in self.out[todo.pop()]:
                 if to == goal:
                     return True
-                if to in allowed and to not in path and to not in seen:
+                if to not in path and to not in seen:
                     seen.add(to)
                     todo.append(to)
         return False
 
-    def cycles_through(self, start: int, allowed: set[int]) -> Iterator[list[int]]:
-        """Closed chains of the simple cycles through ``start`` within ``allowed``, in the order of target positions.
+    def cycles_through(self, start: int, least: int = 0) -> Iterator[list[int]]:
+        """Closed chains of the simple cycles through ``start`` and nodes from ``least`` on, in the order of target positions.
 
-        A branch is entered only if it can still close, so the time between
-        two cycles is polynomial.
+        A node from which a search found no way back is blocked until a node
+        that it leads to is off the path again, so no dead end is searched
+        twice between two cycles.
         """
-        path, on = [start], {start}
-        todo = [iter(self.out[start])]
+        path, blocked, waiting = [start], {start}, {}
+        todo, closed = [iter(self.out[start])], [False]
         while todo:
+            node = path[-1]
             for to in todo[-1]:
                 if to == start:
+                    closed[-1] = True
                     yield [*path, start]
-                elif to in allowed and to not in on and self._closes(to, start, allowed, on):
+                elif to >= least and to not in blocked:
                     path.append(to)
-                    on.add(to)
+                    blocked.add(to)
                     todo.append(iter(self.out[to]))
+                    closed.append(False)
                     break
             else:
                 todo.pop()
-                on.discard(path.pop())
-
-    def first_cycle(self, members: list[int]) -> list[int]:
-        """The closed chain from the first of ``members`` that a search in target order closes first.
+                path.pop()
+                if closed.pop():
+                    if closed:
+                        closed[-1] = True
+                    free = [node]
+                    while free:
+                        x = free.pop()
+                        if x in blocked:
+                            blocked.discard(x)
+                            free += waiting.pop(x, ())
+                else:
+                    for to in self.out[node]:
+                        if to >= least:
+                            waiting.setdefault(to, set()).add(node)
+
+    def first_cycle(self, start: int) -> list[int]:
+        """The closed chain from ``start`` that a search in target order closes first; all nodes are of one strong component.
 
         The path so far can always be closed, so a sole way on needs no test:
         a ring takes linear time.
         """
-        start, allowed = members[0], set(members)
         path, on = [start], {start}
         while True:
-            ways = [to for to in self.out[path[-1]] if to == start or to in allowed and to not in on]
-            to = next((x for x in ways[:-1] if x == start or self._closes(x, start, allowed, on)), ways[-1])
+            ways = [to for to in self.out[path[-1]] if to == start or to not in on]
+            to = next((x for x in ways[:-1] if x == start or self._closes(x, start, on)), ways[-1])
             if to == start:
                 return [*path, start]
             path.append(to)

@@ -39,6 +39,16 @@ def test_golden_cycles(spark, edges):
     assert C.has_cycles(g) == bool(chains)
 
 
+@pytest.mark.parametrize("edges", ["ab ba bc cb", "ex xu ab bc ca xa", "ab ac bd cd"])
+def test_golden_cycles_by_rounds(spark, monkeypatch, edges):
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 0)
+    g = graph(spark, edges)
+    chains, simple = GOLDEN[edges]
+    assert [("".join(r.chain), r.length) for r in C.find_cycles(g).orderBy("rank").collect()] == chains
+    assert ["".join(r.chain) for r in C.find_all_simple_cycles(g).orderBy("rank").collect()] == simple
+    assert C.has_cycles(g) == bool(chains)
+
+
 def test_complete_graph_and_cap(spark):
     g = graph(spark, " ".join(a + b for a in "abcd" for b in "abcd" if a != b))
     assert [("".join(r.chain), r.length) for r in C.find_cycles(g).collect()] == [("dabcd", 4)]
@@ -62,15 +72,126 @@ def test_ring_of_101_in_time(spark):
     assert time.time() - began < 5  # of a shared machine; the bench has the figure
 
 
-def test_rounds_follow_the_logarithm(spark, monkeypatch):
-    """A chain of 300 nodes, numbered at random, takes far fewer checkpoints than it has steps."""
+@pytest.fixture
+def tables(monkeypatch):
+    """The number of tables that rounds write, as one entry each; no part is left to a kernel."""
     monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 0)
-    names = [f"{x:04}" for x in random.Random(3).sample(range(10_000), 300)]
-    g = Graph.from_edges(spark, list(zip(names, names[1:]))).cut()
-    rounds = []
-    whole = fixpoint.cut
-    monkeypatch.setattr(fixpoint, "cut", lambda df: rounds.append(1) or whole(df))
-    assert g.transitive_dependencies(names[0]).count() == 299 and len(rounds) < 40
+    written = []
+    whole = fixpoint._staged
+    monkeypatch.setattr(fixpoint, "_staged", lambda df: written.append(1) or whole(df))
+    return written
+
+
+def test_rounds_follow_the_logarithm(spark, tables):
+    """Ascending chains: ten times the length takes some more tables, not ten times as many."""
+    taken = {}
+    for size in (10, 100, 1000):
+        names = [f"{x:04}" for x in range(size)]
+        g = Graph.from_edges(spark, list(zip(names, names[1:]))).cut()
+        nodes = g.nodes.select(F.col("file_path").alias("node"))
+        for what, ask, want in (
+            ("strong", lambda: strong_components(nodes, g.edges).filter("node <> label").count(), 0),
+            ("weak", lambda: weak_components(nodes, g.edges).select("label").distinct().count(), 1),
+            ("reached", lambda: g.transitive_dependencies(names[0]).count(), size - 1),
+            ("cycle", lambda: C.has_cycles(g), False),
+        ):
+            if size == 100 and what != "strong":
+                continue
+            tables.clear()
+            assert ask() == want
+            taken.setdefault(what, []).append(len(tables))
+    assert taken.pop("strong")[2] < 25
+    assert all(long - short < 35 for short, long in taken.values())
+
+
+def test_rounds_of_a_ladder_and_a_ring(spark, tables):
+    """No node has a single way in, so nothing but labels and parts gets forward."""
+    names = [f"{x:03}" for x in range(60)]
+    ladder = Graph.from_edges(spark, [(names[i], names[j]) for i in range(60) for j in (i + 1, i + 2) if j < 60]).cut()
+    nodes = ladder.nodes.select(F.col("file_path").alias("node"))
+    assert strong_components(nodes, ladder.edges).filter("node <> label").count() == 0 and len(tables) < 130
+    ring = ladder.add_edges([(names[-1], names[0])]).cut()
+    tables.clear()
+    assert strong_components(nodes, ring.edges).select("label").distinct().count() == 1 and len(tables) < 60
+
+
+def test_cycle_is_certain_without_labels(spark, tables, monkeypatch):
+    monkeypatch.setattr(fixpoint, "_least_that_reaches", None)
+    ring = [(f"r{i}", f"r{(i + 1) % 50}") for i in range(50)]
+    assert C.has_cycles(Graph.from_edges(spark, [*ring, *((f"r{i}", f"leaf{i}") for i in range(50))]))
+    tree = [(f"t{i}", f"t{2 * i + j}") for i in range(1, 60) for j in (0, 1)]
+    assert not C.has_cycles(Graph.from_edges(spark, tree))
+
+
+def by_kernel(edges):
+    """Components in search order and chains of a graph, by the kernel over all of it."""
+    names = list(dict.fromkeys(x for e in edges for x in e))
+    place = {x: i for i, x in enumerate(names)}
+    c = Component(enumerate(names), [(place[a], i, place[b]) for i, (a, b) in enumerate(dict.fromkeys(edges))])
+    components = [[names[i] for i in members] for _, members in strong(c.out)]
+    chains = []
+    for members in (m for m in components if len(m) > 1):
+        inner = [(a, b) for a, b in dict.fromkeys(edges) if a in members and b in members]
+        own = [x for x in names if x in members]
+        at = {x: i for i, x in enumerate(own)}
+        part = Component(enumerate(own), [(at[a], i, at[b]) for i, (a, b) in enumerate(inner)])
+        chains.append(part.named(part.first_cycle(at[members[0]])))
+    return components, chains
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_search_order_by_rounds_is_the_kernels(spark, monkeypatch, seed):
+    """Weak components of several strong ones, some entered from many sides."""
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 3 * seed)
+    rng = random.Random(seed)
+    names = [f"{i:03}" for i in range(90)]
+    rng.shuffle(names)
+    edges = []
+    for at in range(0, 90, 6):
+        part = names[at : at + 6]
+        edges += [(rng.choice(part), rng.choice(part)) for _ in range(9)]
+        edges += [(rng.choice(names[:at]), rng.choice(part)) for _ in range(3) if at]
+    rng.shuffle(edges)
+    g = Graph.from_edges(spark, edges).cut()
+    components, chains = by_kernel(edges)
+    assert sum(len(x) > 1 for x in components) > 5
+    assert column(C.find_strong_components(g).orderBy("rank"), "members") == components
+    loops = [[x, x] for x in dict.fromkeys(x for e in edges for x in e) if (x, x) in edges]
+    assert column(C.find_cycles(g).orderBy("rank"), "chain") == loops + chains
+
+
+def test_blocked_search_is_the_plain_one():
+    rng = random.Random(12)
+
+    def plain(out, start, path):
+        for to in out[path[-1]]:
+            if to == start:
+                yield [*path, start]
+            elif to not in path:
+                yield from plain(out, start, [*path, to])
+
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        edges = list({(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 3 * n))})
+        c = Component(enumerate(range(n)), [(a, i, b) for i, (a, b) in enumerate(edges)])
+        for start in range(n):
+            assert list(c.cycles_through(start)) == list(plain(c.out, start, [start]))
+            assert list(c.cycles_through(start, start)) == [x for x in plain(c.out, start, [start]) if min(x) == start]
+    # each dead end once: a plain search would take two to the 40th steps
+    steps = [(2 * i, 0, 2 * i + 2) for i in range(40)] + [(2 * i, 1, 2 * i + 1) for i in range(40)] + [(2 * i + 1, 0, 2 * i + 2) for i in range(40)]
+    dead = Component(enumerate(range(83)), [(82, 0, 0), (82, 1, 81), (81, 0, 82), *steps])
+    assert list(dead.cycles_through(82)) == [[82, 81, 82]]
+
+
+def test_cycles_of_complete_graphs_and_the_cap(spark):
+    names = "abcdefgh"
+    g = Graph.from_edges(spark, [(a, b) for a in names for b in names if a != b]).cut()
+    assert C.find_all_simple_cycles(g, 10**6).count() == 16_064
+    # one hit less: the last one, from the last node to itself
+    small = Graph.from_edges(spark, [(a, b) for a in "abcd" for b in "abcd"]).cut()
+    hits = 4 + 6 * 2 + 8 * 3 + 6 * 4
+    ranked = lambda cap: ["".join(r.chain) for r in C.find_all_simple_cycles(small, cap).orderBy("rank").collect()]
+    assert len(ranked(hits)) == 24 and ranked(hits - 1) == ranked(hits)[:-1]
 
 
 def test_involving_and_longest(spark):

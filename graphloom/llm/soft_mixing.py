@@ -5,9 +5,8 @@ table, gives each document a posterior over domains. The bins' edges are
 quantiles of the labelled documents. Document rates r >= 0 are then fitted so
 that the expected domain token totals, sum over documents of tokens *
 posterior * rate, match the targets: least squares by projected gradient steps
-from r = 1, each preconditioned. Up to FULL domains that is by the (domains x
-domains) normal matrix of the rows whose rate is not at zero; for more by its
-row sums, which takes more steps. A step changes a document's rate by the same
+from r = 1, each preconditioned by the (domains x domains) normal matrix of the
+rows whose rate is not at zero, whatever the number of domains. A step changes a document's rate by the same
 linear function of its posterior everywhere, so the rates never need to be
 stored: they follow from the posterior and the list of steps, and each step is
 one aggregate over a narrow table. Only DataFrame operations run on rows.
@@ -30,8 +29,8 @@ STATISTICS = ["upper", "symbols", "marks", "distinct", "length", "signals"]
 #: The labelled documents' quantiles that are the bins' upper ends.
 QUANTILES = [0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98]
 MAX_SIGNALS = 500
-#: Domains up to which steps use the whole normal matrix.
-FULL = 16
+#: Domains up to which one row of sums holds the normal matrix; for more it is summed row by row, to the same end.
+ONE_ROW = 16
 
 
 def _words(text: Column) -> Column:
@@ -165,12 +164,13 @@ def fit_rates(posteriors: DataFrame, k: int, weights: list[float], *, budget=Non
     targets = share / share.sum() * whole
     best = Fit([], before.tolist(), before.tolist(), targets.tolist(), math.inf, False)
     least, damp, fails, steps = math.inf, 1.0, 0, []
-    use, full, bound, direction, miss = before > 0, k <= FULL, None, np.zeros(k), np.zeros(k)
+    use, bound, direction, miss = before > 0, None, np.zeros(k), np.zeros(k)
     for _ in range(rounds):
         tried = Fit(list(steps), [], before.tolist(), targets.tolist())
         moving = F.col("tokens") * (F.col("_r") > 0).cast("double")
-        normal = [F.sum(moving * p[i] * p[j]) for i in range(k) for j in range(i + 1)] if full else [F.sum(moving * x) for x in p]
-        row = [x or 0.0 for x in posteriors.withColumn("_r", tried.rate()).agg(*[F.sum(F.col("tokens") * x * F.col("_r")) for x in p], *normal).first()]
+        rated = posteriors.withColumn("_r", tried.rate())
+        normal = [F.sum(moving * p[i] * p[j]) for i in range(k) for j in range(i + 1)] if k <= ONE_ROW else []
+        row = [x or 0.0 for x in rated.agg(*[F.sum(F.col("tokens") * x * F.col("_r")) for x in p], *normal).first()]
         missed = np.where(use, np.array(row[:k]) - targets, 0.0)
         tried.totals, tried.error = row[:k], float(np.abs(missed).max() / max(whole, 1e-9))
         tried.converged = tried.error <= tolerance
@@ -180,16 +180,16 @@ def fit_rates(posteriors: DataFrame, k: int, weights: list[float], *, budget=Non
             if best.converged:
                 return best
             damp = min(1.0, damp * 1.5)
-            if full:
-                m = np.zeros((k, k))
+            m = np.zeros((k, k))
+            if normal:
                 m[np.tril_indices(k)] = row[k:]
                 m = m + np.tril(m, -1).T
-                bound = bound or np.linalg.eigvalsh(m)[-1]
-                direction = np.linalg.solve(m + 1e-6 * (np.trace(m) / k + 1e-9) * np.eye(k), miss)
             else:
-                sums = np.maximum(np.array(row[k:]), 1e-9)
-                bound = bound or sums.max()  # the matrix's row sums
-                direction = miss / sums
+                each = rated.select(moving.alias("_w"), "p", F.posexplode("p").alias("_i", "_p")).groupBy("_i").agg(*[F.sum(F.col("_w") * F.col("_p") * x) for x in p])
+                for i, *sums in each.collect():  # a row for each domain
+                    m[i] = [x or 0.0 for x in sums]
+            bound = bound or np.linalg.eigvalsh(m)[-1]
+            direction = np.linalg.solve(m + 1e-6 * (np.trace(m) / k + 1e-9) * np.eye(k), miss)
         else:
             fails, damp = fails + 1, damp / 3
         # a step of the plain gradient by the inverse of the largest eigenvalue never fails

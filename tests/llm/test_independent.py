@@ -217,6 +217,15 @@ def test_op9_many_domains(spark):
     assert fitted.converged and np.allclose(fitted.totals, fitted.targets, atol=0.5)
 
 
+@pytest.mark.parametrize("k", [16, 17, 40])
+def test_op9_mixed_posteriors_of_many_domains(spark, k):
+    """Dirichlet posteriors, so that every document counts for every domain: the targets are met whatever the number of domains."""
+    rng = np.random.default_rng(k)
+    rows = [(int(rng.integers(5, 300)), [float(x) for x in rng.dirichlet(np.full(k, 0.4))]) for _ in range(400)]
+    fitted = soft_mixing.fit_rates(spark.createDataFrame(rows, "tokens long, p array<double>"), k, [1.0 + i % 3 for i in range(k)])
+    assert fitted.converged and fitted.error <= 1e-7 and len(fitted.steps) < 25
+
+
 def test_op9_without_labels_or_weights(spark, odd_docs, recwarn):
     none = spark.createDataFrame([], "doc_id long, domain string")
     some = spark.createDataFrame([(4, "a"), (6, "b"), (7, None), (8, "c")], "doc_id long, domain string")

@@ -10,7 +10,9 @@ words. Two signatures agree in a share m of their places that is
 J + (1 - J) / 2**BITS on average, since different minima agree by chance; so
 J is estimated by (m - 2**-BITS) / (1 - 2**-BITS), with bit counts only. A
 candidate whose estimate falls short of the wanted similarity by over SLACK
-standard deviations is dropped; any other is confirmed on the full sets.
+standard deviations is dropped. So is one whose fingerprints show that the sets
+differ in too many shingles (``set_join.fingerprint``, a bound that always
+holds). Any other is confirmed on the full sets.
 
 First every member of a band's bucket is paired with the bucket's least one.
 Buckets whose members are then of one component are done; in the others all
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.ship import ship
 from graphloom.llm.components import connected_components
-from graphloom.llm.set_join import BLOCK, shingle_hashes, shingle_set, words_of
+from graphloom.llm.set_join import BLOCK, _near, fingerprint, shingle_hashes, shingle_set, words_of
 from graphloom.llm.simhash import signature
 from graphloom.llm.skew import join_to_unique, join_to_wide
 from graphloom.llm.staging import Staged
@@ -110,19 +112,83 @@ def least_estimate(similarity: float) -> float:
 
 
 def _likely(percent: int) -> Column:
-    """Whether signatures ``_bu`` and ``_bv`` and sizes ``_su`` and ``_sv`` leave a similarity of ``percent`` possible."""
+    """Whether signatures ``_bu`` and ``_bv``, sizes ``_su`` and ``_sv`` and fingerprints ``_fu`` and ``_fv`` leave a similarity of ``percent`` possible."""
     sizes = 100 * F.least("_su", "_sv") >= percent * F.greatest("_su", "_sv")
-    return sizes & (estimate(agreements("_bu", "_bv")) >= least_estimate(percent / 100))
+    return sizes & (estimate(agreements("_bu", "_bv")) >= least_estimate(percent / 100)) & _near(percent / 100)
 
 
-def _side(alias: str, n: str = "_n", size: str = "_size", bits: str = "_bits") -> list[Column]:
-    return [F.col(n).alias(alias), F.col(size).alias(f"_s{alias}"), F.col(bits).alias(f"_b{alias}")]
+def _side(alias: str) -> list[Column]:
+    return [F.col("_n").alias(alias), F.col("_size").alias(f"_s{alias}"), F.col("_bits").alias(f"_b{alias}"), F.col("_print").alias(f"_f{alias}")]
+
+
+def _likely_pairs(sizes: np.ndarray, bits: np.ndarray, prints: np.ndarray, open_: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_likely`` says of the pairs of rows marked in ``open_``, in NumPy."""
+    u, v = np.nonzero(open_ & (100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)))
+    chance = 2.0**-BITS
+    agree = (least_estimate(percent / 100) * (1 - chance) + chance) * HASHES
+    apart = bits[u] ^ bits[v]
+    apart = np.bitwise_count(np.bitwise_or.reduce(apart.reshape(len(u), BITS, WORDS), axis=1)).sum(axis=1, dtype=np.int64)
+    near = HASHES - apart >= agree - 1e-9
+    u, v = u[near], v[near]
+    similarity = percent / 100
+    budget = np.floor((sizes[u] + sizes[v]) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    near = np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1, dtype=np.int64) <= budget
+    return u[near], v[near]
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    # unsigned: bits of negative numbers would be counted in their absolute values
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
+
+
+def _compared(open_: DataFrame, percent: int) -> DataFrame:
+    """(u, v): likely pairs of different components among the members of each bucket of ``open_``.
+
+    A bucket of many members is cut into blocks of about BLOCK, and each pair
+    of its blocks is compared for itself, so that a task holds two blocks at a
+    time whatever the bucket's size. A pair is given by the first bucket only of
+    those that it shares: all of them hold two components, so all are here.
+    """
+    own = F.pmod(F.xxhash64("_n"), F.col("_blocks")).cast("int")
+    dealt = open_.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    key = [F.col("_token"), F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")]
+    dealt = dealt.select(*key, "_own", "_n", "component", "_size", "_bits", "_print", "_bands").repartition("_token", "_i", "_j").sortWithinPartitions("_token", "_i", "_j")
+
+    def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own, n, component, size = (batch.column(i).to_numpy() for i in (3, 4, 5, 6))
+        open_ = np.triu(component[:, None] != component, 1)
+        if batch.column(1)[0] != batch.column(2)[0]:
+            open_ &= own[:, None] != own
+        u, v = _likely_pairs(size, _wide(batch.column(7)), _wide(batch.column(8)), open_, percent)
+        bands = _wide(batch.column(9)).view(np.int64)
+        first = (bands[u] == bands[v]).argmax(axis=1)
+        own_first = bands[u, first] == batch.column(0).to_numpy()[u]
+        u, v = u[own_first], v[own_first]
+        return np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            whole = batch if held is None else held if batch is None else pa.concat_batches([held, batch])
+            if whole is None or not whole.num_rows:
+                continue
+            keys = [whole.column(i).to_numpy() for i in range(3)]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            # the last key's rows may go on in the next batch
+            ends = [*cuts.tolist(), *([whole.num_rows] if batch is None else [])]
+            found = [pairs(whole.slice(a, b - a)) for a, b in zip([0, *ends], ends) if b - a > 1]
+            held = whole.slice(ends[-1] if ends else 0)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The (u, v) of ``pairs`` whose texts' full sets are similar. Only texts in a pair are fetched, one of each node."""
     degrees = Staged(pairs.select(F.explode(F.array("u", "v")).alias("_n")).groupBy("_n").agg(F.count("*").alias("_k")).join(nodes.select("_n", "_sig"), "_n"), "degrees")
-    texts = Staged(source.select("_sig", "_text").join(degrees.df, "_sig").groupBy("_n", "_k").agg(F.min("_text").alias("_text")), "texts")
+    # merged, not broadcast: the texts of pairs are a share of all texts at any size
+    texts = Staged(source.select("_sig", "_text").join(degrees.df.hint("merge"), "_sig").groupBy("_n", "_k").agg(F.min("_text").alias("_text")), "texts")
     side = lambda c: texts.df.select(F.col("_n").alias(c), "_k", F.col("_text").alias(f"_{c}"))
     total = max(1, pairs.count())
     half = join_to_wide(pairs, total, side("u"), ["u"], "_k").drop("_k")
@@ -153,7 +219,7 @@ def _nodes(source: DataFrame, shingle: int, kind: str) -> tuple[Staged, Staged]:
 
         def run(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                numbers, digests, sizes, bits, bands = [], [], [], [], []
+                numbers, digests, sizes, bits, prints, bands = [], [], [], [], [], []
                 for text in batch.column(2):
                     text = text.as_py()
                     hashes = shingle_hashes(text, shingle) if words_of(text) else np.zeros(0, dtype=np.uint64)
@@ -162,12 +228,13 @@ def _nodes(source: DataFrame, shingle: int, kind: str) -> tuple[Staged, Staged]:
                     numbers.append(int.from_bytes(digests[-1][:8], signed=True))
                     sizes.append(len(hashes))
                     bits.append(packed_bits(least))
+                    prints.append(fingerprint(hashes))
                     bands.append(band_keys(least))
-                made = [pa.array(x, t) for x, t in ((digests, pa.binary()), (numbers, pa.int64()), (sizes, pa.int64()), (bits, pa.list_(pa.int64())), (bands, pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_id", "_sig", "_set", "_n", "_size", "_bits", "_bands"])
+                made = [pa.array(x, t) for x, t in ((digests, pa.binary()), (numbers, pa.int64()), (sizes, pa.int64()), (bits, pa.list_(pa.int64())), (prints, pa.list_(pa.int64())), (bands, pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_id", "_sig", "_set", "_n", "_size", "_bits", "_print", "_bands"])
 
-        rows = Staged(source.mapInArrow(run, f"_id {kind}, _sig binary, _set binary, _n long, _size long, _bits array<long>, _bands array<long>"), "minhash")
-        each = rows.df.filter("_size > 0").groupBy("_n", "_set", "_size").agg(F.min("_id").alias("_least"), F.min("_sig").alias("_sig"), F.min("_bits").alias("_bits"), F.min("_bands").alias("_bands"), F.count("*").alias("_copies"))
+        rows = Staged(source.mapInArrow(run, f"_id {kind}, _sig binary, _set binary, _n long, _size long, _bits array<long>, _print array<long>, _bands array<long>"), "minhash")
+        each = rows.df.filter("_size > 0").groupBy("_n", "_set", "_size").agg(F.min("_id").alias("_least"), F.min("_sig").alias("_sig"), F.min("_bits").alias("_bits"), F.min("_print").alias("_print"), F.min("_bands").alias("_bands"), F.count("*").alias("_copies"))
         nodes = Staged(each, "nodes")
         # numbers of 64 bits for sets: of another digest if two sets ever get the same one
         if nodes.df.groupBy("_n").count().filter("count > 1").isEmpty():
@@ -199,13 +266,11 @@ def _links(nodes: DataFrame, source: DataFrame, shingle: int, percent: int) -> D
     mixed = placed.df.groupBy("_token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_k")).filter("_lo <> _hi").drop("_lo", "_hi")
     mixed = Staged(mixed, "mixed")
     crowded = join_to_unique(placed.df, max(1, placed.df.count()), mixed.df, ["_token"], "_k").withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int"))
-    open_ = Staged(crowded.join(nodes.select("_n", "_bits"), "_n"), "open")
-    left = open_.df.select("_token", F.col("component").alias("_cu"), *_side("u"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    right = open_.df.select("_token", F.col("component").alias("_cv"), *_side("v"), F.pmod(F.xxhash64("_n"), F.col("_blocks")).cast("int").alias("_block"))
-    again = left.join(right, ["_token", "_block"]).filter((F.col("u") < F.col("v")) & (F.col("_cu") != F.col("_cv")) & _likely(percent)).select("u", "v").distinct()
-    second = Staged(again.join(first.df, ["u", "v"], "left_anti"), "pairs")
+    open_ = Staged(crowded.join(nodes.select("_n", "_bits", "_print", "_bands"), "_n"), "open")
+    again = Staged(_compared(open_.df, percent), "again")
+    second = Staged(again.df.join(first.df, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(_confirmed(second.df, nodes, source, shingle, percent))
-    for x in (heads, shared, met, heads_of, first, now, placed, mixed, open_, second):
+    for x in (heads, shared, met, heads_of, first, now, placed, mixed, open_, again, second):
         x.drop()
     return links
 

@@ -102,6 +102,21 @@ def self_loops(graph: Graph) -> DataFrame:
     return graph.edges.filter("src = dst").select(F.array("src", "src").alias("chain"), F.lit(1).alias("length"), F.array(F.lit(0).cast("long"), F.col("src_ord")).alias("rank"))
 
 
+def _cycles_at_once(graph: Graph) -> DataFrame:
+    """The chains of ``find_cycles`` but self-loops, of a graph that one task holds."""
+    ship(graph.nodes.sparkSession)
+    places = graph.nodes.select(F.col("file_path").alias("dst"), F.col("ord").alias("to"))
+    nodes = graph.nodes.select("ord", F.col("file_path").alias("name"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("to"))
+    edges = graph.edges.join(places, "dst").select(F.col("src_ord").alias("ord"), F.lit(None).cast("string").alias("name"), "pos", "to")
+
+    def run(rows: pa.Table) -> pa.Table:
+        c = _component(rows)
+        found = ((start, members, i) for i, (start, members) in enumerate(strong(c.out)) if len(members) > 1)
+        return _table([(c.named(c.first_cycle(members[0], set(members))), len(members), [1, c.order[start], i]) for start, members, i in found], _CHAINS)
+
+    return nodes.unionByName(edges).groupBy(F.lit(0).alias("all")).applyInArrow(run, CYCLES_SCHEMA)
+
+
 def find_cycles(graph: Graph) -> DataFrame:
     """(chain, length, rank): first the self-loops in node order, then one chain for each component of several nodes.
 
@@ -110,6 +125,8 @@ def find_cycles(graph: Graph) -> DataFrame:
     finds where each component is left last, and then each component is
     searched for itself, in one task.
     """
+    if fits_one_task(graph.nodes, graph.edges):
+        return self_loops(graph).unionByName(_cycles_at_once(graph))
     found = cut(_searched(graph, leading=True))
     rank = F.array(F.lit(1).cast("long"), "start", "nth")
     names = graph.nodes.select("ord", F.col("file_path").alias("name"))
@@ -124,7 +141,7 @@ def find_cycles(graph: Graph) -> DataFrame:
         c = _component(rows)
         nodes = rows.filter(pc.equal(rows.column("place"), 0))
         first = c.place[nodes.column("ord")[0].as_py()]
-        return _table([(c.named(c.first_cycle(first)), len(c.order), nodes.column("rank")[0].as_py())], _CHAINS)
+        return _table([(c.named(c.first_cycle(first, set(range(len(c.order))))), len(c.order), nodes.column("rank")[0].as_py())], _CHAINS)
 
     parts = nodes.unionByName(edges).groupBy("component").applyInArrow(run, CYCLES_SCHEMA)
     return self_loops(graph).unionByName(parts)

@@ -94,12 +94,12 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("name"))
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``table``, which has each ``key`` once: heavy keys by a broadcast of their partners."""
-    total = rows.count()
+def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int | None = None) -> DataFrame:
+    """``rows`` (``total``, or counted) joined to ``table``, which has each ``key`` once: heavy keys by a broadcast of their partners."""
+    total = rows.count() if total is None else total
     weights = rows.groupBy(key).count().filter(F.col("count") > max(total // HEAVY_SHARE, 100)).select(key)
     heavy = F.broadcast(table.join(F.broadcast(weights), key, "left_semi"))
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(table, key, how))
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(table, key))
 
 
 def _kernel(rows: DataFrame, kernel: Callable, names: list[str]) -> DataFrame:
@@ -138,12 +138,13 @@ def _least_that_reaches(labels: DataFrame, links: DataFrame) -> Staged:
     of ``labels`` are passed on with the labels, the least value of each.
     """
     now = _staged(labels)
+    size, total = now.df.count(), links.count()
     values = [c for c in labels.columns if c != "node"]
     while True:
-        along = looked_up(links, "a", now.df.withColumnRenamed("node", "a")).select(F.col("b").alias("node"), *values)
+        along = looked_up(links, "a", now.df.withColumnRenamed("node", "a"), total).select(F.col("b").alias("node"), *values)
         open_ = now.df.filter((F.col("label") != _REACHED) & (F.col("label") != F.col("node"))).select("node", "label")
         named = now.df.select(F.col("node").alias("label"), *[F.col(c).alias(f"_{c}") for c in values])
-        jumps = looked_up(open_, "label", named).select("node", *[F.col(f"_{c}").alias(c) for c in values])
+        jumps = looked_up(open_, "label", named, size).select("node", *[F.col(f"_{c}").alias(c) for c in values])
         better = along.unionByName(jumps).groupBy("node").agg(*[F.min(c).alias(f"_{c}") for c in values])
         changes = [F.coalesce(F.col(f"_{c}") < F.col(c), F.lit(False)) for c in values]
         after = _staged(now.df.join(better, "node", "left").select("node", *[F.least(c, F.coalesce(f"_{c}", c)).alias(c) for c in values], reduce(or_, changes).alias("_changed")))
@@ -302,12 +303,13 @@ def _trimmed(links: Staged) -> tuple[Staged, bool]:
     out = links.df.select(F.col("a").alias("node")).distinct()
     known = out.join(into, "node", "full_outer").select("node", F.when(F.col("_k") == 1, F.col("_a")).alias("up"), F.col("_k").isNull().alias("dead"))
     now, dead = _staged(known), 0
+    size = now.df.count()
     while (found := now.df.filter("dead").count()) > dead:
         dead = found
         above = now.df.select(F.col("node").alias("up"), F.col("up").alias("_on"), F.col("dead").alias("_dead"))
         hung = now.df.filter("up IS NOT NULL AND NOT dead")
         rest = now.df.filter("up IS NULL OR dead")
-        after = _staged(looked_up(hung, "up", above).select("node", F.col("_on").alias("up"), F.col("_dead").alias("dead")).unionByName(rest))
+        after = _staged(looked_up(hung, "up", above, size).select("node", F.col("_on").alias("up"), F.col("_dead").alias("dead")).unionByName(rest))
         now.drop()
         now = after
     if not dead:

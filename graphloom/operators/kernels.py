@@ -134,14 +134,14 @@ class Component:
     def named(self, numbers: Iterable[int]) -> list[str]:
         return [self.names[i] for i in numbers]
 
-    def _closes(self, node: int, goal: int, path: set[int]) -> bool:
-        """Whether ``goal`` can be reached from ``node`` off the path."""
+    def _closes(self, node: int, goal: int, allowed: set[int], path: set[int]) -> bool:
+        """Whether ``goal`` can be reached from ``node`` through ``allowed`` nodes off the path."""
         seen, todo = {node}, [node]
         while todo:
             for to in self.out[todo.pop()]:
                 if to == goal:
                     return True
-                if to not in path and to not in seen:
+                if to in allowed and to not in path and to not in seen:
                     seen.add(to)
                     todo.append(to)
         return False
@@ -184,16 +184,16 @@ class Component:
                         if to >= least:
                             waiting.setdefault(to, set()).add(node)
 
-    def first_cycle(self, start: int) -> list[int]:
-        """The closed chain from ``start`` that a search in target order closes first; all nodes are of one strong component.
+    def first_cycle(self, start: int, members: set[int]) -> list[int]:
+        """The closed chain from ``start`` that a search in target order closes first within ``members``, its strong component.
 
         The path so far can always be closed, so a sole way on needs no test:
         a ring takes linear time.
         """
         path, on = [start], {start}
         while True:
-            ways = [to for to in self.out[path[-1]] if to == start or to not in on]
-            to = next((x for x in ways[:-1] if x == start or self._closes(x, start, on)), ways[-1])
+            ways = [to for to in self.out[path[-1]] if to == start or to in members and to not in on]
+            to = next((x for x in ways[:-1] if x == start or self._closes(x, start, members, on)), ways[-1])
             if to == start:
                 return [*path, start]
             path.append(to)

@@ -135,7 +135,7 @@ def by_kernel(edges):
         own = [x for x in names if x in members]
         at = {x: i for i, x in enumerate(own)}
         part = Component(enumerate(own), [(at[a], i, at[b]) for i, (a, b) in enumerate(inner)])
-        chains.append(part.named(part.first_cycle(at[members[0]])))
+        chains.append(part.named(part.first_cycle(at[members[0]], set(range(len(own))))))
     return components, chains
 
 
@@ -304,7 +304,7 @@ def test_deep_chain_and_ring():
     assert sum(1 for _ in strong(chain.out)) == n
     ring = Component([(i, f"n{i:06}") for i in range(n)], [(i, i, (i + 1) % n) for i in range(n)])
     ((_, members),) = strong(ring.out)
-    assert len(ring.first_cycle(members)) == n + 1
+    assert len(ring.first_cycle(members[0], set(members))) == n + 1
 
 
 def test_normalise(spark):

@@ -17,6 +17,8 @@ from graphloom.operators.kernels import Component, strong
 from graphloom.schema import CYCLES_SCHEMA
 
 MAX_CYCLES = 1000
+#: A search in exact order is one pass in linear time: one task takes so many times LOCAL_ROWS, some tens of MB.
+SEARCH_TIMES = 50
 
 
 def _numbered_edges(graph: Graph) -> DataFrame:
@@ -38,7 +40,7 @@ def _searched(graph: Graph, leading: bool) -> DataFrame:
     nodes = graph.nodes.select(F.col("file_path").alias("node"), "ord")
     edges = _numbered_edges(graph)
     bins = 1
-    if fits_one_task(nodes, graph.edges):
+    if fits_one_task(nodes, graph.edges, times=SEARCH_TIMES):
         # a search of all nodes in their order gives the same
         placed, inside = nodes.select(F.lit(0).alias("start"), "ord"), edges.withColumn("start", F.lit(0))
     else:
@@ -125,7 +127,7 @@ def find_cycles(graph: Graph) -> DataFrame:
     finds where each component is left last, and then each component is
     searched for itself, in one task.
     """
-    if fits_one_task(graph.nodes, graph.edges):
+    if fits_one_task(graph.nodes, graph.edges, times=SEARCH_TIMES):
         return self_loops(graph).unionByName(_cycles_at_once(graph))
     found = cut(_searched(graph, leading=True))
     rank = F.array(F.lit(1).cast("long"), "start", "nth")

@@ -50,8 +50,9 @@ _REACHED = -(1 << 63)
 _PAIRS_AT_ONCE = 1 << 16
 
 
-def fits_one_task(*tables: DataFrame) -> bool:
-    left = LOCAL_ROWS
+def fits_one_task(*tables: DataFrame, times: int = 1) -> bool:
+    """Whether the rows of all ``tables`` are LOCAL_ROWS, or ``times`` as many, at most."""
+    left = LOCAL_ROWS * times
     for table in tables:
         # the count stops at what does not fit any more
         left -= table.limit(left + 1).count()

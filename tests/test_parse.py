@@ -116,3 +116,9 @@ def test_columns_and_table_function(spark):
     register_parse_imports(spark)
     found = spark.sql("SELECT i.* FROM VALUES ('import a from \"q\"') AS t(s), LATERAL parse_imports(s, 'typescript') AS i").collect()
     assert [(r.source, r.specifiers, r.type, r.line) for r in found] == [("q", ["a"], "esm", 1)]
+
+
+@pytest.mark.parametrize("before", ["const f = <T{}extends X,>(x: T) => x;", "const f = <{}T,>(x: T) => x;", "const e = <div>text<{}/div>;"])
+def test_white_space_of_any_length_in_angles(before):
+    found = parse_source(before.format(" " * 600) + "\nimport a from './after';", "tsx")
+    assert [x.source for x in found] == ["./after"]

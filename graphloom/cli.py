@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from graphloom.plans.analyze import analyze_directory
-from graphloom.plans.report import empty_json_report, json_report, text_report, viewer_json
+from graphloom.plans.report import empty_json_report, json_lines, text_lines, viewer_json
 from graphloom.schema import AnalyzerOptions
 
 
@@ -23,7 +23,13 @@ def analyze(spark: SparkSession, path: str, output: str = "text", ignore: list[s
         if result.graph.nodes.isEmpty():
             print("No TypeScript/JavaScript files found." if output == "text" else empty_json_report(result))
             return 0
-        print(json_report(result, root) if output == "json" else viewer_json(result) if output == "viewer" else text_report(result, root))
+        if output == "viewer":
+            print(viewer_json(result))
+        else:
+            lines = json_lines(result, root).orderBy("part", "nth") if output == "json" else text_lines(result, root).orderBy("nth")
+            # one range of the sorted lines at a time
+            for row in lines.select("text").toLocalIterator():
+                print(row["text"])
         return int(not result.cycles.isEmpty())
     except Exception as e:
         print(f"Error: {e}", file=sys.stderr)

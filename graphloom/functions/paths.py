@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import posixpath
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -75,29 +77,21 @@ def is_external(source: Column) -> Column:
     return F.when(source.startswith(".") | source.startswith("/"), False).when(source.startswith("@"), source.contains("/")).otherwise(True)
 
 
-def _glob(pattern: str) -> str:
-    return "^" + pattern.replace("*", ".*").replace("?", ".") + "$"
+def _ignoring(pattern: str) -> str:
+    """One regular expression to search a path for: the pattern's text, or with ``*`` all of the path or of its last segment."""
+    if "*" not in pattern:
+        return re.escape(pattern)
+    return r"^(?:(?s:.*)/(?=[^/]*$))?" + pattern.replace("*", ".*").replace("?", ".") + "$"
 
 
 def should_ignore(path: Column, patterns: list[str]) -> Column:
-    """Patterns with ``*`` match the whole path or its last segment, characters besides ``*`` and ``?`` as in a regular expression; others match as a part of the path."""
-    found = F.lit(False)
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    for pattern in patterns:
-        if "*" in pattern:
-            found |= path.rlike(_glob(pattern)) | name.rlike(_glob(pattern))
-        else:
-            found |= F.contains(path, F.lit(pattern)) | (name == pattern)
-    return found
+    """Whether any pattern fits; with ``*``, ``?`` stands for one character and others are as in a regular expression."""
+    return reduce(or_, (path.rlike(_ignoring(p)) for p in patterns), F.lit(False))
 
 
 def ignores(path: str, patterns: list[str]) -> bool:
     """``should_ignore`` for one path."""
-    name = posixpath.basename(path)
-    return any(
-        (re.search(_glob(p), path) or re.search(_glob(p), name)) if "*" in p else (p in path or p == name)
-        for p in patterns
-    )
+    return any(re.search(_ignoring(p), path) for p in patterns)
 
 
 def matches_view_pattern(path: Column, pattern: str) -> Column:

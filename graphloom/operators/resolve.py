@@ -1,4 +1,4 @@
-"""Import resolution: a lookup join with candidates in order of priority."""
+"""Import resolution: one lookup join of targets with the paths that files stand for."""
 
 from __future__ import annotations
 
@@ -44,19 +44,40 @@ def candidates(target: Column, extensions: list[str]) -> Column:
     return F.concat(F.array(*tried), swapped)
 
 
+def stands_for(path: Column, extensions: list[str]) -> Column:
+    """The paths (target, pos) that a file may stand for, told from its suffix; ``pos`` is its place among their ``candidates``."""
+    suffixes = ["", *extensions, *("/index" + x for x in extensions)]
+    ways = [(suffix, "", pos) for pos, suffix in enumerate(suffixes)]
+    ways += [(".ts", ".js", len(suffixes)), (".tsx", ".js", len(suffixes) + 1)]
+
+    def way(suffix: str, to: str, pos: int) -> Column:
+        target = F.concat(F.left(path, F.length(path) - len(suffix)), F.lit(to))
+        # an index file at the top stands for the top
+        return F.when(path.endswith(suffix), F.struct(F.when(target == "", "/").otherwise(target).alias("target"), F.lit(pos).alias("pos")))
+
+    return F.filter(F.array(*(way(*w) for w in ways)), lambda x: x.isNotNull())
+
+
+def lookup(files: DataFrame, extensions: list[str]) -> DataFrame:
+    """(target, resolved): the best of ``files`` (path) for each path that any stands for, two or three rows a source file."""
+    return files.select("path", F.inline(stands_for(F.col("path"), extensions))).groupBy("target").agg(F.min_by("path", "pos").alias("resolved"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, root: str, options: AnalyzerOptions = AnalyzerOptions()) -> DataFrame:
     """``imports`` (path, idx, source, ...) that resolve to a row of ``files`` (path), with ``resolved``.
 
-    External imports are dropped before anything else. Each distinct target is
-    looked up once; Spark broadcasts ``files`` if it is small, else both sides
-    are dealt by path.
+    External imports are dropped before anything else. Each target is one key of
+    one join with ``lookup``, which Spark broadcasts if it is small; without
+    aliases and base URL an import has one target, and nothing else is shuffled.
     """
     outside = is_external(F.col("source"))
     if options.strict_aliases and options.path_aliases:
         outside &= alias_target(F.col("source"), options, root).isNull()
     inner = imports.filter(~outside)
-    aimed = inner.select("path", "idx", F.posexplode(targets(F.col("path"), F.col("source"), root, options)).alias("nth", "target"))
-    tried = aimed.select("target").distinct().select("target", F.posexplode(candidates(F.col("target"), options.extensions)).alias("pos", "candidate"))
-    hit = tried.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate").groupBy("target").agg(F.min_by("candidate", "pos").alias("resolved"))
-    best = aimed.join(hit, "target").groupBy("path", "idx").agg(F.min_by("resolved", "nth").alias("resolved"))
+    tried = targets(F.col("path"), F.col("source"), root, options)
+    index = lookup(files, options.extensions).withColumnRenamed("target", "_target")
+    if not options.path_aliases and not options.base_url:
+        return inner.withColumn("_target", F.get(tried, F.lit(0))).join(index, "_target").drop("_target")
+    aimed = inner.select("path", "idx", F.posexplode(tried).alias("_nth", "_target"))
+    best = aimed.join(index, "_target").groupBy("path", "idx").agg(F.min_by("resolved", "_nth").alias("resolved"))
     return inner.join(best, ["path", "idx"])

@@ -84,10 +84,15 @@ def dim_elements(nodes: DataFrame, edges: DataFrame, pattern: str) -> tuple[Data
     return marked, both.select("id", "source", "target", "inCycle", (F.coalesce("_source", F.lit(False)) & F.coalesce("_target", F.lit(False))).alias("dimmed"))
 
 
-def highlight_elements(nodes: DataFrame, edges: DataFrame, node_ids: list[str], selected: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``highlighted`` nodes, and edges between two of them; ``selected`` marks one node."""
-    inside = lambda c: F.col(c).isin(node_ids) if node_ids else F.lit(False)
-    return nodes.withColumn("highlighted", inside("id")).withColumn("selected", F.col("id").eqNullSafe(F.lit(selected))), edges.withColumn("highlighted", inside("source") & inside("target"))
+def highlight_elements(nodes: DataFrame, edges: DataFrame, chosen: DataFrame | list[str], selected: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``highlighted`` nodes and edges between two of them, by a list or a table (id) of any size; ``selected`` marks one node."""
+    if isinstance(chosen, list):
+        chosen = nodes.sparkSession.createDataFrame([(x,) for x in chosen], "id string")
+    marks = chosen.select("id").distinct()
+    mark = lambda df, c: df.join(marks.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", F.lit(False)))
+    marked = mark(nodes, "id").withColumnRenamed("_id", "highlighted").withColumn("selected", F.col("id").eqNullSafe(F.lit(selected)))
+    lines = mark(mark(edges, "source"), "target").withColumn("highlighted", F.col("_source") & F.col("_target")).drop("_source", "_target")
+    return marked.select(*nodes.columns, "highlighted", "selected"), lines.select(*edges.columns, "highlighted")
 
 
 def file_name(nodes: DataFrame) -> DataFrame:

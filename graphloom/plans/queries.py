@@ -172,8 +172,8 @@ def _dimmed(g: Graph) -> DataFrame:
 def _highlighted(g: Graph) -> DataFrame:
     nodes, edges, _ = _view(g)
     x = busiest(g)
-    near = [r[0] for r in g.dependencies(x).select("file_path").collect()]
-    marked, lines = V.highlight_elements(nodes, edges, [x, *near], x)
+    near = g.edges.filter(F.col("src") == x).select(F.explode(F.array("src", "dst")).alias("id"))
+    marked, lines = V.highlight_elements(nodes, edges, near, x)
     return marked.select("id", "highlighted", "selected").unionByName(lines.select("id", "highlighted", F.lit(False).alias("selected")))
 
 
@@ -232,8 +232,7 @@ def _report_rows(part: str) -> Callable[[Graph], DataFrame]:
 
 
 def _report_text(g: Graph) -> DataFrame:
-    text = R.text_report(_result(g), "/p")
-    return g.nodes.sparkSession.createDataFrame(list(enumerate(text.split("\n"))), "nth long, line string")
+    return R.text_lines(_result(g), "/p").withColumnRenamed("text", "line")
 
 
 def _scc_sizes(g: Graph) -> DataFrame:

@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import cli
-from graphloom.functions.paths import dirname, is_external, normalise, relative, should_ignore
+from graphloom.functions.paths import dirname, ignores, is_external, normalise, relative, should_ignore
 from graphloom.operators import viewer as V
+from graphloom.operators.cycles import find_cycles
+from graphloom.operators.graph import Graph
+from graphloom.operators.resolve import candidates, lookup
 from graphloom.plans import analyze as A, report as R
-from graphloom.schema import AnalyzerOptions
+from graphloom.schema import DEFAULT_EXTENSIONS, AnalyzerOptions
 from graphloom.sources import scan
 
 
@@ -77,6 +80,24 @@ def test_reports(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "out/edges")).count() == 2
 
 
+def test_report_texts(spark, tmp_path):
+    """The text made by the executors is the one that the json module writes, with odd names and empty lists; written ranges give it again."""
+    odd = 'q"\\\n\x0b\x1f\u20ac\U0001f600'
+    pairs = [("/r/" + a, "/r/" + b) for a, b in [("a", "b"), ("b", "a"), (odd, "a"), ("c", "c"), ("a", odd)]]
+    for links, failed in ((pairs, [("/r/z", odd), ("/q/y", "no")]), ([], []), (pairs[2:3], []), ([], [("/r/z", "no")])):
+        graph = Graph.from_edges(spark, links, "/r") if links else Graph.empty(spark, "/r")
+        errors = spark.createDataFrame(failed, "file string, error string")
+        cycles = find_cycles(graph)
+        result = A.AnalysisResult(graph, cycles, A.graph_stats(graph, cycles), errors, "/r")
+        t = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in R.report_tables(result, "/r").items()}
+        want = json.dumps({"stats": t["stats"][0], "cycles": t["cycles"], "graph": {"nodes": [r["node"] for r in t["nodes"]], "edges": t["edges"]}, "errors": t["errors"]}, indent=2, ensure_ascii=False)
+        assert R.json_report(result, "/r") == want
+        R.write_report(result, "/r", str(tmp_path / "out"))
+        for part, text in (("json", want), ("text", R.text_report(result, "/r"))):
+            files = sorted((tmp_path / "out" / part).glob("part-*"))
+            assert "".join(f.read_text(newline="") for f in files) == text + "\n"
+
+
 def test_errors_are_listed(spark):
     rows = [(f"/r/f{i}.ts", "typescript", None) for i in range(7)]
     sources = spark.createDataFrame(rows, "path string, language string, content string")
@@ -112,6 +133,31 @@ def test_paths(spark):
     assert ignored("*.test.ts") == [True, False, False] and ignored("test") == [True, True, False] and ignored("a?ts") == [False] * 3 and ignored("*a.ts") == [False, False, True] and ignored() == [False] * 3
 
 
+def test_lookup_of_files(spark):
+    """What the suffixes of files tell is what the candidates of each target say, in their order."""
+    extensions = [*DEFAULT_EXTENSIONS, ".d.ts", ""]
+    names = ["t", "t.js", "t.d", "t/index", "index", "", "t.ts", "t.js.js", "t/index.js"]
+    ways = [stem + x for stem in names for x in ["", *extensions, *("/index" + y for y in extensions), ".js.ts", ".js.tsx"]]
+    every = sorted({"/" + w.strip("/") for w in ways})
+    wanted = spark.createDataFrame([(p,) for p in every], "target string")
+    for step in (1, 2, 3, 5, 7):
+        files = spark.createDataFrame([(p,) for p in every[::step]], "path string")
+        tried = wanted.select("target", F.posexplode(F.transform(candidates(F.col("target"), extensions), lambda x: F.regexp_replace(x, "^//", "/"))).alias("pos", "path"))
+        brute = tried.join(files, "path").groupBy("target").agg(F.min_by("path", "pos").alias("resolved"))
+        found = lookup(files, extensions).join(wanted, "target")
+        assert sorted(map(tuple, found.select("target", "resolved").collect())) == sorted(map(tuple, brute.collect()))
+
+
+def test_ignored_by_the_last_segment(spark):
+    """A pattern with an asterisk fits the whole path or the last segment, in both forms alike."""
+    paths = ["/a/b/c.ts", "/a/bc.ts", "b", "/x\ny/b.ts", "/a.b/c", "/a/b/"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for pattern, want in {"b*": [0, 1, 1, 1, 0, 0], "/a*": [1, 1, 0, 0, 1, 1], "*c": [0, 0, 0, 0, 1, 0], "a.b": [0, 0, 0, 0, 1, 0], "?c*": [0, 1, 0, 0, 0, 0], "": [1] * 6, "b|x*": [0, 1, 1, 1, 0, 0]}.items():
+        assert [int(r[0]) for r in df.select(should_ignore(F.col("p"), [pattern])).collect()] == [int(ignores(p, [pattern])) for p in paths]
+        if "|" not in pattern:
+            assert [int(ignores(p, [pattern])) for p in paths] == want, pattern
+
+
 def test_viewer(spark):
     text = json.dumps({"nodes": {n: {"filePath": n, "dependencies": d, "dependents": []} for n, d in {"s/a.ts": ["s/b.ts", "s/b.ts", "gone"], "s/b.ts": ["s/a.ts"], "c.ts": ["s/a.ts"]}.items()}, "cycles": [{"chain": ["s/a.ts", "s/b.ts", "s/a.ts"], "length": 2}], "rootDir": "/"})
     data = V.load(spark, text)

@@ -44,23 +44,21 @@ def candidates(target: Column, extensions: list[str]) -> Column:
     return F.concat(F.array(*tried), swapped)
 
 
-def stands_for(path: Column, extensions: list[str]) -> Column:
-    """The paths (target, pos) that a file may stand for, told from its suffix; ``pos`` is its place among their ``candidates``."""
+def lookup(files: DataFrame, extensions: list[str]) -> DataFrame:
+    """(target, resolved): the best of ``files`` (path) for each path that any stands for.
+
+    Suffixes tell what a file stands for, two or three paths for a source file;
+    ``pos`` is its place among the path's ``candidates``.
+    """
     suffixes = ["", *extensions, *("/index" + x for x in extensions)]
     ways = [(suffix, "", pos) for pos, suffix in enumerate(suffixes)]
     ways += [(".ts", ".js", len(suffixes)), (".tsx", ".js", len(suffixes) + 1)]
-
-    def way(suffix: str, to: str, pos: int) -> Column:
-        target = F.concat(F.left(path, F.length(path) - len(suffix)), F.lit(to))
-        # an index file at the top stands for the top
-        return F.when(path.endswith(suffix), F.struct(F.when(target == "", "/").otherwise(target).alias("target"), F.lit(pos).alias("pos")))
-
-    return F.filter(F.array(*(way(*w) for w in ways)), lambda x: x.isNotNull())
-
-
-def lookup(files: DataFrame, extensions: list[str]) -> DataFrame:
-    """(target, resolved): the best of ``files`` (path) for each path that any stands for, two or three rows a source file."""
-    return files.select("path", F.inline(stands_for(F.col("path"), extensions))).groupBy("target").agg(F.min_by("path", "pos").alias("resolved"))
+    listed = F.array(*(F.struct(F.lit(a).alias("suffix"), F.lit(b).alias("to"), F.lit(i).alias("pos")) for a, b, i in ways))
+    tried = files.select("path", F.inline(listed)).filter(F.col("path").endswith(F.col("suffix")))
+    target = F.concat(F.left("path", F.length("path") - F.length("suffix")), "to")
+    # an index file at the top stands for the top
+    stood = tried.select(F.when(target == "", "/").otherwise(target).alias("target"), "path", "pos")
+    return stood.groupBy("target").agg(F.min_by("path", "pos").alias("resolved"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, root: str, options: AnalyzerOptions = AnalyzerOptions()) -> DataFrame:

@@ -223,6 +223,14 @@ def _result(g: Graph) -> AnalysisResult:
     return AnalysisResult(moved, cycles, graph_stats(moved, cycles), errors, "/p")
 
 
+def _unreadable(g: Graph) -> DataFrame:
+    """The analysis' errors and edges where every fiftieth file cannot be read."""
+    sources = source_corpus(g).withColumn("content", F.when(_bare(F.col("path")).substr(2, 12).cast("long") % 50 != 0, F.col("content")))
+    result = analyze_sources(sources, sources.select("path"), "/p")
+    errors = result.errors.select(_bare(F.col("file")).alias("file"), F.col("error").alias("what"))
+    return errors.unionByName(result.graph.edges.select(_bare(F.col("src")).alias("file"), _bare(F.col("dst")).alias("what")))
+
+
 def _report_rows(part: str) -> Callable[[Graph], DataFrame]:
     def made(g: Graph) -> DataFrame:
         table = R.report_tables(_result(g), "/p")[part]
@@ -383,6 +391,7 @@ _ON_SINGLE: dict[str, Callable[[Graph], DataFrame]] = {
     "build_graph": _built,
     "analysis_stats": _analysis_stats,
     "analysis_cycles": _analysis_cycles,
+    "analysis_errors": _unreadable,
     "report_nodes": _report_rows("nodes"),
     "report_edges": _report_rows("edges"),
     "report_cycles": _report_rows("cycles"),
@@ -609,6 +618,7 @@ ORACLE_SQL: dict[str, str] = {
     "build_graph": _single("SELECT src, dst FROM eg"),
     "analysis_stats": _single(_stats_sql(_TOP_MENTIONED, "o", ", true AS timed"), _SCC),
     "analysis_cycles": _single("SELECT chain, length FROM chains", _RINGS),
+    "analysis_errors": _single("SELECT id AS file, 'the file cannot be read' AS what FROM nd WHERE substr(id, 2)::bigint % 50 = 0 UNION ALL SELECT src, dst FROM eg WHERE substr(src, 2)::bigint % 50 <> 0"),
     "report_nodes": _single("SELECT '{\"node\":\"' || id || '\"}' AS row FROM nd"),
     "report_edges": _single("SELECT '{\"from\":\"' || src || '\",\"to\":\"' || dst || '\"}' AS row FROM eg"),
     "report_cycles": _single("SELECT '{\"chain\":[\"' || replace(chain, '->', '\",\"') || '\"],\"length\":' || length || '}' AS row FROM chains", _RINGS),

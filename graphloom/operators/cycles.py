@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
 from itertools import islice
 
 import pyarrow as pa
@@ -11,9 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloom.functions.lineage import cut
 from graphloom.functions.ship import ship
 from graphloom.operators import fixpoint
-from graphloom.operators.fixpoint import first_that_reaches, fits_one_task, looked_up, on_a_cycle, reachable, strong_components
+from graphloom.operators.fixpoint import first_that_reaches, fits_one_task, in_parts, looked_up, of_parts, on_a_cycle, reachable, strong_components, weak_parts
 from graphloom.operators.graph import Graph
-from graphloom.operators.kernels import Component, strong
+from graphloom.operators.kernels import Component, numbered_names, strong
 from graphloom.schema import CYCLES_SCHEMA
 
 MAX_CYCLES = 1000
@@ -86,8 +88,52 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 _CHAINS = pa.schema([("chain", pa.list_(pa.string())), ("length", pa.int32()), ("rank", pa.list_(pa.int64()))])
 
 
+def _whole(rows: pa.Table) -> Component:
+    """The graph of ``rows`` (src, src_ord, pos, dst). A node without a row as source is a dead end, so its place among the others does not matter."""
+    names, (s, d) = numbered_names(rows)
+    ords = dict(zip(s.tolist(), rows.column("src_ord").to_pylist()))
+    beyond = max(ords.values()) + 1
+    ords = [ords.get(i, beyond + i) for i in range(len(names))]
+    edges = [(ords[a], pos, ords[b]) for a, pos, b in zip(s.tolist(), rows.column("pos").to_pylist(), d.tolist()) if pos is not None]
+    return Component(zip(ords, names.to_pylist()), edges)
+
+
+def _within(graph: Graph, edges: DataFrame) -> Graph:
+    """The graph of some of its parts' edges, with the nodes at their ends."""
+    edges = cut(edges)
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("file_path")).distinct()
+    return replace(graph, nodes=graph.nodes.join(ends, "file_path", "left_semi"), edges=edges).cut()
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+_MEMBERS = pa.schema([("members", pa.list_(pa.string())), ("rank", pa.list_(pa.int64()))])
+
+
+def _components_of_parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    c = _whole(rows)
+    yield _batch([(c.named(members), [c.order[start], i]) for i, (start, members) in enumerate(strong(c.out))], _MEMBERS)
+
+
 def find_strong_components(graph: Graph) -> DataFrame:
     """(members, rank): every component in search order, members last discovered first; order by ``rank``."""
+    if fits_one_task(graph.nodes, graph.edges):
+        return _components_at_once(graph)
+    # a row for each node besides: it has a place in the order, and may be without edges
+    own = graph.nodes.select(F.col("file_path").alias("src"), F.col("file_path").alias("dst"), F.col("ord").alias("src_ord"), F.lit(None).cast("long").alias("pos"))
+    rows, large = weak_parts(graph.edges.select("src", "dst", "src_ord", "pos").unionByName(own))
+    found = in_parts(rows, large, _components_of_parts, "members array<string>, rank array<long>")
+    if large is None:
+        return found
+    left = cut(of_parts(rows, large))
+    nodes = left.filter("pos IS NULL").select(F.col("src").alias("file_path"), F.col("src_ord").alias("ord"))
+    return found.unionByName(_components_at_once(replace(graph, nodes=nodes, edges=left.filter("pos IS NOT NULL"))))
+
+
+def _components_at_once(graph: Graph) -> DataFrame:
+    """``find_strong_components`` by one search, or by one for each starting place."""
     names = graph.nodes.select("ord", F.col("file_path").alias("name"))
     each = _searched(graph, leading=False).join(names, "ord")
     found = each.groupBy("start", "nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("members"))
@@ -119,16 +165,32 @@ def _cycles_at_once(graph: Graph) -> DataFrame:
     return nodes.unionByName(edges).groupBy(F.lit(0).alias("all")).applyInArrow(run, CYCLES_SCHEMA)
 
 
+def _chains_of_parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    c = _whole(rows)
+    found = ((start, members, i) for i, (start, members) in enumerate(strong(c.out)) if len(members) > 1)
+    yield _batch([(c.named(c.first_cycle(members[0], set(members))), len(members), [1, c.order[start], i]) for start, members, i in found], _CHAINS)
+
+
 def find_cycles(graph: Graph) -> DataFrame:
     """(chain, length, rank): first the self-loops in node order, then one chain for each component of several nodes.
 
     ``length`` is the component's size, which its chain may fall short of.
-    The order of a depth-first search decides which chain it is: ``_searched``
-    finds where each component is left last, and then each component is
-    searched for itself, in one task.
+    The order of a depth-first search decides which chain it is. Small weakly
+    connected parts are searched whole, several in a task. Of a large one
+    ``_searched`` finds where each component is left last, and then each
+    component is searched for itself, in one task.
     """
-    if fits_one_task(graph.nodes, graph.edges, times=SEARCH_TIMES):
+    if fits_one_task(graph.nodes, graph.edges):
         return self_loops(graph).unionByName(_cycles_at_once(graph))
+    rows, large = weak_parts(graph.edges.filter("src <> dst").select("src", "dst", "src_ord", "pos"))
+    found = self_loops(graph).unionByName(in_parts(rows, large, _chains_of_parts, CYCLES_SCHEMA))
+    return found if large is None else found.unionByName(_cycles_of_large(_within(graph, of_parts(rows, large))))
+
+
+def _cycles_of_large(graph: Graph) -> DataFrame:
+    """``find_cycles`` but self-loops of weakly connected parts beyond a kernel's size."""
+    if fits_one_task(graph.nodes, graph.edges, times=SEARCH_TIMES):
+        return _cycles_at_once(graph)
     found = cut(_searched(graph, leading=True))
     rank = F.array(F.lit(1).cast("long"), "start", "nth")
     names = graph.nodes.select("ord", F.col("file_path").alias("name"))
@@ -145,8 +207,7 @@ def find_cycles(graph: Graph) -> DataFrame:
         first = c.place[nodes.column("ord")[0].as_py()]
         return _table([(c.named(c.first_cycle(first, set(range(len(c.order))))), len(c.order), nodes.column("rank")[0].as_py())], _CHAINS)
 
-    parts = nodes.unionByName(edges).groupBy("component").applyInArrow(run, CYCLES_SCHEMA)
-    return self_loops(graph).unionByName(parts)
+    return nodes.unionByName(edges).groupBy("component").applyInArrow(run, CYCLES_SCHEMA)
 
 
 def normalise_cycle(chain: Column) -> Column:
@@ -163,44 +224,68 @@ def deduplicate_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.withColumn("_key", normalise_cycle(F.col("chain"))).groupBy("_key").agg(F.min_by("chain", "rank").alias("chain"), F.min("rank").alias("rank")).drop("_key")
 
 
+def _cyclic(c: Component) -> Iterator[Component]:
+    """The strong components of ``c`` that hold a cycle, each for itself."""
+    for _, members in strong(c.out):
+        if len(members) > 1 or members[0] in c.out[members[0]]:
+            inner = set(members)
+            yield Component([(c.order[i], c.names[i]) for i in members], [(c.order[i], pos, c.order[to]) for i in members for pos, to in enumerate(c.out[i]) if to in inner])
+
+
+def _strong_rows(graph: Graph) -> DataFrame:
+    """(label, ord, name, pos, to): the nodes and inner edges of each strong component with a cycle."""
+    ship(graph.nodes.sparkSession)
+    nodes = graph.nodes.select(F.col("file_path").alias("node"), "ord")
+    labels = cut(strong_components(nodes.select("node"), graph.edges).join(nodes, "node").select("label", "ord", F.col("node").alias("name")))
+    source, target = labels.select("label", F.col("ord").alias("a")), labels.select(F.col("label").alias("_label"), F.col("ord").alias("b"))
+    inside = cut(looked_up(looked_up(_numbered_edges(graph), "a", source), "b", target).filter("label = _label").select("label", F.col("a").alias("ord"), "pos", F.col("b").alias("to")))
+    cyclic = inside.select("label").distinct()
+    empty = lambda kind: F.lit(None).cast(kind)
+    return cut(inside.withColumn("name", empty("string")).unionByName(labels.join(cyclic, "label", "left_semi").select("label", "ord", "name", empty("long").alias("pos"), empty("long").alias("to"))))
+
+
 def find_all_simple_cycles(graph: Graph, max_cycles: int = MAX_CYCLES) -> DataFrame:
     """(chain, length, rank): every elementary cycle, ``length`` its number of steps.
 
     ``max_cycles`` bounds the hits before equal cycles are merged: a cycle of
     k nodes is hit k times, once from each. Hits count in the order of the
     starting node, then of target positions, over the whole graph.
-    Each cycle lies in one strong component, which is one task's work. First
+    Each cycle lies in one strong component, which is one task's work; those of
+    small weakly connected parts are found with all of their part. First
     each cycle is taken once, at its least node, and counted k times; a task
     stops where that exceeds the cap. Only if all tasks together exceed it,
     the single hits are enumerated, as many as the cap in each component.
     """
-    ship(graph.nodes.sparkSession)
-    nodes = graph.nodes.select(F.col("file_path").alias("node"), "ord")
-    labels = cut(strong_components(nodes.select("node"), graph.edges).join(nodes, "node").select("label", "ord", F.col("node").alias("name")))
-    source, target = labels.select("label", F.col("ord").alias("a")), labels.select(F.col("label").alias("_label"), F.col("ord").alias("b"))
-    inside = cut(looked_up(looked_up(_numbered_edges(graph), "a", source), "b", target).filter("label = _label").select("label", F.col("a").alias("ord"), "pos", F.col("b").alias("to")))
-    cyclic = inside.select("label").distinct()
-    empty = lambda kind: F.lit(None).cast(kind)
-    rows = cut(inside.withColumn("name", empty("string")).unionByName(labels.join(cyclic, "label", "left_semi").select("label", "ord", "name", empty("long").alias("pos"), empty("long").alias("to"))))
+    rows, large = weak_parts(graph.edges.select("src", "dst", "src_ord", "pos"))
+    large_rows = None if large is None else _strong_rows(_within(graph, of_parts(rows, large)))
 
-    def once(rows: pa.Table) -> pa.Table:
-        c, taken, hits = _component(rows), [], 0
+    def once(c: Component) -> list[tuple]:
+        taken, hits = [], 0
         for i, (start, chain) in enumerate((start, chain) for start in range(len(c.order)) for chain in c.cycles_through(start, start)):
             taken.append((c.named(chain), len(chain) - 1, [c.order[start], i]))
             hits += len(chain) - 1
             if hits > max_cycles:
                 break
-        return _table(taken, _CHAINS)
+        return taken
 
-    def each(rows: pa.Table) -> pa.Table:
-        c = _component(rows)
+    def each(c: Component) -> list[tuple]:
         hits = ((c.named(chain), len(chain) - 1, [c.order[start], i]) for start in range(len(c.order)) for i, chain in enumerate(c.cycles_through(start)))
-        return _table(list(islice(hits, max_cycles)), _CHAINS)
+        return list(islice(hits, max_cycles))
+
+    def taken(take) -> DataFrame:
+        def of_small(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for c in _cyclic(_whole(rows)):
+                yield _batch(take(c), _CHAINS)
+
+        found = in_parts(rows, large, of_small, CYCLES_SCHEMA)
+        if large_rows is None:
+            return found
+        return found.unionByName(large_rows.groupBy("label").applyInArrow(lambda rows: _table(take(_component(rows)), _CHAINS), CYCLES_SCHEMA))
 
-    found = cut(rows.groupBy("label").applyInArrow(once, CYCLES_SCHEMA))
+    found = cut(taken(once))
     if (found.agg(F.sum("length")).first()[0] or 0) <= max_cycles:
         return found
-    hits = rows.groupBy("label").applyInArrow(each, CYCLES_SCHEMA)
+    hits = taken(each)
     kept = deduplicate_cycles(hits.select("chain", "rank").orderBy("rank").limit(max_cycles))
     return kept.select("chain", (F.size("chain") - 1).alias("length"), "rank")
 

@@ -19,7 +19,8 @@ lineage, and the round before is deleted: a lost executor costs a round at most.
 
 What is left of a graph goes to one linear kernel once it has at most
 LOCAL_ROWS edges; parts of a larger one that are as small go to kernels in
-groups of that size. A key with over a thousandth of the rows is joined by a
+groups of that size. Before any rounds a graph is split into its weakly
+connected parts (``weak_parts``), and small ones go to kernels at once. A key with over a thousandth of the rows is joined by a
 broadcast of its one partner; there are fewer than a thousand such keys.
 
 Rounds of labels follow the logarithm of a path's length on chains, rings and
@@ -34,7 +35,9 @@ from functools import reduce
 from itertools import count
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.lineage import Staged, cut
@@ -48,6 +51,8 @@ HEAVY_SHARE = 1000
 #: The label of what is reached, below every number's hash but one in 2**64.
 _REACHED = -(1 << 63)
 _PAIRS_AT_ONCE = 1 << 16
+#: Edges of neighbouring sources that one task joins up at a time when a graph is split into parts.
+CHUNK_ROWS = 100_000
 
 
 def fits_one_task(*tables: DataFrame, times: int = 1) -> bool:
@@ -128,6 +133,106 @@ def _strong_of_parts(links: DataFrame, bins: int) -> DataFrame:
     return links.groupBy(F.pmod("part", F.lit(bins)).alias("bin")).applyInArrow(run, "node long, label long")
 
 
+# weakly connected parts
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, size: int, longest: int | None = None) -> Iterator[pa.Table]:
+    """Tables of about ``size`` rows of ``batches``, which are sorted by ``key``, cut where it changes; within a key only beyond ``longest`` rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        begin = pc.index(keys, keys[-1]).as_py()
+        split = begin > 0 or bool(held) and held[-1].column(key)[-1] != keys[0]
+        if rows + begin >= size and split or longest is not None and rows >= longest:
+            if begin:
+                held.append(batch.slice(0, begin))
+            yield pa.Table.from_batches(held)
+            held, rows, batch = [], 0, batch.slice(begin)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def weak_parts(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``edges`` (src, dst and others) with ``part``, a number of their weakly connected part; and (part) of those of over LOCAL_ROWS edges, None if there are none.
+
+    Names that stand near one another are mostly linked to one another, as files
+    of a folder are. So edges are sorted into ranges of their sources, each task
+    joins up what lies within its range, and only what leads out of a range is
+    joined up by rounds of contraction. Where nothing is near, all is left to
+    those. Parts may share a number, and are then one.
+    """
+    ship(edges.sparkSession)
+    chunk = CHUNK_ROWS
+    names = [*edges.columns, "root", "_out"]
+
+    def joined_up(rows: pa.Table) -> pa.Table:
+        src, dst = (rows.column(c).combine_chunks() for c in ("src", "dst"))
+        known = pc.unique(pa.concat_arrays([src, dst]))
+        s, d = (pc.index_in(x, known).to_numpy(zero_copy_only=False) for x in (src, dst))
+        inside = pc.and_(pc.greater_equal(dst, src[0]), pc.less_equal(dst, src[-1])).to_numpy(zero_copy_only=False)
+        label = kernels.least_labels(len(known), s[inside], d[inside])
+        return rows.append_column("root", known.take(pa.array(label[s]))).append_column("_out", pa.array(~inside))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = root = None
+        for rows in whole_groups(batches, "src", chunk, 4 * chunk):
+            # a source with very many edges goes on from the table before
+            going_on = pc.equal(rows.column("src"), last) if last is not None else pa.array(np.zeros(rows.num_rows, dtype=bool))
+            head, rows = rows.filter(going_on), rows.filter(pc.invert(going_on))
+            if head.num_rows:
+                yield from head.append_column("root", pa.array([root] * head.num_rows, head.schema.field("src").type)).append_column("_out", pa.array([True] * head.num_rows)).select(names).to_batches()
+            if rows.num_rows:
+                rows = joined_up(rows)
+                last, root = rows.column("src")[-1], rows.column("root")[-1].as_py()
+                yield from rows.select(names).to_batches()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema)
+    ranged = edges.repartitionByRange("src").sortWithinPartitions("src")
+    near = _staged(ranged.mapInArrow(run, f"{fields}, root string, _out boolean")).df
+    number = F.xxhash64("root")
+    out = near.filter("_out").select("root", "dst").distinct()
+    if out.isEmpty():
+        rows = near.withColumn("part", number).drop("root", "_out")
+    else:
+        out = _staged(out).df
+        to = out.select("dst").distinct()
+        of = near.select(F.col("src").alias("dst"), "root").unionByName(near.filter("NOT _out").select("dst", "root"))
+        of = of.join(to, "dst", "left_semi").distinct().withColumnRenamed("root", "_to")
+        ends = _staged(to.join(of, "dst", "left").select("dst", F.coalesce("_to", "dst").alias("_to")))
+        across = looked_up(out, "dst", ends.df).select(number.alias("a"), F.xxhash64("_to").alias("b")).filter("a <> b").distinct()
+        labels = _staged(_contracted(_staged(across)))
+        at = labels.df.select(F.col("node").alias("_n"), F.col("label").alias("_label"))
+        rows = near.withColumn("_n", number).join(at, "_n", "left").withColumn("part", F.coalesce("_label", "_n")).drop("root", "_out", "_n", "_label")
+    large = _staged(rows.groupBy("part").count().filter(F.col("count") > LOCAL_ROWS).select("part")).df
+    return rows, None if large.isEmpty() else large
+
+
+def in_parts(rows: DataFrame, large: DataFrame | None, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``kernel`` over ``rows`` (part and others) but those of ``large`` parts: several whole parts of about LOCAL_ROWS rows at a time."""
+    size = max(1, LOCAL_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in whole_groups(batches, "part", size):
+            yield from kernel(parts)
+
+    return _small(rows, large).repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _small(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    # one row of at least LOCAL_ROWS edges each, so few
+    return rows if large is None else rows.join(F.broadcast(large), "part", "left_anti")
+
+
+def of_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The ``rows`` of ``parts``, without that column."""
+    return rows.join(F.broadcast(parts), "part", "left_semi").drop("part")
+
+
 # labels
 
 
@@ -167,6 +272,11 @@ def _nodes(links: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """(node): what at least one edge (src, dst) leads to from the nodes of ``start`` (node); with ``reverse``, what leads to them."""
+    edges = edges.select("src", "dst")
+    if not fits_one_task(edges, start):
+        rows, _ = weak_parts(edges)
+        ends = rows.select("part", F.explode(F.array("src", "dst")).alias("node"))
+        edges = _staged(rows.join(ends.join(start.distinct(), "node", "left_semi").select("part").distinct(), "part", "left_semi").drop("part")).df
     numbers = Numbers(_ends(edges))
     links = numbers.links(edges)
     links = _staged(_turned(links) if reverse else links)
@@ -192,7 +302,34 @@ def first_that_reaches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) that a path of one edge or more connects."""
+    """All pairs (src, dst) that a path of one edge or more connects.
+
+    Small weakly connected parts are searched in kernels, whose pairs are written nowhere before they are returned.
+    """
+    edges = edges.select("src", "dst")
+    if fits_one_task(edges):
+        return _closure_at_once(edges)
+    rows, large = weak_parts(edges)
+    pairs = in_parts(rows, large, _closure_of_parts, "src string, dst string")
+    return pairs if large is None else pairs.unionByName(_closure_at_once(of_parts(rows, large)))
+
+
+def _closure_of_parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    names, (s, d) = kernels.numbered_names(rows)
+    out = [list(dict.fromkeys(x)) for x in kernels.targets_of(len(names), s, d)]
+    a: list[int] = []
+    b: list[int] = []
+    for start in range(len(out)):
+        ends = kernels.search(out, [start])
+        b += ends
+        a += [start] * len(ends)
+        if len(a) >= _PAIRS_AT_ONCE or start == len(out) - 1:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (a, b)], ["src", "dst"])
+            a, b = [], []
+
+
+def _closure_at_once(edges: DataFrame) -> DataFrame:
+    """``closure`` in numbers: by searches from a broadcast table, or by joins that double the distance."""
     numbers = Numbers(_ends(edges))
     steps = _staged(numbers.links(edges))
     if fits_one_task(steps.df):
@@ -377,8 +514,31 @@ def _turned_staged(links: Staged) -> Staged:
     return links
 
 
+def _strong_names(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    names, (s, d) = kernels.numbered_names(rows)
+    text = names.to_pylist()
+    found = [[text[i] for i in members] for _, members in kernels.strong(kernels.targets_of(len(text), s, d)) if len(members) > 1]
+    yield pa.RecordBatch.from_arrays([pa.array([x for m in found for x in m], pa.string()), pa.array([x for m in found for x in [min(m)] * len(m)], pa.string())], ["node", "label"])
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least node of the strongly connected component of each of ``nodes`` (node)."""
+    edges = edges.filter("src <> dst").select("src", "dst")
+    if fits_one_task(edges):
+        return _strong_at_once(nodes, edges)
+    rows, large = weak_parts(edges)
+    several = in_parts(rows, large, _strong_names, "node string, label string")
+    if large is not None:
+        left = _staged(of_parts(rows, large)).df
+        several = several.unionByName(_strong_at_once(_ends(left).distinct().withColumnRenamed("name", "node"), left).filter("node <> label"))
+        # a component's least node is no row of its own there
+        several = several.unionByName(several.select(F.col("label").alias("node"), "label")).distinct()
+    several = _staged(several).df
+    return nodes.join(several, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _strong_at_once(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``strong_components`` in numbers, by rounds beyond LOCAL_ROWS edges."""
     numbers = Numbers(nodes.select(F.col("node").alias("name")))
     parts = [cut(found) for found in _found_strong(_staged(numbers.links(edges).filter("a <> b"))) if found is not None]
     labels = parts[0] if parts else nodes.sparkSession.createDataFrame([], "node long, label long")

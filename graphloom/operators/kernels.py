@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def numbered(a: Iterable[int | None], b: Iterable[int | None]) -> tuple[list[int], tuple[np.ndarray, np.ndarray]]:
@@ -21,6 +23,14 @@ def numbered(a: Iterable[int | None], b: Iterable[int | None]) -> tuple[list[int
     return names, (pairs[:, 0], pairs[:, 1])
 
 
+def numbered_names(rows: pa.Table) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray]]:
+    """The distinct names of ``rows`` (src, dst), and the rows as their places."""
+    src, dst = (rows.column(c).combine_chunks() for c in ("src", "dst"))
+    names = pc.unique(pa.concat_arrays([src, dst]))
+    s, d = (pc.index_in(x, names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst))
+    return names, (s, d)
+
+
 def targets_of(n: int, sources: np.ndarray, targets: np.ndarray) -> list[list[int]]:
     """Each node's targets, in the order of the pairs."""
     order = np.argsort(sources, kind="stable")
@@ -96,7 +106,12 @@ def reached(a: list[int], b: list[int | None]) -> tuple[list[int]]:
 
 def weak_labels(a: list[int], b: list[int | None]) -> tuple[list[int], list[int]]:
     names, (s, d) = numbered(a, b)
-    label = np.arange(len(names))
+    return names, [names[i] for i in least_labels(len(names), s, d).tolist()]
+
+
+def least_labels(n: int, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The least node that pairs, taken in both directions, connect each node to."""
+    label = np.arange(n)
     while True:
         after = label.copy()
         least = np.minimum(label[s], label[d])
@@ -104,7 +119,7 @@ def weak_labels(a: list[int], b: list[int | None]) -> tuple[list[int], list[int]
             np.minimum.at(after, at, least)
         after = after[after]
         if (after == label).all():
-            return names, [names[i] for i in label.tolist()]
+            return label
         label = after
 
 

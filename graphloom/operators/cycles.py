@@ -182,7 +182,8 @@ def find_cycles(graph: Graph) -> DataFrame:
     """
     if fits_one_task(graph.nodes, graph.edges):
         return self_loops(graph).unionByName(_cycles_at_once(graph))
-    rows, large = weak_parts(graph.edges.filter("src <> dst").select("src", "dst", "src_ord", "pos"))
+    # self-loops too: a component's chain may be one
+    rows, large = weak_parts(graph.edges.select("src", "dst", "src_ord", "pos"))
     found = self_loops(graph).unionByName(in_parts(rows, large, _chains_of_parts, CYCLES_SCHEMA))
     return found if large is None else found.unionByName(_cycles_of_large(_within(graph, of_parts(rows, large))))
 

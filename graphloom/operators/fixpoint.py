@@ -53,6 +53,8 @@ _REACHED = -(1 << 63)
 _PAIRS_AT_ONCE = 1 << 16
 #: Edges of neighbouring sources that one task joins up at a time when a graph is split into parts.
 CHUNK_ROWS = 100_000
+#: Paths are shortened where more links than that lie on paths.
+PATH_ROWS = 1_000
 
 
 def fits_one_task(*tables: DataFrame, times: int = 1) -> bool:
@@ -270,6 +272,45 @@ def _nodes(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
+def _shortened(links: Staged, fixed: DataFrame | None = None) -> tuple[Staged, DataFrame | None]:
+    """``links`` (a, b) with paths shortened to their last node; and (node, rep) of the nodes left out, None if there are few.
+
+    A path is of nodes that have one way in and one way out, so all of it is on
+    a cycle, or reached, where its last node is. Nodes of ``fixed`` (node) are
+    on none. A node is left out in a round if a coin says so of it and not of
+    the next, so about a quarter go at a time: all rounds together cost some
+    four times the first. A ring of its own may end as one node that leads to itself.
+    """
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(None).cast("long").alias("to")))
+    inner = links.df.select(F.inline(ends)).groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.min("to").alias("to")).filter("o = 1 AND i = 1 AND node <> to").select("node", "to")
+    inner = _staged(inner if fixed is None else inner.join(fixed, "node", "left_anti"))
+    left = _staged(inner.df.join(inner.df.select(F.col("node").alias("to")), "to", "left_semi").select("node", "to"))
+    inner.drop()
+    levels: list[Staged] = []
+    for seed in count():
+        if left.df.limit(PATH_ROWS + 1).count() <= PATH_ROWS:
+            break
+        coin = lambda c: F.xxhash64(F.lit(seed), c) > 0  # noqa: B023, E731
+        picked = coin("node") & ~coin("to")
+        level = _staged(left.df.filter(picked))
+        onward = level.df.select(F.col("node").alias("to"), F.col("to").alias("_on"))
+        after = _staged(left.df.filter(~picked).join(onward, "to", "left").select("node", F.coalesce("_on", "to").alias("to")).filter("node <> to"))
+        levels.append(level)
+        left.drop()
+        left = after
+    if not levels:
+        return links, None
+    known = levels.pop().df.toDF("node", "rep")
+    for level in reversed(levels):
+        on = known.withColumnRenamed("node", "to")
+        known = known.unionByName(_staged(level.df.join(on, "to", "left").select("node", F.coalesce("rep", "to").alias("rep"))).df)
+    known = _staged(known).df
+    kept = links.df.join(known.select(F.col("node").alias("a")), "a", "left_anti")
+    short = _staged(kept.join(known.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("rep", "b").alias("b")))
+    links.drop()
+    return short, known
+
+
 def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """(node): what at least one edge (src, dst) leads to from the nodes of ``start`` (node); with ``reverse``, what leads to them."""
     edges = edges.select("src", "dst")
@@ -281,6 +322,9 @@ def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> Data
     links = numbers.links(edges)
     links = _staged(_turned(links) if reverse else links)
     begun = start.select(numbers.of("node", "node")).distinct()
+    known = None
+    if not fits_one_task(links.df, begun):
+        links, known = _shortened(links, begun)
     if fits_one_task(links.df, begun):
         found = _kernel(links.df.unionByName(begun.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))), kernels.reached, ["n"])
     else:
@@ -288,6 +332,9 @@ def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> Data
         labels = _nodes(links.df).join(marks, "node", "left").select("node", F.coalesce("_mark", "node").alias("label"))
         reached = _least_that_reaches(labels, links.df).df.filter(F.col("label") == _REACHED).select(F.col("node").alias("a"))
         found = links.df.join(reached, "a", "left_semi").select(F.col("b").alias("n")).distinct()
+    if known is not None:
+        found = _staged(found).df
+        found = found.unionByName(known.join(found.withColumnRenamed("n", "rep"), "rep", "left_semi").select(F.col("node").alias("n")))
     return numbers.table.df.join(found, "n", "left_semi").select(F.col("name").alias("node"))
 
 
@@ -540,10 +587,20 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _strong_at_once(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``strong_components`` in numbers, by rounds beyond LOCAL_ROWS edges."""
     numbers = Numbers(nodes.select(F.col("node").alias("name")))
-    parts = [cut(found) for found in _found_strong(_staged(numbers.links(edges).filter("a <> b"))) if found is not None]
-    labels = parts[0] if parts else nodes.sparkSession.createDataFrame([], "node long, label long")
-    for part in parts[1:]:
-        labels = labels.unionByName(part)
+    links, known = _shortened(_staged(numbers.links(edges).filter("a <> b")))
+    labels = nodes.sparkSession.createDataFrame([], "node long, label long")
+    if known is not None:
+        # rings of their own, each as one node
+        labels = cut(links.df.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("label")))
+        rings = labels
+        links = _staged(links.df.filter("a <> b"))
+    for found in _found_strong(links):
+        if found is not None:
+            labels = labels.unionByName(cut(found))
+    if known is not None:
+        several = labels.groupBy("label").count().filter("count > 1").select("label").unionByName(rings.select("label")).distinct()
+        cyclic = _staged(labels.join(several, "label", "left_semi").select(F.col("node").alias("rep"), "label").distinct()).df
+        labels = labels.unionByName(known.join(cyclic, "rep").select("node", "label"))
     return numbers.named(labels)
 
 

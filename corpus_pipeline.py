@@ -22,6 +22,10 @@ from graphloom.llm.staging import Staged
 
 #: A document's rate if it is surely of the domain ``clean``: over 1, so that mixing keeps it.
 CLEAN_RATE = 1.2
+#: Bits in which near duplicates' SimHash fingerprints may differ to be a pair that is verified.
+MAX_DISTANCE = 3
+#: Pieces of text that a worker remembers: twice as many at most in each of three tables, some 20 MB.
+CACHED = 40_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +45,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays.
 
-    That of the smallest identifier, one with an identifier before those
-    without. Texts of under five words are one shingle, so they only equal one
+    SimHash with pigeonring filtering names pairs first; each is verified, and an
+    exact check finds what fingerprints cannot. The row of the smallest
+    identifier stays, one with an identifier before those without. Texts of under five words are one shingle, so they only equal one
     another.
     """
-    return simhash.keep_one(docs, set_join.members(docs, shingle=5, similarity=0.8))
+    return simhash.keep_one(docs, set_join.members(docs, shingle=5, similarity=0.8, max_distance=MAX_DISTANCE))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row for each row of ``docs``, copies that mixing made included.
     """
-    found = bpe.encode_documents(docs, TOKENIZER, keep=["doc_id", "lang", "source"], check=True)
+    found = bpe.encode_documents(docs, TOKENIZER, keep=["doc_id", "lang", "source"], check=True, cached=CACHED)
     return found.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 

@@ -32,8 +32,8 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SP
 #: Where a space is not the first character of a piece that ends before the next space.
 _ODD = re.compile(rf"^ | (?:[{_SPACE}]|\Z)")
 
-#: Entries of a cache, after which it starts anew; longer chunks are not kept.
-CACHED, CACHED_CHARS = 400_000, 64
+#: Entries of a cache that are in use at a time, and as many of before; longer chunks are not kept.
+CACHED, CACHED_CHARS = 200_000, 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -44,15 +44,19 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Cache(dict):
-    """Values made on demand, for keys that ``keeps`` accepts kept until there are CACHED of them."""
+    """Values made on demand, kept for keys that ``keeps`` accepts. Beyond ``most`` of them (CACHED by default) it starts anew, and takes over what is asked for again of those before."""
 
-    def __init__(self, make, keeps=lambda chunk: len(chunk) <= CACHED_CHARS):
-        self.make, self.keeps = make, keeps
+    def __init__(self, make, most: int | None, keeps=lambda chunk: len(chunk) <= CACHED_CHARS):
+        self.make, self.most, self.keeps = make, most, keeps
+        self.before: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if self.keeps(key):
-            if len(self) >= CACHED:
+            if len(self) >= (self.most or CACHED):
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -61,7 +65,7 @@ class _Cache(dict):
 class Encoder:
     """Encodes and decodes by the vocabulary in ``source``, the text of a tokenizers JSON file."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, cached: int | None = None):
         spec = json.loads(source)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
@@ -93,9 +97,9 @@ class Encoder:
         for token, i in ids.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
-        self.fits = _Cache(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), lambda key: True)
-        self.pieces = _Cache(lambda piece: self._tokens(piece.encode("utf-8")))
-        self.chunks = _Cache(self._chunk)
+        self.fits = _Cache(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), cached, lambda key: True)
+        self.pieces = _Cache(lambda piece: self._tokens(piece.encode("utf-8")), cached)
+        self.chunks = _Cache(self._chunk, cached)
         self._special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def compatible(self, left: int, right: int) -> bool:
@@ -165,19 +169,20 @@ _LITTLE = memoryview((1).to_bytes(4, "little")).cast("I")[0] == 1 and array("I")
 _BUILT: dict[str, Encoder] = {}
 
 
-def built(source: str) -> Encoder:
+def built(source: str, cached: int | None = None) -> Encoder:
     """The encoder for ``source``, kept for the life of the Python worker."""
-    key = hashlib.sha256(source.encode()).hexdigest()
+    key = f"{cached}:{hashlib.sha256(source.encode()).hexdigest()}"
     if key not in _BUILT:
-        _BUILT[key] = Encoder(source)
+        _BUILT[key] = Encoder(source, cached)
     return _BUILT[key]
 
 
-def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None, check: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None, check: bool = False, cached: int | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``, all by default) with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``decoded`` (their text).
 
     With ``check`` there is ``round_trip`` instead of ``decoded``: whether the
-    decoded text is the text, so that it need not be sent back.
+    decoded text is the text, so that it need not be sent back. ``cached``
+    bounds what a worker remembers, which changes time and memory only.
     ``path`` names a tokenizers JSON file on the driver; its text (some MB,
     fixed by the vocabulary) is broadcast. Null and empty texts have no ids
     and decode to the empty text. The strings of added tokens become their ids
@@ -190,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", keep
         source = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(texts: list[str | None]) -> list[list]:
-        encoder = built(source.value)
+        encoder = built(source.value, cached)
         ids = [encoder.encode(x or "") for x in texts]
         decoded = map(encoder.decode, ids)
         return [ids, [a == (b or "") for a, b in zip(decoded, texts)] if check else list(decoded)]

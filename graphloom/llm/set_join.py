@@ -8,6 +8,10 @@ other (prefix filter). The order used here puts rare shingles first, so that
 what a template or a passage contributes comes last and hardly ever meets.
 Any order gives all pairs: the counts that it rests on only save work.
 
+With ``max_distance``, SimHash finds pairs first: its operator's fingerprints,
+linked by its pigeonring filter, name pairs that are verified and joined up, so
+that the exact check that follows need not compare what they connect.
+
 Nodes that share a prefix shingle form a bucket. In a first round all members
 are compared with the bucket's least one. A bucket whose members are then all
 of one component is done; in any other one every pair of members of different
@@ -39,7 +43,7 @@ from xxhash import xxh64_intdigest
 
 from graphloom.functions.ship import ship
 from graphloom.llm.components import connected_components
-from graphloom.llm.simhash import signature
+from graphloom.llm.simhash import fingerprints, links as linked, signature
 from graphloom.llm.skew import join_to_unique, join_to_wide
 from graphloom.llm.staging import Staged
 
@@ -223,7 +227,18 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def members(docs: DataFrame, *, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_pairs(docs: DataFrame, nodes: DataFrame, *, shingle: int, max_distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(u, v): of ``nodes`` (_n, _sig) with equal fingerprints each and the least one; of fingerprints that differ in up to ``max_distance`` bits the least ones."""
+    prints = fingerprints(docs, shingle, id_col=id_col, text_col=text_col, signed=True).select("_sig", "_fp").distinct()
+    each = Staged(nodes.select("_n", "_sig").join(prints, "_sig").select("_n", "_fp"), "fingerprints")
+    heads = Staged(each.df.groupBy("_fp").agg(F.min("_n").alias("_head"), F.count("*").alias("_k")), "least")
+    equal = join_to_unique(each.df, max(1, each.df.count()), heads.df, ["_fp"], "_k").filter("_n <> _head").select(F.col("_n").alias("u"), F.col("_head").alias("v"))
+    near = Staged(linked(heads.df.select("_fp"), max_distance), "near")
+    side = lambda c: heads.df.select(F.col("_fp").alias(c), F.col("_head").alias(f"_{c}"))
+    return equal.unionByName(near.df.join(side("u"), "u").join(side("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+
+
+def members(docs: DataFrame, *, shingle: int, similarity: float, max_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _sig, _root, _component, _k) for each row of ``docs``: its text's SHA-256, its group, the group's least identifier and rows."""
     ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
@@ -269,7 +284,10 @@ def members(docs: DataFrame, *, shingle: int, similarity: float, id_col: str = "
     shared = Staged(join_to_unique(tokens.df, max(1, tokens.df.count()), heads.df, ["_token"], "_k"), "shared")
     tokens.drop()
     faced = shared.df.filter("_n <> _head._n").select(*_side("u", "_n", "_size", "_pos"), *_side("v", "_head._n", "_head._size", "_head._pos"))
-    first = Staged(_pairs(faced.filter(_possible(similarity))), "pairs")
+    tried = faced.filter(_possible(similarity)).select("u", "v")
+    if max_distance is not None:
+        tried = tried.unionByName(simhash_pairs(docs, nodes.df, shingle=shingle, max_distance=max_distance, id_col=id_col, text_col=text_col))
+    first = Staged(_pairs(tried), "pairs")
     links = _verified(first.df, nodes.df, source, shingle, similarity)
     now = Staged(connected_components(links, gather=True), "now")
 

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import components, set_join
+from graphloom.llm.simhash import signature
 
 
 def groups_by_force(texts):
@@ -151,3 +153,25 @@ def test_fingerprints_never_lose_a_pair(spark):
     assert {i for i, s in alike.items() if s >= 0.8} <= kept
     far = [i for i, s in alike.items() if s < 0.7]
     assert len(far) > 300 and len(kept & set(far)) < 0.1 * len(far)
+
+
+def test_simhash_names_pairs(spark):
+    """Pairs of near and of equal fingerprints; unlike texts of one fingerprint are a pair that verification drops."""
+    base = [f"w{i}" for i in range(400)]
+    mostly = ["same"] * 300
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join([*mostly, *base[:50]]), " ".join([*mostly, *base[100:150]]), " ".join(["other"] * 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("_n"), signature(F.col("text")).alias("_sig"))
+    pairs = {(min(r), max(r)) for r in set_join.simhash_pairs(docs, nodes, shingle=5, max_distance=3).collect()}
+    assert pairs == {(0, 1), (2, 3)}
+    found = {r._id: r._component for r in set_join.members(docs, shingle=5, similarity=0.8, max_distance=3).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+
+
+def test_near_dedup_goes_through_simhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    monkeypatch.setattr(set_join, "linked", lambda fps, d, real=set_join.linked: seen.append(d) or real(fps, d))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 2 and seen == [corpus_pipeline.MAX_DISTANCE]

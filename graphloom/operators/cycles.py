@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloom.functions.lineage import cut
 from graphloom.functions.ship import ship
 from graphloom.operators import fixpoint
-from graphloom.operators.fixpoint import first_that_reaches, fits_one_task, in_parts, looked_up, of_parts, on_a_cycle, reachable, strong_components, weak_parts
+from graphloom.operators.fixpoint import first_that_reaches, fits_one_task, in_parts, looked_up, of_parts, on_a_cycle, path_places, reachable, strong_components, weak_parts
 from graphloom.operators.graph import Graph
 from graphloom.operators.kernels import Component, numbered_names, strong
 from graphloom.schema import CYCLES_SCHEMA
@@ -185,30 +185,130 @@ def find_cycles(graph: Graph) -> DataFrame:
     # self-loops too: a component's chain may be one
     rows, large = weak_parts(graph.edges.select("src", "dst", "src_ord", "pos"))
     found = self_loops(graph).unionByName(in_parts(rows, large, _chains_of_parts, CYCLES_SCHEMA))
-    return found if large is None else found.unionByName(_cycles_of_large(_within(graph, of_parts(rows, large))))
+    if large is None:
+        return found
+    firsts = rows.join(F.broadcast(large), "part", "left_semi").groupBy("part").agg(F.min("src_ord").alias("node")).select("node")
+    return found.unionByName(_cycles_of_large(_within(graph, of_parts(rows, large)), firsts))
+
+
+def _hidden(edges: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, rep, back): nodes of ``edges`` (a, pos, b) that a search passes on its way to ``rep``, and how many steps before it.
+
+    A node with one way in and one way out is on a path. Of each path three nodes
+    are not hidden: the last one, which a search leaves it by; the least one,
+    as a search may begin there; and the one before that, as a search may end
+    there. So a search without hidden nodes visits the others in the same order,
+    and what it discovers last is not hidden. ``firsts`` (node), one of each
+    weakly connected part, are on no path, as a part may be a ring.
+    """
+    out = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("o"), F.min("b").alias("to"))
+    into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("i"))
+    inner = cut(out.filter("o = 1 AND node <> to").join(into.filter("i = 1"), "node").join(F.broadcast(firsts), "node", "left_anti").select("node", "to"))
+    placed = path_places(inner)
+    least = placed.groupBy("tail").agg(F.min("node").alias("least"), F.min_by("dist", "node").alias("at"))
+    before = inner.select(F.col("to").alias("least"), F.col("node").alias("before"))
+    paths = cut(least.join(before, "least", "left"))
+    rep = F.when(F.col("dist") > F.col("at") + 1, F.struct(F.col("before").alias("rep"), (F.col("dist") - F.col("at") - 1).alias("back")))
+    rep = rep.when((F.col("dist") > 0) & (F.col("dist") < F.col("at")), F.struct(F.col("tail").alias("rep"), F.col("dist").alias("back")))
+    return cut(looked_up(placed, "tail", paths).select("node", rep.alias("_r")).filter("_r IS NOT NULL").select("node", "_r.rep", "_r.back"))
+
+
+def _without_ends(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, pos, b) in which a search finds the same cycles, in order: without nodes that lead nowhere and nodes that nothing leads to.
+
+    Of the latter those stay that are the least to lead to some node, as only
+    there a search that finds a cycle may begin.
+    """
+    while not fits_one_task(edges, times=SEARCH_TIMES):
+        total = edges.count()
+        ways = edges.filter("a <> b")
+        sources = edges.join(ways.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        least = sources.filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a").distinct()
+        gone = sources.select("a").distinct().join(least, "a", "left_anti")
+        edges = cut(edges.join(ways.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(gone, "a", "left_anti").select("a", "pos", "b"))
+        if edges.count() > total * 0.9:
+            break
+    return edges
+
+
+#: Each node of a chain by its place there; ``length`` is the component's size.
+_STEPS = "start long, nth long, length long, i long, node long"
+
+
+def _steps(c: Component, first: int, members: set[int], passed: dict[int, int], start: int, nth: int) -> list[tuple]:
+    """Rows of _STEPS of a component's first chain, with a step more for each of ``passed`` nodes on the way to one."""
+    length = sum(1 + passed.get(c.order[x], 0) for x in members)
+    chain = c.named(c.first_cycle(first, members))
+    places = [0, *accumulate(1 + passed.get(x, 0) for x in chain[1:])]
+    return [(start, nth, length, i, x) for i, x in zip(places, chain)]
 
 
-def _cycles_of_large(graph: Graph) -> DataFrame:
-    """``find_cycles`` but self-loops of weakly connected parts beyond a kernel's size."""
+def _steps_table(rows: list[tuple]) -> pa.Table:
+    names = [x.split()[0] for x in _STEPS.split(", ")]
+    return pa.table([pa.array(list(x), pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), names=names)
+
+
+def _cycles_of_large(graph: Graph, firsts: DataFrame) -> DataFrame:
+    """``find_cycles`` but self-loops of weakly connected parts beyond a kernel's size; ``firsts`` (node) is one place of each part.
+
+    What is long is paths, whose nodes are searched for without being held: chains
+    are found in numbers, without hidden nodes, which take their places by a join.
+    """
     if fits_one_task(graph.nodes, graph.edges, times=SEARCH_TIMES):
         return _cycles_at_once(graph)
-    found = cut(_searched(graph, leading=True))
-    rank = F.array(F.lit(1).cast("long"), "start", "nth")
-    names = graph.nodes.select("ord", F.col("file_path").alias("name"))
-    key = F.struct("start", "nth").alias("component")
-    nodes = found.join(names, "ord").select(key, rank.alias("rank"), "ord", "name", "place", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("to"))
-    source = found.select(key, rank.alias("rank"), F.col("ord").alias("a"))
-    target = found.select(F.struct("start", "nth").alias("_component"), F.col("ord").alias("b"))
-    edges = looked_up(looked_up(_numbered_edges(graph), "a", source), "b", target).filter("component = _component")
-    edges = edges.select("component", "rank", F.col("a").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("place"), "pos", F.col("b").alias("to"))
+    edges = cut(_numbered_edges(graph))
+    hidden = _hidden(edges, firsts)
+    kept = edges.join(hidden.select(F.col("node").alias("a")), "a", "left_anti")
+    to = hidden.select(F.col("node").alias("b"), "rep")
+    short = _without_ends(cut(kept.join(to, "b", "left").select("a", "pos", F.coalesce("rep", "b").alias("b"))))
+    passed = hidden.groupBy(F.col("rep").alias("a")).agg(F.count("*").alias("pos"))
+    passed = passed.join(short.select("a").distinct(), "a", "left_semi").withColumn("b", F.lit(None).cast("long"))
+    ship(short.sparkSession)
+
+    def parts(rows: pa.Table) -> tuple[dict[int, int], list[tuple]]:
+        alone = pc.is_null(rows.column("b"))
+        nodes, edges = rows.filter(alone), rows.filter(pc.invert(alone))
+        return dict(zip(nodes.column("a").to_pylist(), nodes.column("pos").to_pylist())), list(zip(*(edges.column(x).to_pylist() for x in ("a", "pos", "b"))))
 
-    def run(rows: pa.Table) -> pa.Table:
-        c = _component(rows)
-        nodes = rows.filter(pc.equal(rows.column("place"), 0))
-        first = c.place[nodes.column("ord")[0].as_py()]
-        return _table([(c.named(c.first_cycle(first, set(range(len(c.order))))), len(c.order), nodes.column("rank")[0].as_py())], _CHAINS)
+    if fits_one_task(short, times=SEARCH_TIMES):
 
-    return nodes.unionByName(edges).groupBy("component").applyInArrow(run, CYCLES_SCHEMA)
+        def run(rows: pa.Table) -> pa.Table:
+            known, ways = parts(rows)
+            every = {x for a, _, b in ways for x in (a, b)}
+            c = Component(zip(every, every), ways)
+            return _steps_table([s for i, (start, members) in enumerate(strong(c.out)) if len(members) > 1 for s in _steps(c, members[0], set(members), known, c.order[start], i)])
+
+        steps = short.unionByName(passed).groupBy(F.lit(0).alias("all")).applyInArrow(run, _STEPS)
+    else:
+        names = graph.nodes.select(F.col("ord").alias("a"), F.col("file_path").alias("src"))
+        named = short.join(names, "a").join(names.toDF("b", "dst"), "b").select("src", "dst", F.col("a").alias("src_ord"), "pos")
+        found = cut(_searched(_within(graph, named), leading=True))
+        key = F.struct("start", "nth").alias("component")
+        source, target = found.select(key, F.col("ord").alias("a")), found.select(F.struct("start", "nth").alias("_component"), F.col("ord").alias("b"))
+        inside = looked_up(looked_up(short, "a", source), "b", target).filter("component = _component").select("component", "a", "pos", "b", F.lit(None).cast("long").alias("first"))
+        first = found.filter("place = 0").select(key, F.col("ord").alias("first"), *[F.lit(None).cast("long").alias(x) for x in ("a", "pos", "b")])
+        extra = passed.join(source, "a").select("component", "a", "pos", "b", F.lit(None).cast("long").alias("first"))
+
+        def each(key: tuple, rows: pa.Table) -> pa.Table:
+            first = pc.max(rows.column("first")).as_py()
+            known, ways = parts(rows.filter(pc.is_null(rows.column("first"))))
+            c = Component(((x, x) for x in {a for a, _, _ in ways}), ways)
+            component = key[0].as_py()
+            return _steps_table(_steps(c, c.place[first], set(range(len(c.order))), known, component["start"], component["nth"]))
+
+        steps = inside.unionByName(first).unionByName(extra).groupBy("component").applyInArrow(each, _STEPS)
+    steps = cut(steps)
+    on_the_way = steps.filter("i > 0").withColumnRenamed("node", "rep").join(hidden, "rep").select("start", "nth", "length", (F.col("i") - F.col("back")).alias("i"), "node")
+    names = graph.nodes.select(F.col("ord").alias("node"), F.col("file_path").alias("name"))
+    rows = looked_up(steps.unionByName(on_the_way), "node", names).select("start", "nth", "length", "i", "name")
+
+    def chain(key: tuple, rows: pa.Table) -> pa.Table:
+        name = rows.column("name").take(pc.sort_indices(rows.column("i"))).combine_chunks()
+        start, nth, length = (x.as_py() for x in key)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(name)], pa.int32()), name)
+        return pa.table([whole, pa.array([length], pa.int32()), pa.array([[1, start, nth]], pa.list_(pa.int64()))], schema=_CHAINS)
+
+    return rows.groupBy("start", "nth", "length").applyInArrow(chain, CYCLES_SCHEMA)
 
 
 def normalise_cycle(chain: Column) -> Column:

@@ -311,6 +311,36 @@ def _shortened(links: Staged, fixed: DataFrame | None = None) -> tuple[Staged, D
     return short, known
 
 
+def path_places(links: DataFrame) -> DataFrame:
+    """(node, tail, dist) for ``links`` (node, to), each node once as ``to``, that close no ring: the last node each leads on to, and how many steps away it is.
+
+    A path's nodes mostly stand near one another. So each task follows links within
+    its range of nodes; what leads from range to range is followed by joins
+    that double the distance, where only the last node in a range is a row.
+    """
+    ship(links.sparkSession)
+    chunk = CHUNK_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "node", chunk):
+            node, to = (rows.column(c).to_numpy() for c in ("node", "to"))
+            at, dist = kernels.last_of_paths(node, to)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, node[at], dist, to[at])], ["node", "tail", "dist", "on"])
+
+    near = _staged(links.select("node", "to").repartitionByRange("node").sortWithinPartitions("node").mapInArrow(run, "node long, tail long, dist long, on long"))
+    tails = near.df.filter("node = tail").select("tail", "on")
+    hops = near.df.select(F.col("node").alias("on"), F.col("tail").alias("_tail"), (F.col("dist") + 1).alias("_more"))
+    now = _staged(tails.join(hops, "on", "left").select("tail", F.coalesce("_tail", "tail").alias("at"), F.coalesce("_more", F.lit(0).cast("long")).alias("more")))
+    while True:
+        onward = now.df.filter("at <> tail").select(F.col("tail").alias("at"), F.col("at").alias("_at"), F.col("more").alias("_more"))
+        if now.df.select("at").join(onward, "at", "left_semi").isEmpty():
+            break
+        after = _staged(now.df.join(onward, "at", "left").select("tail", F.coalesce("_at", "at").alias("at"), (F.col("more") + F.coalesce("_more", F.lit(0))).alias("more")))
+        now.drop()
+        now = after
+    return _staged(looked_up(near.df.select("node", "tail", "dist"), "tail", now.df).select("node", F.col("at").alias("tail"), (F.col("dist") + F.col("more")).alias("dist"))).df
+
+
 def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """(node): what at least one edge (src, dst) leads to from the nodes of ``start`` (node); with ``reverse``, what leads to them."""
     edges = edges.select("src", "dst")

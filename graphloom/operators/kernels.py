@@ -39,6 +39,17 @@ def targets_of(n: int, sources: np.ndarray, targets: np.ndarray) -> list[list[in
     return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
 
+def last_of_paths(node: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``node``, which ascends, the last one stands that links ``node`` to ``to`` lead on to, and the number of steps. They close no ring."""
+    at = np.searchsorted(node, to).clip(max=len(node) - 1)
+    inside = node[at] == to
+    at, dist = np.where(inside, at, np.arange(len(node))), inside.astype(np.int64)
+    while not np.array_equal(after := at[at], at):
+        dist += dist[at]
+        at = after
+    return at, dist
+
+
 def search(out: Sequence[list[int]], starts: Iterable[int]) -> list[int]:
     """What one step or more lead to from ``starts``, in order of discovery."""
     seen: dict[int, None] = {}

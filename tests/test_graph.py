@@ -370,3 +370,42 @@ def test_long_paths_are_shortened(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "PATH_ROWS", 10)
     monkeypatch.setattr(fixpoint, "_least_that_reaches", None)
     assert [ask() for ask in asked] == want
+
+
+def _trails(n: int, seed: int = 0) -> list[tuple[str, str]]:
+    """A ring, a chain behind it, and nodes that point at a hub before it, by random names; with ``seed``, links across."""
+    rng = random.Random(seed)
+    names = [f"n{i:04d}" for i in range(4 * n)]
+    if seed:
+        rng.shuffle(names)
+    ring, chain, spokes, others = (names[i * n : (i + 1) * n] for i in range(4))
+    edges = [*zip(ring, [*ring[1:], ring[0]]), *zip(chain, chain[1:]), (ring[0], chain[0]), (spokes[0], ring[0])]
+    edges += [(x, spokes[0]) for x in spokes[1:]] + [(x, chain[0]) for x in others]
+    edges += [(rng.choice(names), rng.choice(names)) for _ in range(2 * min(seed, 5))]
+    edges = list(dict.fromkeys(edges))
+    if seed:
+        rng.shuffle(edges)
+    return edges
+
+
+def test_chain_of_a_long_ring_takes_no_label_rounds(spark, monkeypatch):
+    g = Graph.from_edges(spark, _trails(40)).cut()
+    want = sorted((r["rank"][:2], r["chain"], r["length"]) for r in C.find_cycles(g).collect())
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 30)
+    monkeypatch.setattr(fixpoint, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(C, "SEARCH_TIMES", 1)
+    monkeypatch.setattr(C, "first_that_reaches", None)
+    assert sorted((r["rank"][:2], r["chain"], r["length"]) for r in C.find_cycles(g).collect()) == want
+    assert [x[2] for x in want] == [40]
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_hidden_nodes_keep_the_search_order(spark, monkeypatch, seed):
+    g = Graph.from_edges(spark, _trails(15, seed)).cut()
+    found = lambda: [(r["chain"], r["length"]) for r in sorted(C.find_cycles(g).collect(), key=lambda r: r["rank"])]
+    want = found()
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 12)
+    monkeypatch.setattr(fixpoint, "CHUNK_ROWS", 5)
+    # the rest in one task, or by rounds
+    monkeypatch.setattr(C, "SEARCH_TIMES", 8 if seed % 3 else 1)
+    assert found() == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,15 @@ from graphloom.schema import IMPORTS
 
 __all__ = ["init_parser", "parse_source", "parse_file", "with_imports", "imports_of", "register_parse_imports"]
 
-_ARROW = pa.list_(pa.struct([("source", pa.string()), ("specifiers", pa.list_(pa.string())), ("type", pa.string()), ("line", pa.int32())]))
+_FIELDS = [pa.field("source", pa.string()), pa.field("specifiers", pa.list_(pa.string())), pa.field("type", pa.string()), pa.field("line", pa.int32())]
+
+
+def _listed(imports: list[list[Import]]) -> pa.Array:
+    """One list of structs for each file."""
+    every = [x for found in imports for x in found]
+    columns = zip(*every) if every else [()] * len(_FIELDS)
+    structs = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FIELDS)], fields=_FIELDS)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, imports))], pa.int32()), structs)
 
 
 def init_parser(language: str = "typescript") -> Callable[[str | None], list[Import]]:
@@ -47,12 +56,12 @@ def with_imports(sources: DataFrame) -> DataFrame:
                 try:
                     if content is None:
                         raise ValueError("the file cannot be read")
-                    imports.append([x._asdict() for x in parse_source(content, language)])
+                    imports.append(parse_source(content, language))
                     errors.append([])
                 except Exception as e:  # recorded for the file; the others go on
                     imports.append([])
                     errors.append([str(e)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(imports, _ARROW), pa.array(errors, pa.list_(pa.string()))], ["path", "imports", "errors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(imports), pa.array(errors, pa.list_(pa.string()))], ["path", "imports", "errors"])
 
     return sources.select("path", "language", "content").mapInArrow(run, f"path string, imports {IMPORTS}, errors array<string>")
 

@@ -44,19 +44,20 @@ def is_supported(path: Column) -> Column:
 
 
 def normalise(path: Column) -> Column:
-    """An absolute path without empty, ``.`` and ``..`` segments."""
+    """An absolute path without empty, ``.`` and ``..`` segments; one that is such already is not taken apart."""
     parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
     kept = F.aggregate(
         parts,
         F.array().cast("array<string>"),
         lambda done, x: F.when(x == "..", F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)).otherwise(F.concat(done, F.array(x))),
     )
-    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.rlike(r"\A(?:/(?!\.{0,2}(?:/|\z))[^/]++)++\z"), path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
 
 
 def resolve(base: Column, path: Column) -> Column:
     """``path`` seen from the directory ``base``, normalised."""
-    return normalise(F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path)))
+    below = F.when(path.startswith("./"), F.substring(path, 3, 1 << 20)).otherwise(path)
+    return normalise(F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), below)))
 
 
 def relative(path: Column, base: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.paths import dirname, is_external, resolve
@@ -53,8 +55,16 @@ def lookup(files: DataFrame, extensions: list[str]) -> DataFrame:
     suffixes = ["", *extensions, *("/index" + x for x in extensions)]
     ways = [(suffix, "", pos) for pos, suffix in enumerate(suffixes)]
     ways += [(".ts", ".js", len(suffixes)), (".tsx", ".js", len(suffixes) + 1)]
-    listed = F.array(*(F.struct(F.lit(a).alias("suffix"), F.lit(b).alias("to"), F.lit(i).alias("pos")) for a, b, i in ways))
-    tried = files.select("path", F.inline(listed)).filter(F.col("path").endswith(F.col("suffix")))
+    # of suffixes that none of the others ends with, one fits at most: a row for each such group is enough
+    groups: list[list[tuple[str, str, int]]] = []
+    for way in ways:
+        fitting = (g for g in groups if not any(way[0].endswith(x) or x.endswith(way[0]) for x, _, _ in g))
+        group = next(fitting, None)
+        if group is None:
+            groups.append(group := [])
+        group.append(way)
+    chosen = lambda g: reduce(lambda c, w: c.when(F.col("path").endswith(w[0]), F.struct(F.lit(w[0]).alias("suffix"), F.lit(w[1]).alias("to"), F.lit(w[2]).alias("pos"))), g, F)
+    tried = files.select("path", F.inline(F.array(*map(chosen, groups)))).filter("pos IS NOT NULL")
     target = F.concat(F.left("path", F.length("path") - F.length("suffix")), "to")
     # an index file at the top stands for the top
     stood = tried.select(F.when(target == "", "/").otherwise(target).alias("target"), "path", "pos")
@@ -72,10 +82,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame, root: str, options: An
     if options.strict_aliases and options.path_aliases:
         outside &= alias_target(F.col("source"), options, root).isNull()
     inner = imports.filter(~outside)
-    tried = targets(F.col("path"), F.col("source"), root, options)
     index = lookup(files, options.extensions).withColumnRenamed("target", "_target")
     if not options.path_aliases and not options.base_url:
-        return inner.withColumn("_target", F.get(tried, F.lit(0))).join(index, "_target").drop("_target")
+        target = resolve(F.when(F.col("source").startswith("."), dirname(F.col("path"))).otherwise(root), F.col("source"))
+        return inner.withColumn("_target", target).join(index, "_target").drop("_target")
+    tried = targets(F.col("path"), F.col("source"), root, options)
     aimed = inner.select("path", "idx", F.posexplode(tried).alias("_nth", "_target"))
     best = aimed.join(index, "_target").groupBy("path", "idx").agg(F.min_by("resolved", "_nth").alias("resolved"))
     return inner.join(best, ["path", "idx"])

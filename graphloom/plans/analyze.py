@@ -38,7 +38,8 @@ def build_graph(sources: DataFrame, files: DataFrame, root: str, options: Analyz
     own = parsed.select(F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(-1).alias("idx"))
     mentions = own.unionByName(resolved.select(F.col("path").alias("src"), F.col("resolved").alias("dst"), "idx"))
     errors = parsed.select(F.col("path").alias("file"), F.explode("errors").alias("error"))
-    return Graph.from_mentions(with_index(mentions, ["src", "idx"], "seq"), root).cut(), errors
+    # written once, as ranges are told by a sample of it
+    return Graph.from_mentions(with_index(cut(mentions), ["src", "idx"], "seq"), root).cut(), errors
 
 
 def graph_stats(graph: Graph, cycles: DataFrame, duration: int = 0, limit: int = 10) -> DataFrame:

@@ -213,3 +213,19 @@ def test_public_names():
 
     assert all(getattr(graphloom, name) for name in graphloom.__all__)
     assert [x.source for x in graphloom.init_parser("tsx")("import 'q'")] == ["q"]
+
+
+def test_files_stand_for_paths_by_few_rows(spark):
+    from graphloom.operators.resolve import candidates, lookup
+    from graphloom.schema import DEFAULT_EXTENSIONS
+
+    paths = ["/a.ts", "/a.d.ts", "/b/index.ts", "/b.tsx", "/index.js", "/c.d.ts/index.d.ts", "/plain", "/x.mts", "/b"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    for extensions in (list(DEFAULT_EXTENSIONS), [".d.ts", ".ts", ".js"]):
+        found = {r["target"]: r["resolved"] for r in lookup(files, extensions).collect()}
+        asked = spark.createDataFrame([(t,) for t in found], "t string").select("t", candidates(F.col("t"), extensions).alias("c"))
+        want = {r["t"]: next(x for x in r["c"] if x in paths) for r in asked.collect() if r["t"] != "/"}
+        assert {t: p for t, p in found.items() if t != "/"} == want
+    # of each file four rows, not one for each suffix
+    plan = lookup(files, list(DEFAULT_EXTENSIONS))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("case when endswith") == 4

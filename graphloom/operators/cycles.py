@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
-from itertools import accumulate, islice
+from itertools import accumulate, islice, takewhile
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -355,7 +355,10 @@ def find_all_simple_cycles(graph: Graph, max_cycles: int = MAX_CYCLES) -> DataFr
     small weakly connected parts are found with all of their part. First
     each cycle is taken once, at its least node, and counted k times; a task
     stops where that exceeds the cap. Only if all tasks together exceed it,
-    the single hits are enumerated, as many as the cap in each component.
+    the single hits are enumerated, as many as the cap in each component. As
+    each cycle taken is a hit from its least node, the first of them, as many as
+    the cap, tell up to which starting node hits count: only parts with such
+    nodes are searched for them.
     """
     rows, large = weak_parts(graph.edges.select("src", "dst", "src_ord", "pos"))
     large_rows = None if large is None else _strong_rows(_within(graph, of_parts(rows, large)))
@@ -369,11 +372,7 @@ def find_all_simple_cycles(graph: Graph, max_cycles: int = MAX_CYCLES) -> DataFr
                 break
         return taken
 
-    def each(c: Component) -> list[tuple]:
-        hits = ((c.named(chain), len(chain) - 1, [c.order[start], i]) for start in range(len(c.order)) for i, chain in enumerate(c.cycles_through(start)))
-        return list(islice(hits, max_cycles))
-
-    def taken(take) -> DataFrame:
+    def taken(take, rows: DataFrame, large_rows: DataFrame | None) -> DataFrame:
         def of_small(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             for c in _cyclic(_whole(rows)):
                 yield _batch(take(c), _CHAINS)
@@ -383,10 +382,22 @@ def find_all_simple_cycles(graph: Graph, max_cycles: int = MAX_CYCLES) -> DataFr
             return found
         return found.unionByName(large_rows.groupBy("label").applyInArrow(lambda rows: _table(take(_component(rows)), _CHAINS), CYCLES_SCHEMA))
 
-    found = cut(taken(once))
+    found = cut(taken(once, rows, large_rows))
     if (found.agg(F.sum("length")).first()[0] or 0) <= max_cycles:
         return found
-    hits = taken(each)
+    known, last = found.select(F.col("rank")[0].alias("start")).orderBy("start").limit(max_cycles).agg(F.count("*"), F.max("start")).first()
+    if known < max_cycles:
+        last = None
+
+    def each(c: Component) -> list[tuple]:
+        starts = takewhile(lambda start: last is None or c.order[start] <= last, range(len(c.order)))
+        hits = ((c.named(chain), len(chain) - 1, [c.order[start], i]) for start in starts for i, chain in enumerate(c.cycles_through(start)))
+        return list(islice(hits, max_cycles))
+
+    def begun(rows: DataFrame, key: str, place: str) -> DataFrame:
+        return rows if last is None else rows.join(rows.filter(F.col(place) <= last).select(key).distinct(), key, "left_semi")
+
+    hits = taken(each, begun(rows, "part", "src_ord"), None if large_rows is None else begun(large_rows, "label", "ord"))
     kept = deduplicate_cycles(hits.select("chain", "rank").orderBy("rank").limit(max_cycles))
     return kept.select("chain", (F.size("chain") - 1).alias("length"), "rank")
 

@@ -409,3 +409,16 @@ def test_hidden_nodes_keep_the_search_order(spark, monkeypatch, seed):
     # the rest in one task, or by rounds
     monkeypatch.setattr(C, "SEARCH_TIMES", 8 if seed % 3 else 1)
     assert found() == want
+
+
+def test_hits_are_searched_where_the_cap_ends_only(spark, monkeypatch):
+    """Parts whose nodes come after the last start that counts are not searched for single hits."""
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 8)
+    g = Graph.from_edges(spark, [(f"n{i:02}{a}", f"n{i:02}{b}") for i in range(40) for a, b in ("ab", "bc", "ca", "ba")])
+    read = []
+    in_parts = C.in_parts
+    monkeypatch.setattr(C, "in_parts", lambda rows, *more: read.append(rows.count()) or in_parts(rows, *more))
+    found = [(r.chain, r.rank[0]) for r in C.find_all_simple_cycles(g, 7).orderBy("rank").collect()]
+    # of each part 3 hits of the ring and 2 of the pair, from a: the ring, the pair; from b: the ring, the pair; from c: the ring
+    assert [x for x, _ in found] == [["n00a", "n00b", "n00c", "n00a"], ["n00a", "n00b", "n00a"], ["n01a", "n01b", "n01c", "n01a"], ["n01a", "n01b", "n01a"]]
+    assert read[0] == 160 and read[1] <= 16

@@ -422,3 +422,16 @@ def test_hits_are_searched_where_the_cap_ends_only(spark, monkeypatch):
     # of each part 3 hits of the ring and 2 of the pair, from a: the ring, the pair; from b: the ring, the pair; from c: the ring
     assert [x for x, _ in found] == [["n00a", "n00b", "n00c", "n00a"], ["n00a", "n00b", "n00a"], ["n01a", "n01b", "n01c", "n01a"], ["n01a", "n01b", "n01a"]]
     assert read[0] == 160 and read[1] <= 16
+
+
+def test_hits_of_large_parts_under_the_cap(spark, monkeypatch):
+    """The same hits count where all parts are large ones."""
+    g = Graph.from_edges(spark, [(f"n{i}{a}", f"n{i}{b}") for i in range(6) for a, b in ("ab", "bc", "ca", "ba")])
+    asked = lambda cap: ["".join(r.chain) for r in C.find_all_simple_cycles(g, cap).orderBy("rank").collect()]
+    want = asked(7)
+    split, kept = C.weak_parts, C.deduplicate_cycles
+    monkeypatch.setattr(C, "weak_parts", lambda edges: (split(edges)[0], split(edges)[0].select("part").distinct()))
+    starts = []
+    monkeypatch.setattr(C, "deduplicate_cycles", lambda hits: starts.extend(r.s for r in hits.select(F.col("rank")[0].alias("s")).collect()) or kept(hits))
+    assert asked(7) == want == ["n0an0bn0cn0a", "n0an0bn0a", "n1an1bn1cn1a", "n1an1bn1a"]
+    assert len(starts) == 7

@@ -53,7 +53,7 @@ _REACHED = -(1 << 63)
 _PAIRS_AT_ONCE = 1 << 16
 #: Edges of neighbouring sources that one task joins up at a time when a graph is split into parts.
 CHUNK_ROWS = 100_000
-#: Paths are shortened where more links than that lie on paths.
+#: Paths are shortened by rounds where more links than that, and than one task may hold, lie on paths.
 PATH_ROWS = 1_000
 
 
@@ -279,7 +279,9 @@ def _shortened(links: Staged, fixed: DataFrame | None = None) -> tuple[Staged, D
     a cycle, or reached, where its last node is. Nodes of ``fixed`` (node) are
     on none. A node is left out in a round if a coin says so of it and not of
     the next, so about a quarter go at a time: all rounds together cost some
-    four times the first. A ring of its own may end as one node that leads to itself.
+    four times the first. What fits one task is followed to its ends there, as a
+    mark that comes late to a ring whose labels are settled goes on by one node
+    in a round. A ring of its own may end as one node that leads to itself.
     """
     ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(None).cast("long").alias("to")))
     inner = links.df.select(F.inline(ends)).groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.min("to").alias("to")).filter("o = 1 AND i = 1 AND node <> to").select("node", "to")
@@ -287,8 +289,9 @@ def _shortened(links: Staged, fixed: DataFrame | None = None) -> tuple[Staged, D
     left = _staged(inner.df.join(inner.df.select(F.col("node").alias("to")), "to", "left_semi").select("node", "to"))
     inner.drop()
     levels: list[Staged] = []
+    most = max(PATH_ROWS, LOCAL_ROWS)
     for seed in count():
-        if left.df.limit(PATH_ROWS + 1).count() <= PATH_ROWS:
+        if (rows := left.df.limit(most + 1).count()) <= most:
             break
         coin = lambda c: F.xxhash64(F.lit(seed), c) > 0  # noqa: B023, E731
         picked = coin("node") & ~coin("to")
@@ -298,6 +301,8 @@ def _shortened(links: Staged, fixed: DataFrame | None = None) -> tuple[Staged, D
         levels.append(level)
         left.drop()
         left = after
+    if 0 < rows <= LOCAL_ROWS:
+        levels.append(_staged(_kernel(left.df.toDF("a", "b"), kernels.ends_of_paths, ["node", "to"])))
     if not levels:
         return links, None
     known = levels.pop().df.toDF("node", "rep")

@@ -144,6 +144,22 @@ def strong_labels(a: list[int], b: list[int | None]) -> tuple[list[int], list[in
     return names, [names[i] for i in label]
 
 
+def ends_of_paths(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """The nodes ``a``, each of which links to its ``b`` only and is linked to once at most, and the last node of each one's path; of a ring all but the least node, which is its last."""
+    to = dict(zip(a, b))
+    firsts = to.keys() - set(b)
+    last: dict[int, int] = {}
+    for first in (*sorted(firsts), *sorted(to.keys() - firsts)):
+        if first in last:
+            continue
+        path, at = [first], to[first]
+        while at in to and at != first:
+            path.append(at)
+            at = to[at]
+        last.update(dict.fromkeys(path, at))
+    return [x for x in a if x != last[x]], [last[x] for x in a if x != last[x]]
+
+
 class Component:
     """Nodes in their order, each with its targets in theirs. Results hold names."""
 

@@ -388,6 +388,21 @@ def _trails(n: int, seed: int = 0) -> list[tuple[str, str]]:
     return edges
 
 
+def test_paths_that_fit_one_task_are_left_out_whole(spark, monkeypatch):
+    """A ring behind a chain, a ring of its own, and more links beside them than a task holds: labels pass no node of a path."""
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 90)
+    node = F.xxhash64
+    ring, chain, own, ends = ([f"{x}{i:02}" for i in range(n)] for x, n in (("r", 40), ("c", 30), ("o", 15), ("e", 50)))
+    pairs = [*zip(ring, [*ring[1:], ring[0]]), *zip(chain, [*chain[1:], ring[0]]), *zip(own, [*own[1:], own[0]]), *((chain[-1], x) for x in ends)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    links = fixpoint.Staged(edges.select(node("src").alias("a"), node("dst").alias("b")), "round")
+    start = spark.createDataFrame([(chain[0],)], "node string").select(node("node").alias("node"))
+    short, known = fixpoint._shortened(links, start)
+    # ring[0] to itself by way of the ring's last node, the chain by way of its last but one to ring[0], the other ring as one node, the ends
+    assert short.df.count() == 2 + 3 + 1 + 50 and known.count() == 38 + 27 + 14
+    assert known.select("node").distinct().count() == 79 and known.join(known.select(F.col("node").alias("rep")), "rep").isEmpty()
+
+
 def test_chain_of_a_long_ring_takes_no_label_rounds(spark, monkeypatch):
     g = Graph.from_edges(spark, _trails(40)).cut()
     want = sorted((r["rank"][:2], r["chain"], r["length"]) for r in C.find_cycles(g).collect())

@@ -346,16 +346,109 @@ def path_places(links: DataFrame) -> DataFrame:
     return _staged(looked_up(near.df.select("node", "tail", "dist"), "tail", now.df).select("node", F.col("at").alias("tail"), (F.col("dist") + F.col("more")).alias("dist"))).df
 
 
+def _near_joined(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (src, dst) between origins, and (node, rep) of all other nodes with the origin of each, as far as ``start`` (node) may lead.
+
+    Nodes are sorted into ranges of their names. Each task searches its range
+    from the nodes of ``start`` and from those with a way in from elsewhere. All
+    ways to a node lead through its origin, so it is reached where that is
+    reached, or is of ``start``. An origin is one of the nodes that searches
+    begin at, or one where ways from several origins meet. What no search of its
+    range comes to is not reached.
+    """
+    ship(edges.sparkSession)
+    chunk = CHUNK_ROWS
+    names = ["a", "b", "edge"]
+    edges = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
+
+    def table(a: pa.Array, b: pa.Array, edge: bool) -> list[pa.RecordBatch]:
+        return pa.table([a, b, pa.array(np.full(len(a), edge))], names=names).to_batches()
+
+    def joined(rows: pa.Table) -> tuple:
+        key, to, ways = (rows.column(c).combine_chunks() for c in ("key", "to", "ways"))
+        known = pc.unique(key)
+        of, d = (pc.fill_null(pc.index_in(x, known), -1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (key, to))
+        ways, is_edge = ways.to_numpy(), pc.is_valid(to).to_numpy(zero_copy_only=False)
+        inside = d >= 0
+        s, t = of[inside], d[inside]
+        # ways in that are not seen here come from elsewhere
+        unseen = np.bincount(of[~is_edge], np.maximum(ways[~is_edge], 0), len(known)) - np.bincount(t, minlength=len(known))
+        begun = np.zeros(len(known), dtype=bool)
+        begun[of[ways < 0]] = True
+        origin = np.array(kernels.origins(kernels.targets_of(len(known), s, t), np.flatnonzero(begun | (unseen > 0)).tolist()), dtype=np.int64)
+        return key, to, known, of, d, is_edge, begun, origin
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = of_last = None
+        for rows in whole_groups(batches, "key", chunk, 4 * chunk):
+            # a node with very many edges goes on from the table before
+            going_on = pc.equal(rows.column("key"), last) if last is not None else pa.array(np.zeros(rows.num_rows, dtype=bool))
+            head, rows = rows.filter(going_on), rows.filter(pc.invert(going_on))
+            if head.num_rows and of_last is not None:
+                to = head.column("to").combine_chunks().drop_null()
+                yield from table(pa.array([of_last] * len(to), pa.string()), to, True)
+            if not rows.num_rows:
+                continue
+            key, to, known, of, d, is_edge, begun, origin = joined(rows)
+            from_ = origin[of]
+            # within one origin only what leads back to a start says anything
+            told = is_edge & (from_ >= 0) & ((d < 0) | (from_ != origin[d]) | begun[d])
+            yield from table(known.take(pa.array(from_[told])), to.filter(pa.array(told)), True)
+            others = np.flatnonzero((origin >= 0) & (origin != np.arange(len(known))))
+            yield from table(known.take(pa.array(others)), known.take(pa.array(origin[others])), False)
+            last = key[-1]
+            of_last = known[int(from_[-1])].as_py() if from_[-1] >= 0 else None
+
+    none = F.lit(None).cast("string")
+    rows = edges.select(F.col("src").alias("key"), F.col("dst").alias("to"), F.lit(0).cast("long").alias("ways"))
+    into = edges.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("ways")).select("key", none.alias("to"), "ways")
+    begun = start.filter("node IS NOT NULL").distinct().select(F.col("node").alias("key"), none.alias("to"), F.lit(-1).cast("long").alias("ways"))
+    ranged = rows.unionByName(into).unionByName(begun).repartitionByRange("key")
+    found = _staged(ranged.sortWithinPartitions("key", F.col("to").asc_nulls_first()).mapInArrow(run, "a string, b string, edge boolean")).df
+    return found.filter("edge").select(F.col("a").alias("src"), F.col("b").alias("dst")), found.filter("NOT edge").select(F.col("a").alias("node"), F.col("b").alias("rep"))
+
+
 def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """(node): what at least one edge (src, dst) leads to from the nodes of ``start`` (node); with ``reverse``, what leads to them."""
-    edges = edges.select("src", "dst")
-    if not fits_one_task(edges, start):
-        rows, _ = weak_parts(edges)
-        ends = rows.select("part", F.explode(F.array("src", "dst")).alias("node"))
-        edges = _staged(rows.join(ends.join(start.distinct(), "node", "left_semi").select("part").distinct(), "part", "left_semi").drop("part")).df
+    edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges.select("src", "dst")
+    if fits_one_task(edges, start):
+        return _reached_names(edges, start)
+    short, known = _near_joined(edges, start)
+    # what leads nowhere is looked up at the end
+    onward = _staged(short.join(short.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct()).df
+    if fits_one_task(onward, start):
+        found = _reached_names(onward, start)
+    else:
+        found = _reached_by_rounds(onward, start)
+    begun = _staged(found.unionByName(start.select("node")).distinct()).df
+    ends = _staged(short.join(begun.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()).df
+    reps = ends.unionByName(start.select("node")).distinct().withColumnRenamed("node", "rep")
+    return ends.unionByName(known.join(reps, "rep", "left_semi").select("node"))
+
+
+def _reached_names(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``reachable`` in one task."""
+    ship(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, schema)
+        starts = rows.filter(pc.is_null(rows.column("dst"))).column("src")
+        names, (s, d) = kernels.numbered_names(rows.filter(pc.is_valid(rows.column("dst"))))
+        begun = pc.index_in(pc.unique(starts), names).drop_null().to_pylist()
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(kernels.search(kernels.targets_of(len(names), s, d), begun), pa.int64()))], ["node"])
+
+    schema = pa.schema([("src", pa.string()), ("dst", pa.string())])
+    linked = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
+    return linked.unionByName(start.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"))).repartition(1).mapInArrow(run, "node string")
+
+
+def _reached_by_rounds(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``reachable`` in the weakly connected parts of ``start``, in numbers."""
+    rows, _ = weak_parts(edges)
+    ends = rows.select("part", F.explode(F.array("src", "dst")).alias("node"))
+    edges = _staged(rows.join(ends.join(start.distinct(), "node", "left_semi").select("part").distinct(), "part", "left_semi").drop("part")).df
     numbers = Numbers(_ends(edges))
-    links = numbers.links(edges)
-    links = _staged(_turned(links) if reverse else links)
+    links = _staged(numbers.links(edges))
     begun = start.select(numbers.of("node", "node")).distinct()
     known = None
     if not fits_one_task(links.df, begun):

@@ -62,6 +62,31 @@ def search(out: Sequence[list[int]], starts: Iterable[int]) -> list[int]:
     return list(seen)
 
 
+def origins(out: Sequence[list[int]], starts: Sequence[int], times: int = 10) -> list[int]:
+    """For each node the last one that all ways from ``starts`` to it share and that is a start or a place where such ways meet; -1 if none leads to it.
+
+    Places where ways meet are taken up until there are no further ones. If
+    ``times`` searches do not find all of them, each node is its own.
+    """
+    taken = list(starts)
+    for _ in range(times):
+        origin = [-1] * len(out)
+        for x in taken:
+            origin[x] = x
+        todo = list(taken)
+        while todo:
+            at = todo.pop()
+            for to in out[at]:
+                if origin[to] < 0:
+                    origin[to] = origin[at]
+                    todo.append(to)
+        more = {to for at, own in enumerate(origin) if own >= 0 for to in out[at] if origin[to] != own and origin[to] != to}
+        if not more:
+            return origin
+        taken += more
+    return [x if own >= 0 else -1 for x, own in enumerate(origin)]
+
+
 def strong(out: Sequence[list[int]]) -> Iterator[tuple[int, list[int]]]:
     """(node the search started from, members with the last discovered first) of each strong component, in the order they are completed.
 

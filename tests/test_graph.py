@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import cycles as C, fixpoint
 from graphloom.operators.fixpoint import closure, strong_components, weak_components
 from graphloom.operators.graph import Graph
-from graphloom.operators.kernels import Component, strong
+from graphloom.operators.kernels import Component, origins, search, strong
 
 
 def graph(spark, text):
@@ -403,6 +403,59 @@ def test_paths_that_fit_one_task_are_left_out_whole(spark, monkeypatch):
     assert known.select("node").distinct().count() == 79 and known.join(known.select(F.col("node").alias("rep")), "rep").isEmpty()
 
 
+def test_reach_along_near_names_takes_no_rounds(spark, tables, monkeypatch):
+    """A ring, a chain and hubs of neighbouring names: each range is searched in a task, few tables are written and no path is shortened."""
+    g = Graph.from_edges(spark, _trails(40)).cut()
+    asked = [lambda: sorted(column(g.transitive_dependencies("n0085"))), lambda: sorted(column(g.transitive_dependents("n0075")))]
+    want = [["n%04d" % i for i in range(81)], ["n%04d" % i for i in range(75)] + ["n%04d" % i for i in range(80, 160)]]
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", 40)
+    monkeypatch.setattr(fixpoint, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(fixpoint, "_shortened", None)
+    assert [ask() for ask in asked] == want and len(tables) <= 8
+
+
+@pytest.mark.parametrize("local, chunk", [(0, 3), (12, 10)])
+def test_reach_by_ranges_is_the_plain_search(spark, monkeypatch, local, chunk):
+    """Several starts, one of them in no edge, repeated edges, self-loops and nodes whose edges take several tables."""
+    rng = random.Random(local + chunk)
+    names = [f"{i:02}" for i in range(60)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(50)]
+    edges += [(x, y) for x, y in zip(names, names[1:]) if rng.random() < 0.6] + [("30", x) for x in names[::3]] + [(x, "11") for x in names[20::5]] + edges[:9]
+    starts = ["07", "44", "zz", "44", "30"]
+    table, start = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(x,) for x in starts], "node string")
+    monkeypatch.setattr(fixpoint, "LOCAL_ROWS", local)
+    monkeypatch.setattr(fixpoint, "CHUNK_ROWS", chunk)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(batch)
+    spark.conf.set(batch, "4")
+    try:
+        pairs = brute(60, set(edges))
+        assert sorted(column(fixpoint.reachable(table, start), "node")) == sorted({b for a, b in pairs if a in starts})
+        assert sorted(column(fixpoint.reachable(table, start, True), "node")) == sorted({a for a, b in pairs if b in starts})
+    finally:
+        spark.conf.set(batch, held)
+
+
+def test_origins_are_found_where_ways_meet():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(1, 9)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 2 * n))]
+        out = [[b for a, b in edges if a == x] for x in range(n)]
+        starts = rng.sample(range(n), rng.randint(1, n))
+        every = {*starts, *search(out, starts)}
+        found = origins(out, starts)
+        for x in range(n):
+            # without a node's origin nothing else leads there
+            assert (found[x] >= 0) == (x in every)
+            if x in every and found[x] != x:
+                less = [[b for b in ends if b != found[x]] for ends in out]
+                assert x not in search(less, [s for s in starts if s != found[x]]) and x not in starts
+        # meeting places that are too many: each node its own
+        few = origins(out, starts, 1)
+        assert few == found or few == [x if x in every else -1 for x in range(n)]
+
+
 def test_chain_of_a_long_ring_takes_no_label_rounds(spark, monkeypatch):
     g = Graph.from_edges(spark, _trails(40)).cut()
     want = sorted((r["rank"][:2], r["chain"], r["length"]) for r in C.find_cycles(g).collect())
